@@ -22,16 +22,16 @@ _KEY = "array<struct<k:bigint,c:bigint,d:bigint>>"
 
 def _range_of(key: Column, splitters: list[dict]) -> Column:
     """How many splitters are not above the key, by binary search over a constant array."""
-    bits = len(splitters).bit_length()
     if not splitters:
         return F.lit(0)
     array = F.from_json(F.lit(json.dumps(splitters)), _KEY)
+    strides = [1 << b for b in reversed(range(len(splitters).bit_length()))]
 
-    def step(low: Column, bit: Column) -> Column:
-        middle = low + F.shiftright(F.lit(1 << (bits - 1)), bit)
-        return F.when((middle <= len(splitters)) & (F.get(array, middle - 1) <= key), middle).otherwise(low)
+    def step(low: Column, stride: Column) -> Column:
+        further = low + stride
+        return F.when((further <= len(splitters)) & (F.get(array, further - 1) <= key), further).otherwise(low)
 
-    return F.aggregate(F.array(*[F.lit(b) for b in range(bits)]), F.lit(0), step)
+    return F.aggregate(F.array(*[F.lit(x) for x in strides]), F.lit(0), step)
 
 
 def _splitters(keys: list[tuple], cuts: list[int]) -> list[dict]:
