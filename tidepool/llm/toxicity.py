@@ -26,7 +26,7 @@ MOST_TERMS, STEM_LENGTHS, FUZZY_LENGTH = 4_000, range(4, 8), 5
 #: Characters to either side of a hit in which quotation marks are looked for.
 WINDOW = 48
 #: Words that a Python worker remembers at once.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 FEATURES = ("bias", "abuse", "quoted", "misspelled", "strongest", "three_strongest", "density")
 
 WORD = re.compile(r"[^\W_]+")
@@ -50,6 +50,13 @@ class Lexicon:
                     node = node.setdefault(letter, {})
                 node[mark] = weight
         self.size = len(stems) + len(terms)
+        # One edit leaves one half of a term as it is, or swaps the letters between the halves: what a word must begin or
+        # end with to be near any term.
+        fuzzy = [t for t in terms if len(t) >= FUZZY_LENGTH]
+        self.begins = {t[: len(t) // 2] for t in fuzzy} | {t[: len(t) // 2 - 1] + t[len(t) // 2] for t in fuzzy}
+        self.ends = {t[len(t) // 2 :] for t in fuzzy}
+        self.begin_lengths, self.end_lengths = sorted({len(x) for x in self.begins}), sorted({len(x) for x in self.ends})
+        self.lengths = range(min(map(len, fuzzy), default=1) - 1, max(map(len, fuzzy), default=0) + 2)
         self.known: dict[str, tuple[float, bool] | None] = {}
 
     def find(self, word: str) -> tuple[float, bool] | None:
@@ -74,29 +81,37 @@ class Lexicon:
     def misspelled(self, word: str) -> tuple[float, bool] | None:
         """The best whole term within one edit (insertion, deletion, change, swapped neighbours).
 
-        States of the automaton are (place in the word, edits so far); the trie's nodes are walked with all states at once.
+        States of the automaton are (place in the word, whether edited); each is walked along the trie's nodes together with
+        the node that its letters lead to, and only while some term goes on there.
         """
-        if len(word) < FUZZY_LENGTH - 1 or not self.root:
+        if len(word) not in self.lengths:
             return None
-        n, best = len(word), None
-        stack = [(self.root, 0, False, 0)]
-        while stack:
-            node, i, edited, depth = stack.pop()
-            if "word" in node and depth >= FUZZY_LENGTH and (i == n or i == n - 1 and not edited):
-                best = max(best or node["word"], node["word"])
-            if i < n and (child := node.get(word[i])) is not None:
-                stack.append((child, i + 1, edited, depth + 1))
-            if edited:
-                continue
-            if i < n:
-                stack.append((node, i + 1, True, depth))  # a letter too many
+        if not any(word[:n] in self.begins for n in self.begin_lengths) and not any(word[-n:] in self.ends for n in self.end_lengths):
+            return None
+        n, best, node = len(word), None, self.root
+        for i in range(n + 1):  # unedited states: the node of the first i letters
+            here = word[i] if i < n else "word"  # what a node must hold for a state at place i, or i + 1, to go on
+            after = word[i + 1] if i + 1 < n else "word"
+            reached = []
+            if i < n and after in node:
+                reached.append((node, i + 1, i))  # a letter too many
             for letter, child in node.items():
                 if len(letter) == 1:
-                    stack.append((child, i, True, depth + 1))  # a letter too few
-                    if i < n and letter != word[i]:
-                        stack.append((child, i + 1, True, depth + 1))  # another letter
-            if i + 1 < n and word[i] != word[i + 1] and (child := node.get(word[i + 1])) and (child := child.get(word[i])):
-                stack.append((child, i + 2, True, depth + 2))  # two letters swapped
+                    if here in child:
+                        reached.append((child, i, i + 1))  # a letter too few
+                    if i < n and letter != here and after in child:
+                        reached.append((child, i + 1, i + 1))  # another letter
+            if i + 1 < n and here != after and (child := node.get(after)) and (child := child.get(here)):
+                reached.append((child, i + 2, i + 2))  # two letters swapped
+            for child, at, depth in reached:  # edited states go on exactly
+                while at < n and child is not None:
+                    child = child.get(word[at])
+                    at, depth = at + 1, depth + 1
+                if child is not None and "word" in child and depth >= FUZZY_LENGTH:
+                    best = max(best or child["word"], child["word"])
+            node = node.get(here) if i < n else None
+            if node is None:
+                break
         return best and (best, True)
 
 
