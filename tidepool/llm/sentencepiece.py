@@ -22,7 +22,7 @@ from .common import map_columns
 
 SPACE = "▁"
 #: Words whose ids, and joints whose stability, a Python worker remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 NONE: dict[str, bool] = {}
 
 
@@ -47,7 +47,7 @@ class Pieces:
         # A boundary before a space holds if no piece runs over it.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.id_of)
         self.spare = min(self.score_of.values(), default=0.0) - 10.0
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.joints: dict[str, dict[str, bool]] = {}
         self.remembered = 0
         # Pieces that merging their own characters gives; others never come out of a merge model.
@@ -90,21 +90,6 @@ class Pieces:
         best[end] = score
         return found
 
-    def _best_bpe(self, text: str, end: int, start: int, back: dict[int, str]) -> str:
-        """Walks the trie of reversed pieces from ``end`` back to the only piece with a stable joint before it."""
-        node, joints, begin = self.reversed, self.joints, end - 1
-        while begin >= start and (step := node.get(text[begin])) is not None:
-            node, piece = step
-            if piece is not None:
-                if begin == 0:
-                    return piece
-                before = back[begin]
-                known = joints.get(before, NONE).get(piece)
-                if self.stable(before, piece) if known is None else known:
-                    return piece
-            begin -= 1
-        return text[end - 1]  # a character without a piece, which never merges
-
     def stream(self, text: str) -> Iterator[list[str]]:
         """The text's pieces, a few at a time.
 
@@ -115,9 +100,25 @@ class Pieces:
         n, start = len(text), 0
         back: dict[int, str] = {}
         best: dict[int, float] = {0: 0.0}
-        unigram, window = self.kind == "unigram", 2 * self.longest
+        unigram, window, joints, pieces = self.kind == "unigram", 2 * self.longest, self.joints, self.reversed
         for end in range(1, n + 1):
-            back[end] = self._best_unigram(text, end, start, best) if unigram else self._best_bpe(text, end, start, back)
+            if unigram:
+                back[end] = self._best_unigram(text, end, start, best)
+            else:  # the trie of reversed pieces is walked from ``end`` back to the only piece with a stable joint before it
+                node, begin, found = pieces, end - 1, text[end - 1]  # a character without a piece never merges
+                while begin >= start and (step := node.get(text[begin])) is not None:
+                    node, piece = step
+                    if piece is not None:
+                        if begin == 0:
+                            found = piece
+                            break
+                        before = back[begin]
+                        known = joints.get(before, NONE).get(piece)
+                        if self.stable(before, piece) if known is None else known:
+                            found = piece
+                            break
+                    begin -= 1
+                back[end] = found
             if end == n or end - start >= window:
                 path = self._path(end, start, back)
                 boundary = end
@@ -150,7 +151,7 @@ class Pieces:
         for word in self._words(text) if self.splits else [text]:
             ids = self.words.get(word)
             if ids is None:
-                ids = [i for pieces in self.stream(word) for p in pieces for i in self.ids(p)]
+                ids = tuple(i for pieces in self.stream(word) for p in pieces for i in self.ids(p))
                 if len(word) <= 64:
                     if len(self.words) >= REMEMBERED:
                         self.words.clear()
