@@ -20,7 +20,7 @@ def bm25_part(idf_: Column, hits: Column, length: Column, mean: Column) -> Colum
 def relevance(bm25: Column, mode: str = "relevance") -> Column:
     """A full-text rank (negative, smaller is better) as a score.
 
-    ``relevance`` rises with the match. ``inverse`` and ``pole`` are the two formulas that the reference uses: the first
+    ``relevance`` rises with the match. ``inverse`` and ``pole`` are kept for compatibility: the first
     falls as matches get better, the second has a pole at -1, where it is null.
     """
     if mode == "inverse":
