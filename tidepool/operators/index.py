@@ -17,10 +17,11 @@ def postings(corpus: DataFrame, key: str, text: Column) -> DataFrame:
 
 def phrase_hits(tokens: Column, phrase: list[str]) -> Column:
     """How often a phrase stands in an array of terms."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0])).cast("bigint")
-    starts = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: F.slice(tokens, i + 1, len(phrase)) == F.array(*[F.lit(w) for w in phrase]))
-    return F.size(starts).cast("bigint")
+    here = F.transform(tokens, lambda t: t == phrase[0])
+    for step, word in enumerate(phrase[1:], 1):
+        later = F.slice(tokens, step + 1, F.greatest(F.size(tokens) - step, F.lit(0)))
+        here = F.zip_with(here, later, lambda hit, t, word=word: F.coalesce(hit & (t == word), F.lit(False)))
+    return F.size(F.filter(here, lambda hit: hit)).cast("bigint")
 
 
 def bm25(corpus: DataFrame, text: Column, phrases: list[list[str]], keep: Column | None = None) -> DataFrame:
