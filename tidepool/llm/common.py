@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a Python worker holds as objects at once.
+SLICE_ROWS = 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine) a folder of this run."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,10 +54,10 @@ def drawn_by_hash(id_col: str, rows: int, wanted: int) -> Column:
 
 
 def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
-    """Runs ``make()`` once a task and the function it gives once a batch.
+    """Runs ``make()`` once a task and the function it gives once for each slice of SLICE_ROWS rows.
 
     That function takes the columns as lists, by name, and gives the new columns as lists or arrays. Rows of any number
-    may come back; nothing outlives a batch but what the function itself keeps.
+    may come back; nothing outlives a slice but what the function itself keeps.
     """
     names = df.columns
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -64,8 +68,9 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                got = work(**{n: c.to_pylist() for n, c in zip(names, batch.columns, strict=True)})
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                got = work(**{n: c.to_pylist() for n, c in zip(names, part.columns, strict=True)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
