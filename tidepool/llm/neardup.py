@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,10 +40,8 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, sid, node): the size and the 128-bit hash of each document's shingle set."""
 
     def make():
-        known: dict[bytes, int] = {}
-
         def work(doc_id: list, text: list) -> dict:
-            items = [shingles(t, width, known) for t in text]
+            items = [shingles(t, width) for t in text]
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in items]
             return {"doc_id": doc_id, "n_shingles": [len(x) for x in items], "sid": digests, "node": [code(d) for d in digests]}
 
@@ -55,10 +55,8 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     drawn = docs.where(drawn_by_hash("doc_id", docs.count(), PASSAGE_SAMPLE) & F.col("text").isNotNull())
 
     def make():
-        known: dict[bytes, int] = {}
-
         def work(text: list) -> dict:
-            return {"s": np.concatenate([np.unique(shingles(t, width, known)) for t in text]).view(np.int64)}
+            return {"s": np.concatenate([np.unique(shingles(t, width)) for t in text]).view(np.int64)}
 
         return work
 
@@ -71,13 +69,12 @@ def signed(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray)
     """(sig, node, n): every set's signatures."""
 
     def make():
-        known: dict[bytes, int] = {}
         seen: set[bytes] = set()
 
         def work(doc_id: list, text: list) -> dict:
             sigs, nodes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for t in text:
-                items = shingles(t, width, known)
+                items = shingles(t, width)
                 digest = xxhash.xxh3_128_digest(items.tobytes())
                 if digest in seen:
                     continue
@@ -134,14 +131,13 @@ def candidate_sets(docs: DataFrame, width: int, wanted: bytes) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(wanted)  # 2**FILTER_BITS bits
 
     def make():
-        known: dict[bytes, int] = {}
         seen: set[int] = set()
         bits = held.value
 
         def work(doc_id: list, text: list) -> dict:
             nodes, items = [], []
             for t in text:
-                own = shingles(t, width, known)
+                own = shingles(t, width)
                 node = code(xxhash.xxh3_128_digest(own.tobytes()))
                 at = node & ((1 << FILTER_BITS) - 1)
                 if not len(own) or node in seen or not bits[at >> 3] >> (at & 7) & 1:
@@ -199,22 +195,37 @@ def open_groups(shared: DataFrame, roots: DataFrame) -> DataFrame:
 def linked_in_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(u, v): links that tie each group as all links within it do.
 
-    A group is split into blocks and every two of its blocks meet in one task, so no task holds more than two blocks. Of a
+    A group is split by size, into classes so wide that only sets of one class or of neighbours can be similar, and classes
+    into blocks. Every two blocks that may hold similar sets meet in one task, so no task holds more than two blocks. Of a
     meeting's links a spanning forest comes back.
     """
-    counts = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.floor(F.col("members") / BLOCK) + 1
-    rows = groups.join(counts, "root").join(sets.hint("shuffle_merge"), "node").withColumn("blocks", blocks)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "items")
+    width = math.log(den / num)
+    sized = groups.join(sets.hint("shuffle_merge"), "node").withColumn("class", F.floor(F.log(F.octet_length("items") / KEPT) / width + 1e-9))
+    sized = Written(sized.select("root", "class", "node", "items"), "group-sets").df
+    counts = sized.groupBy("root", "class").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("blocks"))
+    order = Window.partitionBy("root").orderBy("class")
+    beside = lambda step: F.when(F.lag("class", -step).over(order) == F.col("class") + step, F.lag("blocks", -step).over(order)).otherwise(0)
+    counts = counts.select("root", "class", "blocks", beside(-1).alias("below"), beside(1).alias("above"))
+    rows = sized.join(counts, ["root", "class"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    place = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+    each = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0).cast("bigint"), n), lambda x: x < n), f)
+    c, own = F.col("class"), F.col("own")
+    meetings = F.concat(
+        each(F.col("blocks"), lambda x: place(c, c, F.least(own, x), F.greatest(own, x))),
+        each(F.col("above"), lambda x: place(c, c + 1, own, x)),
+        each(F.col("below"), lambda x: place(c - 1, c, x, own)),
+    )
+    rows = rows.select("root", "node", "items", F.explode(meetings).alias("at")).select("root", "at.*", "node", "items")
 
     def meet(block: pa.Table) -> pa.Table:
         nodes = block.column("node").to_pylist()
         sets_ = [unpack(x) for x in block.column("items").to_pylist()]
         sizes = np.array([len(s) for s in sets_])
-        flat, column = np.unique(np.concatenate(sets_), return_inverse=True)
+        _, column, times = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets_)), sizes)
+        shared = times > 1  # what one set alone holds is in no intersection
+        row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        width = int(shared.sum())
         parent = list(range(len(nodes)))
 
         def find(x: int) -> int:
@@ -226,9 +237,9 @@ def linked_in_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) ->
         same = np.zeros((len(sets_), len(sets_)), dtype=np.float32)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        for low in range(0, len(flat), 8192):  # dense slices of the membership matrix, multiplied with themselves
+        for low in range(0, width, 8192):  # dense slices of the membership matrix, multiplied with themselves
             a, b = np.searchsorted(column, [low, low + 8192])
-            dense = np.zeros((len(sets_), min(8192, len(flat) - low)), dtype=np.float32)
+            dense = np.zeros((len(sets_), min(8192, width - low)), dtype=np.float32)
             dense[row[a:b], column[a:b] - low] = 1
             same += dense @ dense.T
         union = sizes[:, None] + sizes[None, :] - same
@@ -241,7 +252,7 @@ def linked_in_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) ->
                 v.append(nodes[j])
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return rows.groupBy("root", "i", "j").applyInArrow(meet, "u bigint, v bigint")
+    return rows.groupBy("root", "low", "high", "i", "j").applyInArrow(meet, "u bigint, v bigint")
 
 
 def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

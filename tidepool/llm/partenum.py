@@ -12,7 +12,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import xxhash
 
 #: Parts of a partition and differences allowed in it; growth of size bands; partitions more than needed, by 1 in SPARE.
 PARTS, ALLOWED, GROWTH, SPARE = 3, 1, 1.5, 3
@@ -28,23 +27,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int, known: dict[bytes, int]) -> np.ndarray:
-    """The distinct ``width``-word shingles as sorted 64-bit hashes; fewer words make one shingle, none an empty set.
+#: Of each byte, whether it parts words; and a fixed random number.
+_PARTS_WORDS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_OF_BYTE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 
-    Words are runs of other than space and U+0009 to U+000D, with A-Z lowered: just what bytes.lower and bytes.split do.
+
+@lru_cache(4)
+def _of_place(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def word_codes(text: str) -> np.ndarray:
+    """A 64-bit hash of every word. Words are runs of other than space and U+0009 to U+000D, with A-Z lowered.
+
+    A word's hash is the mixed sum over its bytes of (a number of the byte) times (an odd number of the byte's place).
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
+    data = np.frombuffer(text.encode().lower(), dtype=np.uint8)
+    inside = ~_PARTS_WORDS[data]
+    edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    codes = []
-    for w in words:
-        code = known.get(w)
-        if code is None:
-            if len(known) > 300_000:
-                known.clear()
-            code = known[w] = xxhash.xxh3_64_intdigest(w)
-        codes.append(code)
-    codes = np.array(codes, dtype=np.uint64)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    longest = 1 << int(lengths.max() - 1).bit_length()
+    sums = np.add.reduceat(_OF_BYTE[data[inside]] * _of_place(longest)[place], first)
+    return mix(sums + lengths.astype(np.uint64))
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The distinct ``width``-word shingles as sorted 64-bit hashes; fewer words make one shingle, none an empty set."""
+    codes = word_codes(text) if text else np.empty(0, dtype=np.uint64)
+    if not len(codes):
+        return codes
     span = min(width, len(codes))
     out = codes[: len(codes) - span + 1]
     for i in range(1, span):
