@@ -15,12 +15,16 @@ def postings(corpus: DataFrame, key: str, text: Column) -> DataFrame:
     return tokens.groupBy("term", key).agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def _and_is(word: str):
+    return lambda hit, term: F.coalesce(hit & (term == word), F.lit(False))
+
+
 def phrase_hits(tokens: Column, phrase: list[str]) -> Column:
     """How often a phrase stands in an array of terms."""
     here = F.transform(tokens, lambda t: t == phrase[0])
     for step, word in enumerate(phrase[1:], 1):
         later = F.slice(tokens, step + 1, F.greatest(F.size(tokens) - step, F.lit(0)))
-        here = F.zip_with(here, later, lambda hit, t, word=word: F.coalesce(hit & (t == word), F.lit(False)))
+        here = F.zip_with(here, later, _and_is(word))
     return F.size(F.filter(here, lambda hit: hit)).cast("bigint")
 
 
