@@ -190,13 +190,23 @@ def test_encoding_equals_the_library_and_comes_back(spark):
     assert pieces.digest(empty(spark)).count() == 0
 
 
-def test_unigram_pass_equals_the_library(tmp_path):
-    raw = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
-    at = raw.rfind(b"\x18\x02")  # the trainer's model type: merges, here turned to unigram
-    (tmp_path / "u.model").write_bytes(raw[:at] + b"\x18\x01" + raw[at + 2 :])
-    model = pieces.Pieces(str(tmp_path / "u.model"), "unigram")
-    for t in ("a small text", "of the and", "words and more words"):
-        assert model.encode(t) == model.model.encode(t)
+def test_unigram_pass_finds_the_best_path(tmp_path):
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), "unigram")
+
+    def best(text):
+        """The best score over all segmentations, by plain recursion."""
+        if not text:
+            return 0.0
+        scores = [model.score_of.get(text[:n], model.spare if n == 1 else None) for n in range(1, min(len(text), model.longest) + 1)]
+        return max(s + best(text[n:]) for n, s in enumerate(scores, 1) if s is not None)
+
+    for t in ("a small text", "of the and", "words", "naïve 日", "  two"):
+        text = model.model.normalize(t)
+        parts = [p for group in model.stream(text) for p in group]
+        assert "".join(parts) == text
+        assert sum(model.score_of.get(p, model.spare) for p in parts) == pytest.approx(best(text))
+    long = model.model.normalize("streaming " * 400).replace("▁", "")
+    assert "".join(p for group in model.stream(long) for p in group) == long
 
 
 def vectors(spark):
