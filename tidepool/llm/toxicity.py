@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, map_columns
+from .common import SLICE_ROWS, Written, map_columns
 
 #: Labelled documents that the lexicon and the regression are fitted on, at most, drawn by a hash of their id.
 MOST_LABELLED = 16_000
@@ -26,7 +26,7 @@ MOST_TERMS, STEM_LENGTHS, FUZZY_LENGTH = 4_000, range(4, 8), 5
 #: Characters to either side of a hit in which quotation marks are looked for.
 WINDOW = 48
 #: Words that a Python worker remembers at once.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 FEATURES = ("bias", "abuse", "quoted", "misspelled", "strongest", "three_strongest", "density")
 
 WORD = re.compile(r"[^\W_]+")
@@ -278,7 +278,9 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
 
     def clean(batches):
         for batch in batches:
-            kept = [model.score(t) < threshold for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                kept = [model.score(t) < threshold for t in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
