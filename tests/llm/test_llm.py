@@ -130,7 +130,8 @@ def test_automata_tell_formats_apart():
     r = random.Random(1)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(24)) for _ in range(120)]
     hosts = [f"mail{i}.example.com" for i in range(100)]
-    formats = secrets.Formats({"hex": hexes[:100]}, hosts)
+    formats = secrets.Formats({"hex": hexes[:100]}, secrets.class_pairs(map(secrets.format_of, hosts), [1] * len(hosts)))
+    formats.above_ordinary((formats.step(secrets.format_of(h)), 1) for h in hosts)
     assert len(formats.automata) == 1 and sum(map(formats.secret, hexes[100:])) >= 15 and not any(map(formats.secret, hosts))
 
 

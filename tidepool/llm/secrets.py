@@ -26,13 +26,15 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
 #: Candidates are runs of these characters that hold a digit and a letter.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Labelled credentials of each kind and ordinary tokens that the automata are learned from, at most, drawn by a hash.
-MOST_LABELLED, MOST_ORDINARY = 400, 4000
+#: Labelled credentials of each kind that the automata are learned from, at most, drawn by a hash.
+MOST_LABELLED = 400
 #: Confidence of Hoeffding's bound, least count at which states are told apart, least count of labelled values.
 ALPHA, LEAST_COUNT, LEAST_VALUES = 0.05, 10, 8
 #: A candidate is a secret above this quantile of ordinary tokens and of labelled values, in likelihood by character.
 ORDINARY_QUANTILE, LABELLED_QUANTILE = 0.999, 0.05
 SMOOTHING = 1e-3
+#: Steps in one unit of a score, to which scores are rounded where their quantile is taken.
+STEPS = 1000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -167,16 +169,13 @@ class Automaton:
 
 
 class Ordinary:
-    """First-order frequencies of ordinary tokens' character classes."""
+    """First-order frequencies of ordinary tokens' character classes, from how often each pair of classes follows."""
 
-    def __init__(self, values: Iterable[str]):
-        self.pairs: dict[str, int] = {}
+    def __init__(self, pairs: dict[str, int]):
+        self.pairs = pairs
         self.firsts: dict[str, int] = {}
-        for value in values:
-            symbols = "^" + format_of(value)
-            for a, b in zip(symbols, symbols[1:], strict=False):
-                self.pairs[a + b] = self.pairs.get(a + b, 0) + 1
-                self.firsts[a] = self.firsts.get(a, 0) + 1
+        for pair, n in pairs.items():
+            self.firsts[pair[0]] = self.firsts.get(pair[0], 0) + n
 
     def likelihood(self, symbols: str) -> float:
         total, before = 0.0, "^"
@@ -186,23 +185,44 @@ class Ordinary:
         return total / max(len(symbols), 1)
 
 
+def class_pairs(formats: Iterable[str], counts: Iterable[int]) -> dict[str, int]:
+    """How often each class follows another, ``^`` standing for the beginning."""
+    pairs: dict[str, int] = {}
+    for symbols, n in zip(formats, counts, strict=True):
+        symbols = "^" + symbols
+        for a, b in zip(symbols, symbols[1:], strict=False):
+            pairs[a + b] = pairs.get(a + b, 0) + n
+    return pairs
+
+
 class Formats:
     """The automata of the labelled kinds and the threshold above which a candidate counts as a secret."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, labelled: dict[str, list[str]], pairs: dict[str, int]):
         self.automata = [Automaton(values) for _, values in sorted(labelled.items()) if len(values) >= LEAST_VALUES]
-        self.ordinary = Ordinary(ordinary)
-        own = sorted(self.score(v) for values in labelled.values() for v in values) if self.automata else []
-        other = sorted(map(self.score, ordinary)) if self.automata else []
-        at = lambda x, q: x[min(len(x) - 1, int(q * len(x)))] if x else 0.0
-        self.threshold = max(0.0, at(own, LABELLED_QUANTILE), at(other, ORDINARY_QUANTILE))
-
-    def score(self, token: str) -> float:
-        symbols = format_of(token)
+        self.ordinary = Ordinary(pairs)
+        own = sorted(self.score(format_of(v)) for values in labelled.values() for v in values) if self.automata else []
+        self.threshold = max(0.0, own[min(len(own) - 1, int(LABELLED_QUANTILE * len(own)))] if own else 0.0)
+
+    def above_ordinary(self, steps: Iterable[tuple[int, int]]) -> None:
+        """Raises the threshold to a quantile of ordinary tokens, given as (score in steps, tokens)."""
+        steps = sorted(steps)
+        left = int(ORDINARY_QUANTILE * sum(n for _, n in steps))
+        for step, n in steps:
+            left -= n
+            if left < 0:
+                self.threshold = max(self.threshold, step / STEPS)
+                return
+
+    def score(self, symbols: str) -> float:
         return max((a.likelihood(symbols) for a in self.automata), default=-math.inf) - self.ordinary.likelihood(symbols)
 
+    def step(self, symbols: str) -> int:
+        """The score in steps, rounded up, so that no token of the quantile's step passes for its rounding."""
+        return math.ceil(self.score(symbols) * STEPS)
+
     def secret(self, token: str) -> bool:
-        return bool(self.automata) and self.score(token) > self.threshold
+        return bool(self.automata) and self.score(format_of(token)) > self.threshold
 
 
 def found(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
@@ -227,14 +247,40 @@ def found(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> Da
 
 
 def learn(spans: DataFrame) -> Formats:
-    """Automata from a bounded sample, by hash, of the base spans' values; ordinary tokens from one of the candidates."""
+    """Automata from a bounded sample, by hash, of the base spans' values; ordinary frequencies and their quantile from all
+    candidates, each token once.
+
+    Candidates are aggregated by format; what comes to the driver is bounded by pairs of classes and by steps of scores.
+    """
     pairs = spans.select(F.explode(F.arrays_zip("kinds", "values")).alias("s")).select("s.kinds", "s.values").distinct()
     labelled: dict[str, list[str]] = {}
     for kind in KINDS[:3]:
         rows = pairs.where(F.col("kinds") == kind).orderBy(F.xxhash64("values"), "values").limit(MOST_LABELLED).collect()
         labelled[kind] = [r["values"] for r in rows]
+
+    def formats_of():
+        return lambda t: {"f": [format_of(x) for x in t]}
+
     tokens = spans.select(F.explode("c_tokens").alias("t")).distinct()
-    return Formats(labelled, [r.t for r in tokens.orderBy(F.xxhash64("t"), "t").limit(MOST_ORDINARY).collect()])
+    table = Written(map_columns(tokens, "f string", formats_of).groupBy("f").agg(F.count(F.lit(1)).alias("n")), "secret-formats")
+
+    def count_pairs():
+        def work(f: list, n: list) -> dict:
+            counted = class_pairs(f, n)
+            return {"pair": list(counted), "n": list(counted.values())}
+
+        return work
+
+    follows = map_columns(table.df, "pair string, n bigint", count_pairs).groupBy("pair").agg(F.sum("n").alias("n"))
+    learned = Formats(labelled, {r.pair: r.n for r in follows.collect()})
+
+    def count_steps():
+        return lambda f, n: {"step": [learned.step(x) for x in f], "n": n}
+
+    if learned.automata:
+        learned.above_ordinary((r.step, r.n) for r in map_columns(table.df, "step bigint, n bigint", count_steps).groupBy("step").agg(F.sum("n").alias("n")).collect())
+    table.drop()
+    return learned
 
 
 def all_spans(kinds: list, starts: list, ends: list, c_starts: list, c_tokens: list, formats: Formats) -> list[tuple[str, int, int]]:
