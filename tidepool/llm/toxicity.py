@@ -229,13 +229,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The regression sees each half of the sample through the lexicon of the other half, so it learns how far hits can be
     trusted on unseen documents. Labels other than 0 and 1 and ids without a text are left out; without any labelled
-    documents every score is that of an empty lexicon. An id labelled twice counts as toxic if one label says so.
+    documents every score is that of an empty lexicon. An id labelled twice counts as toxic if one label says so;
+    of an id that several rows hold, the least text is taken, so the sample keeps its bound.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED))  # bounded by MOST_LABELLED rows of two numbers
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sample = Written(texts.join(drawn, "doc_id"), "toxicity-sample")
+    once = texts.join(drawn, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = Written(once, "toxicity-sample")
     totals = {(r.f, r.toxic): r.n for r in sample.df.groupBy((F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int").alias("f"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     t, c = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
     best = lexicon_counts(sample.df).where((t >= 2) & (t >= 3 * c)).orderBy((F.log(t) * 2 - F.log(c + 0.1)).desc(), "entry").limit(MOST_TERMS).collect()
