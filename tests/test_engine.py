@@ -64,6 +64,21 @@ def test_budget_keeps_a_prefix_and_the_first(spark):
     assert rank.trim_to_budget(page, [F.asc("n")], F.col("cost"), 0).count() == 0
 
 
+def test_nearest_by_cosine(spark):
+    rows = [(i, [float(i % 7 - 3), float(i % 11), float(i % 5)]) for i in range(700)] + [(700, None), (701, [0.0, 0.0, 0.0]), (702, [1.0]), (703, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    known = {i: v for i, v in rows if i is not None and v and any(v) and not any(map(math.isnan, v))}
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6)
+
+    got = {}
+    for r in rank.nearest_by_cosine(table.where("vec_id % 20 = 0"), table, 5).orderBy("query_id", "n").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    want = {q: sorted((-cosine(known[q], v), i) for i, v in known.items() if len(v) == 3)[:5] for q in known if q % 20 == 0}
+    assert {q: [(pytest.approx(s), i) for s, i in x] for q, x in want.items()} == got
+
+
 def test_chunks_cover_every_line():
     body = "\n".join(f"line {i} with some words" for i in range(40))
     chunks = list(chunking.chunk(body, size=50, overlap=10))
