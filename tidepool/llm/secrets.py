@@ -317,7 +317,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
     Spans that overlap are masked as one. Null text stays null. An ``n_chars`` column is set to the new length.
     """
-    formats = learn(found(docs, id_col, text_col, []))
+    spans = Written(found(docs, id_col, text_col, []), "secret-spans")
+    formats = learn(spans.df)
+    spans.drop()
 
     def make():
         def masked(text: str | None) -> str | None:
