@@ -135,6 +135,22 @@ def test_automata_tell_formats_apart():
     assert len(formats.automata) == 1 and sum(map(formats.secret, hexes[100:])) >= 15 and not any(map(formats.secret, hosts))
 
 
+@pytest.mark.parametrize("hosts", [10, 1500])
+def test_many_unlabelled_secrets_are_found(spark, hosts):
+    """However many of the candidates are secrets: none of the ordinary ones is taken, and nearly all others are."""
+    r = random.Random(3)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(20)) for _ in range(700)]
+    rows = [(i, f"secret={x} w") for i, x in enumerate(hexes[:100])] + [(100 + i, f"see {x} there") for i, x in enumerate(hexes[100:])]
+    rows += [(10_000 + i, f"ask mail{i}.example.com or") for i in range(hosts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.scan(docs).collect()}
+    keys = [i for i in range(100, 700) if any(c.isalpha() for c in hexes[i]) and any(c.isdigit() for c in hexes[i])]
+    assert sum(got[i] == "format:4:24" for i in keys) >= 0.9 * len(keys)
+    assert not any(v for i, v in got.items() if i >= 10_000)
+    clean = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    assert all((clean[i] == "see <secret> there") == (got[i] == "format:4:24") for i in keys)
+
+
 def brute_groups(rows, width, num):
     sets = {i: (d, set(shingles(t, width).tolist())) for i, (d, t) in enumerate(rows)}
     parent = list(range(len(rows)))

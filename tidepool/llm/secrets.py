@@ -33,6 +33,8 @@ ALPHA, LEAST_COUNT, LEAST_VALUES = 0.05, 10, 8
 #: A candidate is a secret above this quantile of ordinary tokens and of labelled values, in likelihood by character.
 ORDINARY_QUANTILE, LABELLED_QUANTILE = 0.999, 0.05
 SMOOTHING = 1e-3
+#: Character classes; fits of the ordinary frequencies, each without the tokens that the one before tells from ordinary ones, at most.
+CLASSES, ROUNDS = 11, 8
 #: Steps in one unit of a score, to which scores are rounded where their quantile is taken.
 STEPS = 1000
 
@@ -169,7 +171,10 @@ class Automaton:
 
 
 class Ordinary:
-    """First-order frequencies of ordinary tokens' character classes, from how often each pair of classes follows."""
+    """First-order frequencies of ordinary tokens' character classes, from how often each pair of classes follows.
+
+    Without any pairs every class is as likely as any other.
+    """
 
     def __init__(self, pairs: dict[str, int]):
         self.pairs = pairs
@@ -178,6 +183,8 @@ class Ordinary:
             self.firsts[pair[0]] = self.firsts.get(pair[0], 0) + n
 
     def likelihood(self, symbols: str) -> float:
+        if not self.pairs:
+            return -math.log(CLASSES)
         total, before = 0.0, "^"
         for symbol in symbols:
             total += math.log((self.pairs.get(before + symbol, 0) + 0.5) / (self.firsts.get(before, 0) + 20))
@@ -196,16 +203,29 @@ def class_pairs(formats: Iterable[str], counts: Iterable[int]) -> dict[str, int]
 
 
 class Formats:
-    """The automata of the labelled kinds and the threshold above which a candidate counts as a secret."""
+    """The automata of the labelled kinds and what a candidate must exceed to count as a secret.
+
+    That comes from the likelihoods, never from how many candidates are secrets: of tokens that follow the ordinary
+    frequencies, a share of at most 1 - ORDINARY_QUANTILE is likelier by ``margin`` under one of the automata.
+    """
 
     def __init__(self, labelled: dict[str, list[str]], pairs: dict[str, int]):
         self.automata = [Automaton(values) for _, values in sorted(labelled.items()) if len(values) >= LEAST_VALUES]
+        self.margin = math.log(max(len(self.automata), 1) / (1 - ORDINARY_QUANTILE))
+        self.labelled = [format_of(v) for values in labelled.values() for v in values] if self.automata else []
+        self.against(pairs)
+
+    def against(self, pairs: dict[str, int]) -> None:
+        """Takes new ordinary frequencies, and with them the labelled quantile as the threshold."""
         self.ordinary = Ordinary(pairs)
-        own = sorted(self.score(format_of(v)) for values in labelled.values() for v in values) if self.automata else []
+        own = sorted(map(self.score, self.labelled))
         self.threshold = max(0.0, own[min(len(own) - 1, int(LABELLED_QUANTILE * len(own)))] if own else 0.0)
 
     def above_ordinary(self, steps: Iterable[tuple[int, int]]) -> None:
-        """Raises the threshold to a quantile of ordinary tokens, given as (score in steps, tokens)."""
+        """Raises the threshold to a quantile of tokens known to be ordinary, given as (score in steps, tokens).
+
+        Not for candidates, of which any number may be secrets.
+        """
         steps = sorted(steps)
         left = int(ORDINARY_QUANTILE * sum(n for _, n in steps))
         for step, n in steps:
@@ -221,8 +241,13 @@ class Formats:
         """The score in steps, rounded up, so that no token of the quantile's step passes for its rounding."""
         return math.ceil(self.score(symbols) * STEPS)
 
+    def formatted(self, symbols: str) -> bool:
+        """Whether an automaton explains the whole token better than the ordinary frequencies, by the margin."""
+        return bool(self.automata) and self.score(symbols) * len(symbols) > self.margin
+
     def secret(self, token: str) -> bool:
-        return bool(self.automata) and self.score(format_of(token)) > self.threshold
+        symbols = format_of(token)
+        return self.formatted(symbols) and self.score(symbols) > self.threshold
 
 
 def found(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
@@ -247,16 +272,20 @@ def found(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> Da
 
 
 def learn(spans: DataFrame) -> Formats:
-    """Automata from a bounded sample, by hash, of the base spans' values; ordinary frequencies and their quantile from all
-    candidates, each token once.
+    """Automata from a bounded sample, by hash, of the base spans' values; ordinary frequencies from all candidates that the
+    automata don't explain better, each token once.
 
-    Candidates are aggregated by format; what comes to the driver is bounded by pairs of classes and by steps of scores.
+    What the automata explain better is told against even frequencies first, then against those of the rest, until the
+    rest stays the same. Candidates are aggregated by format; what comes to the driver is bounded by pairs of classes.
     """
     pairs = spans.select(F.explode(F.arrays_zip("kinds", "values")).alias("s")).select("s.kinds", "s.values").distinct()
     labelled: dict[str, list[str]] = {}
     for kind in KINDS[:3]:
         rows = pairs.where(F.col("kinds") == kind).orderBy(F.xxhash64("values"), "values").limit(MOST_LABELLED).collect()
         labelled[kind] = [r["values"] for r in rows]
+    learned = Formats(labelled, {})
+    if not learned.automata:
+        return learned
 
     def formats_of():
         return lambda t: {"f": [format_of(x) for x in t]}
@@ -266,19 +295,18 @@ def learn(spans: DataFrame) -> Formats:
 
     def count_pairs():
         def work(f: list, n: list) -> dict:
-            counted = class_pairs(f, n)
+            rest = [(x, k) for x, k in zip(f, n, strict=True) if not learned.formatted(x)]
+            counted = class_pairs([x for x, _ in rest], [k for _, k in rest])
             return {"pair": list(counted), "n": list(counted.values())}
 
         return work
 
-    follows = map_columns(table.df, "pair string, n bigint", count_pairs).groupBy("pair").agg(F.sum("n").alias("n"))
-    learned = Formats(labelled, {r.pair: r.n for r in follows.collect()})
-
-    def count_steps():
-        return lambda f, n: {"step": [learned.step(x) for x in f], "n": n}
-
-    if learned.automata:
-        learned.above_ordinary((r.step, r.n) for r in map_columns(table.df, "step bigint, n bigint", count_steps).groupBy("step").agg(F.sum("n").alias("n")).collect())
+    for _ in range(ROUNDS):
+        follows = map_columns(table.df, "pair string, n bigint", count_pairs).groupBy("pair").agg(F.sum("n").alias("n"))
+        counted = {r.pair: r.n for r in follows.collect()}
+        if counted == learned.ordinary.pairs:
+            break
+        learned.against(counted)
     table.drop()
     return learned
 
