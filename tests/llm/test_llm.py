@@ -102,6 +102,34 @@ def test_html():
     assert html.main_text("<p>" + "x " * 50000) == ("x " * 50000).strip()
 
 
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_html_keeps_lines_beside_a_very_long_one():
+    texts = [f"line {i} " + "of some words " * 8 for i in range(30)]
+    texts.insert(15, "a long paragraph " * 300)
+    want = [" ".join(t.split()) for t in texts]
+    links = "<div>" + "".join(f"<div><span><a href='/{i}'>go {i}</a></span></div>" for i in range(30)) + "</div>"
+    assert html.main_text(paragraphs(texts)).split("\n") == want
+    got = html.main_text(links + paragraphs(texts)).split("\n")
+    assert got[-31:] == want and len(got) <= 33
+    short = ["Yes.", "No.", "Why?", "So.", "Oh.", "Hm.", "And?", "Well."]
+    assert html.main_text(paragraphs(texts[:10] + short + texts[16:])).split("\n") == want[:10] + short + want[16:]
+
+
+def test_html_keeps_nested_and_sibling_regions():
+    a, b, c = (f"{x} has a good many words to say about it " * 6 for x in ("first", "second", "third"))
+    a, b, c = a.strip(), b.strip(), c.strip()
+    menu = "<div><div><span><a>x</a></span></div></div>" * 5
+    siblings = f"{menu}<article><h2>One</h2><p>{a}</p></article><article><h2>Two</h2><p>Short.</p></article><article><h2>Three</h2><p>{b}</p></article>{menu}"
+    assert html.main_text(siblings) == f"One\n{a}\nTwo\nShort.\nThree\n{b}"
+    assert html.main_text(f"{menu}<main><h1>Title</h1><p>Lead.</p><article><p>{a}</p><p>{b}</p></article></main>{menu}") == f"Title\nLead.\n{a}\n{b}"
+    assert html.main_text(f"{menu}<article><h1>Title</h1><p>{a}</p><main><p>{b}</p></main><section><article><p>Aside.</p></article></section><p>{c}</p></article>{menu}") == f"Title\n{a}\n{b}\nAside.\n{c}"
+    assert html.main_text(f"<article class='post'><p>{a}</p><article class='comment'><p>{b}</p></article></article><article class='comment'><p>{c}</p></article>") == a
+    assert html.main_text(f"<article class='has-sidebar'><p>{a}</p></article>") == a and html.main_text("<p>x</p><article></article>") == "x"
+
+
 def test_html_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a &lt; b"), (2, None, None), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(pages).collect())

@@ -26,6 +26,12 @@ ROLES = frozenset("alert banner complementary contentinfo dialog form menu menub
 CLOSES = {"p": BLOCKS - {"html", "body", "tbody", "thead", "tfoot", "tr", "td", "th"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Spread of the smoothing, in lines; a line is content above this share of the ratios' standard deviation.
 SPREAD, SHARE = 1.0, 0.5
+#: Characters for each tag beyond which a line is no more content for being longer, so that no long line hides the others.
+DENSE = 60
+
+
+def named_furniture(name: str, value: str | None) -> bool:
+    return name in ("class", "id") and bool(value) and not FURNITURE.isdisjoint(w for token in value.lower().split() for w in (token, *re.split(r"[-_:]+", token)))
 
 
 def furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -35,7 +41,7 @@ def furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in ("html", "body"):
         return False
     for name, value in attrs:
-        if name in ("class", "id") and value and not FURNITURE.isdisjoint(w for token in value.lower().split() for w in (token, *re.split(r"[-_:]+", token))):
+        if named_furniture(name, value):
             return tag not in REGIONS
         if name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -51,7 +57,8 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # element, whether its text is dropped, its region
         self.parts: list[str] = []
         self.tags = 0
-        self.regions = 0
+        self.parents = [0]  # by region: the region around it, 0 for the page
+        self.marked = [False]  # by region: whether it is an article named as furniture (a comment, say)
 
     def line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -82,8 +89,9 @@ class Lines(HTMLParser):
             self.line()
         dropped, region = self.open[-1][1:] if self.open else (False, 0)
         if tag in REGIONS and not dropped:
-            self.regions += 1
-            region = self.regions
+            self.parents.append(region)
+            self.marked.append(tag == "article" and any(named_furniture(*a) for a in attrs))
+            region = len(self.parents) - 1
         own = furniture(tag, attrs) or tag == "header"
         if tag == "h1" and region and self.open[-1][0] == "header":  # an article's title may stand in its own header
             dropped = any(x[1] for x in self.open if x[0] != "header")
@@ -119,34 +127,79 @@ def clusters(ratios: np.ndarray) -> np.ndarray:
     """Which lines are content: text-to-tag ratios smoothed by a Gaussian, above a share of their spread."""
     reach = np.arange(-3, 4)
     weights = np.exp(-(reach**2) / (2 * SPREAD**2))
+    ratios = np.minimum(ratios, DENSE)
     padded = np.pad(ratios, 3, mode="edge")
     smooth = np.convolve(padded, weights / weights.sum(), mode="valid")
     return smooth > min(SHARE * ratios.std(), smooth.max() * 0.999)
 
 
+def filled(kept: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Adds the gaps that hold no more text than is kept before them, and than is kept after them."""
+    out, at = kept.copy(), np.flatnonzero(kept)
+    text, whole = np.cumsum(np.where(kept, sizes, 0)), np.cumsum(sizes)
+    for a, b in zip(at, at[1:], strict=False):
+        if whole[b - 1] - whole[a] <= min(text[a], text[-1] - text[a]):
+            out[a:b] = True
+    return out
+
+
+def chosen(parents: list[int], marked: list[bool], votes: dict[int, int]) -> tuple[set[int], set[int]]:
+    """(regions kept, regions barred): those with votes, the regions around them and those inside them.
+
+    Articles named as furniture are barred with what is inside, unless the only votes are there: then the outermost region
+    with most votes is free, and failing that all are.
+    """
+    regions = range(1, len(parents))
+    outermost, sums = [0], [0] * len(parents)
+    for r in regions:
+        outermost.append(outermost[parents[r]] or r)
+        sums[outermost[r]] += votes.get(r, 0)
+    for free in ((), (max(regions, key=lambda r: (sums[r], -r)),), regions):
+        barred: set[int] = set()
+        for r in regions:
+            if parents[r] in barred or marked[r] and r not in free:
+                barred.add(r)
+        inside = {r for r in regions if votes.get(r) and r not in barred}
+        if inside:
+            break
+    around = set()
+    for r in inside:
+        while r:
+            r = parents[r]
+            around.add(r)
+    for r in regions:
+        if parents[r] in inside and r not in barred:
+            inside.add(r)
+    return (inside | around) - {0}, barred
+
+
 def main_text(html: str) -> str:
     """The article's blocks in page order, joined by one line feed.
 
-    Clusters of lines with a high smoothed text-to-tag ratio vote, by their text, for the region (article or main element)
-    that holds them. All lines of the chosen region are kept, so that its short lines and headings aren't lost. On a page
-    without such a region the clusters are the text.
+    Clusters of lines with a high smoothed text-to-tag ratio vote, by their text, for the innermost region (article or main
+    element) that holds them. All lines of the regions with votes are kept, and of those around and inside them, so that
+    short lines, leads and headings aren't lost. On a page without such a region the clusters are the text. Either way small
+    gaps between what is kept are filled.
     """
     parser = Lines()
     parser.feed(html)
     lines = parser.finish()
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(tags, 1) for text, tags, _ in lines])
-    content = clusters(ratios)
-    votes: dict[int, int] = {}
-    for (text, _, region), good in zip(lines, content, strict=True):
-        if good:
-            votes[region] = votes.get(region, 0) + len(text)
-    held = {region for _, _, region in lines if region}
-    if held:
-        best = max(held, key=lambda r: (votes.get(r, 0), -r))
-        return "\n".join(text for text, _, region in lines if region == best)
-    return "\n".join(text for (text, _, _), good in zip(lines, content, strict=True) if good)
+    sizes = np.array([len(text) for text, _, _ in lines])
+    kept = clusters(sizes / np.array([max(tags, 1) for _, tags, _ in lines]))
+    held = [region for _, _, region in lines]
+    if any(held):
+        votes: dict[int, int] = {}
+        for size, region, good in zip(sizes.tolist(), held, kept, strict=True):
+            if region and good:
+                votes[region] = votes.get(region, 0) + size
+        keep, barred = chosen(parser.parents, parser.marked, votes or dict.fromkeys(filter(None, held), 1))
+        open_ = np.array([region not in barred for region in held])
+        kept = filled(np.array([region in keep for region in held]), np.where(open_, sizes, 0)) & open_
+    else:
+        kept = filled(kept, sizes)
+    return "\n".join(text for (text, _, _), good in zip(lines, kept, strict=True) if good)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
