@@ -223,6 +223,16 @@ def test_one_of_each(spark):
     assert neardup.one_of_each(empty(spark)).count() == 0
 
 
+def test_one_of_each_by_id_and_set(spark):
+    """Repeated ids with different texts, and null ids with equal ones."""
+    one, two, three, four = ("a b c d e f g h", "other words that stand here alone", "none names this text at all", "a name and a copy without one")
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, one), (2, one), (2, two), (3, two), (None, three), (None, three), (4, four), (None, four), (5, near), (5, near + " z"), (5, near), (6, "="), (6, "!"), (6, "!"), (None, "?"), (None, "?")]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [x.text in (near, near + " z") for x in got if x.doc_id == 5] == [True]
+    assert sorted((x.doc_id or 0, x.text) for x in got if x.doc_id != 5) == sorted([(1, one), (2, two), (0, three), (4, four), (6, "="), (6, "!"), (0, "?")])
+
+
 def test_encoding_equals_the_library_and_comes_back(spark):
     docs = awkward(spark)
     model = library.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))

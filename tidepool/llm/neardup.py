@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Written, drawn_by_hash, map_columns
 from .components import components
@@ -32,18 +32,23 @@ def code(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def node_of(items: np.ndarray, text: str | None) -> int:
+    """A document's node: that of its set, and without words that of its text, since empty sets aren't copies."""
+    return code(xxhash.xxh3_128_digest(items.tobytes() if len(items) else (text or "").encode()))
+
+
 def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, sid, node): the size and the 128-bit hash of each document's shingle set."""
+    """(doc_id, n_shingles, sid, node): the size and the 128-bit hash of each document's shingle set, and its ``node_of``."""
 
     def make():
         def work(doc_id: list, text: list) -> dict:
             items = [shingles(t, width) for t in text]
             digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in items]
-            return {"doc_id": doc_id, "n_shingles": [len(x) for x in items], "sid": digests, "node": [code(d) for d in digests]}
+            return {"doc_id": doc_id, "n_shingles": [len(x) for x in items], "sid": digests, "node": [code(d) if len(x) else node_of(x, t) for d, x, t in zip(digests, items, text, strict=True)]}
 
         return work
 
@@ -267,6 +272,11 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_co
     component_id is then null unless a document with an id is reachable. Repeated rows: each comes back. Empty table: no
     rows. Extra columns: ignored.
     """
+    return members(docs, width, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def members(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``groups`` with their set's node and its component's root, null for an empty set."""
     docs = _text(docs, id_col, text_col)
     own = Written(sets_of(docs, width), "sets").df
     shared = Written(buckets(signed(docs, width, num, den, common_shingles(docs, width))), "buckets").df
@@ -283,33 +293,46 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_co
     classes = own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = named.select("node", "root").join(least, "root").select("node", "component_id")
-    some = own.where("n_shingles > 0").join(final, "node").select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    final = named.select("node", "root").join(least, "root").select("node", "root", "component_id")
+    some = own.where("n_shingles > 0").join(final, "node").select("doc_id", "n_shingles", "node", "root", "component_id")
+    return some.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.lit(None).cast("bigint").alias("root"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all their columns unchanged, of one document of each group: the one whose id names it.
 
-    Rows that share an id are one document, and one of them stays. Rows without an id all stay, as nothing names them. Only
-    rows whose id may be among those dropped are joined; a bitmap of fixed size tells the others.
+    A document is an id and a set: rows that share an id but are of different groups each stay, those of one group are one.
+    A row without an id stays where no row of its group has one, one for each group. Rows without words stay, one for each
+    id and text. Only rows whose id may be among those dropped or repeated, or is null, are joined; a bitmap of fixed size
+    tells the others.
     """
-    members = Written(groups(docs, width, num, den, id_col, text_col), "groups").df.where(F.col("doc_id").isNotNull())
-    again = members.groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
-    dropped = members.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    listed = candidate_filter(dropped.union(again).select(F.col("doc_id").alias("node")))
+    rows = Written(members(docs, width, num, den, id_col, text_col), "groups").df
+    again = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    names = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    copies = rows.where(~names).select("doc_id", "node")
+    # Different sets of one group under the id that names it, or all without one: the least set stays.
+    several = rows.where(names & F.col("root").isNotNull()).groupBy("doc_id", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    several = several.select(F.col("doc_id").alias("d"), "root", "lo")
+    others = rows.where(names).join(several, "root").where(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("node") != F.col("lo"))).select("doc_id", "node")
+    dropped = copies.unionByName(others).distinct()
+    listed = candidate_filter(copies.select("doc_id").where(F.col("doc_id").isNotNull()).union(again).select(F.col("doc_id").alias("node")))
     held = docs.sparkSession.sparkContext.broadcast(listed)  # 2**FILTER_BITS bits
 
     def mark(batches):
         for batch in batches:
             ids = batch.column(id_col).cast(pa.int64())
-            may = _listed(ids.fill_null(0).to_numpy(), held.value) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(may)], names=[*batch.schema.names, flag])
-
-    flag = "_may_be_dropped"
-    while flag in docs.columns:
-        flag += "_"
-    marked = docs.mapInArrow(mark, StructType([*docs.schema, StructField(flag, BooleanType())]))
-    asked = marked.where(flag).drop(flag)
-    kept = asked.join(dropped.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col])
-    return marked.where(~F.col(flag)).drop(flag).unionByName(kept)
+            may = _listed(ids.fill_null(0).to_numpy(), held.value) | ~ids.is_valid().to_numpy(zero_copy_only=False)
+            at, nodes = np.flatnonzero(may), [None] * batch.num_rows
+            for i, t in zip(at.tolist(), batch.column(text_col).take(pa.array(at)), strict=True):
+                t = t.as_py()
+                nodes[i] = node_of(shingles(t, width), t)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, node])
+
+    node = "_may_be_dropped"
+    while node in docs.columns:
+        node += "_"
+    marked = docs.mapInArrow(mark, StructType([*docs.schema, StructField(node, LongType())]))
+    asked, dropped = marked.where(F.col(node).isNotNull()), dropped.select(F.col("doc_id").alias("_" + node), F.col("node").alias("__" + node))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_" + node)) & (F.col(node) == F.col("__" + node))
+    kept = asked.join(dropped, same, "left_anti").dropDuplicates([id_col, node])
+    return marked.where(F.col(node).isNull()).unionByName(kept).drop(node)
