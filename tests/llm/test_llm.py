@@ -317,6 +317,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs, none).count() == docs.count() and toxicity.reject(docs, model).columns == docs.columns
 
 
+def test_quotations_are_paired_over_the_whole_line():
+    lexicon = toxicity.Lexicon({}, {"idiot": 1.0})
+    long = "some words that go on and on " * 4
+
+    def inside(text):
+        return toxicity.features(text, lexicon)[1:3] == [0.0, float(np.log1p(1))]
+
+    assert not inside(f'"{long}" you idiot, "bye"') and inside(f'"{long} idiot {long}"') and inside(f"„{long} idiot {long}“ and")
+    assert inside("“one “two” idiot” x") and inside("‘i don’t say idiot’") and not inside("„a“ idiot „b“") and not inside("«a» idiot «b»")
+    assert not inside('open "quote idiot\nends" there') and not inside("it’s an idiot’s") and not inside('one " idiot') and inside('x "idiot"')
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -23,8 +23,6 @@ from .common import SLICE_ROWS, Written, map_columns
 MOST_LABELLED = 16_000
 #: Lexicon entries at most, lengths of stems, and the shortest term that may be misspelled.
 MOST_TERMS, STEM_LENGTHS, FUZZY_LENGTH = 4_000, range(4, 8), 5
-#: Characters to either side of a hit in which quotation marks are looked for.
-WINDOW = 48
 #: Words that a Python worker remembers at once.
 REMEMBERED = 300_000
 FEATURES = ("bias", "abuse", "quoted", "misspelled", "strongest", "three_strongest", "density")
@@ -32,6 +30,8 @@ FEATURES = ("bias", "abuse", "quoted", "misspelled", "strongest", "three_stronge
 WORD = re.compile(r"[^\W_]+")
 # Pairs of quotation marks, opening and closing.
 QUOTES = (('"', '"'), ("“", "”"), ("„", "“"), ("«", "»"), ("‘", "’"))
+# Line ends and all marks; one between two letters is an apostrophe.
+MARK = re.compile(r"\n|[\"“”„«»‘]|(?<![^\W_])’|’(?![^\W_])")
 
 
 def words(text: str) -> list[str]:
@@ -115,17 +115,27 @@ class Lexicon:
         return best and (best, True)
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """Whether quotation marks open before and close after a hit, both inside its window and its line."""
-    before = text[max(0, start - WINDOW) : start].rpartition("\n")[2]
-    after = text[end : end + WINDOW].partition("\n")[0]
-    for left, right in QUOTES:
-        if left == right:
-            if before.count(left) % 2 and right in after:
-                return True
-        elif before.rfind(left) > before.rfind(right) and right in after:
-            return True
-    return False
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where quotations begin and end: marks paired within each whole line. No two overlap; inner ones are part of the outer.
+
+    A mark closes the last open one of its pair, if there is any, and otherwise opens where it can.
+    """
+    found: list[tuple[int, int]] = []
+    opened: dict[str, list[int]] = {}
+    for match in MARK.finditer(text):
+        mark, at = match.group(), match.start()
+        if mark == "\n":
+            opened.clear()
+            continue
+        left = next((a for a, b in QUOTES if b == mark and opened.get(a)), None)
+        if left is None:
+            opened.setdefault(mark, []).append(at)
+            continue
+        start = opened[left].pop()
+        while found and found[-1][1] > start:
+            start = min(start, found.pop()[0])
+        found.append((start, at))
+    return found
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -137,11 +147,14 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         return [1.0] + [0.0] * 6
     abuse = in_quotes = wrong = 0
     weights = []
+    spans, n = quotations(lower), 0
     for match in WORD.finditer(lower):
         hit = hits.get(match.group())
         if hit:
             weight, misspelled = hit
-            if quoted(lower, *match.span()):
+            while n < len(spans) and spans[n][1] < match.start():
+                n += 1
+            if n < len(spans) and spans[n][0] < match.start():
                 in_quotes += 1
                 continue
             wrong += misspelled
