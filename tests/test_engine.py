@@ -99,6 +99,11 @@ def test_store_and_graph(spark):
     assert graph.would_close(edges, 1, 9) is False
 
 
+def test_a_long_chain_closes(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(110)], "s int, t int").coalesce(1).cache()
+    assert graph.would_close(chain, 110, 0) is True
+
+
 def test_memory(spark):
     facts = spark.createDataFrame([(1, "global", "t", 1, 1, "Use pytest ", 0.5, "candidate"), (2, "global", "t", 1, 2, "use pytest", 0.9, "active"), (3, "global", "t", 1, 3, "use nose", 0.1, "active")], "id long, scope string, fact_type string, project long, evidence long, content string, confidence double, status string")
     merged = {r.content: r for r in memory.merge(facts).collect()}

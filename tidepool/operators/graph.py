@@ -33,15 +33,17 @@ def cycles(edges: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("id").agg(F.min("depth").alias("depth"))
 
 
-def would_close(edges: DataFrame, source: int, target: int, depth: int = 100) -> bool:
-    """Whether a new link from source to target closes a cycle: whether target already reaches source."""
-    front = edges.where(F.col("s") == target).select(F.col("t").alias("at")).distinct()
-    seen = front
-    for _ in range(depth):
-        if target == source or not front.where(F.col("at") == source).isEmpty():
+def would_close(edges: DataFrame, source: int, target: int) -> bool:
+    """Whether a new link from source to target closes a cycle: whether target already reaches source, by any number of steps."""
+    if target == source:
+        return True
+    kept = edges.sparkSession.sparkContext.getCheckpointDir()
+    cut = lambda df: df.checkpoint() if kept else df.localCheckpoint()
+    step = edges.select(F.col("s").alias("at"), F.col("t").alias("to"))
+    front = seen = cut(edges.where(F.col("s") == target).select(F.col("t").alias("at")).distinct())
+    while not front.isEmpty():
+        if not front.where(F.col("at") == source).isEmpty():
             return True
-        front = front.join(edges.select(F.col("s").alias("at"), F.col("t").alias("to")), "at").select(F.col("to").alias("at")).distinct().join(seen, "at", "left_anti")
-        if front.isEmpty():
-            return False
-        seen = seen.union(front)
+        front = cut(front.join(step, "at").select(F.col("to").alias("at")).distinct().join(seen, "at", "left_anti"))
+        seen = cut(seen.union(front).coalesce(8))
     return False
