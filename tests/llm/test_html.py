@@ -15,9 +15,9 @@ def sentence(r, low, high):
     return " ".join(r.choice(WORDS) for _ in range(r.randrange(low, high)))
 
 
-def page(r, wrap, item="a"):
+def page(r, wrap, item="a", items=(20, 60)):
     """A page and its article's blocks: lists of short items before and after, one advert, then the article in the given elements."""
-    links = "".join(f"<li><{item} href='/{i}'>{sentence(r, 2, 5)}</{item}></li>" for i in range(r.randrange(20, 60)))
+    links = "".join(f"<li><{item} href='/{i}'>{sentence(r, 2, 5)}</{item}></li>" for i in range(r.randrange(*items)))
     blocks = [("h1", sentence(r, 3, 8))] + [("p", sentence(r, 25, 90)) for _ in range(r.randrange(4, 9))]
     blocks.insert(3, ("h2", sentence(r, 1, 3)))
     body = "".join(f"<{t}>{escapes.escape(x).replace(' for ', ' <b>for</b> ')}</{t}>" for t, x in blocks)
@@ -37,7 +37,7 @@ def test_generated_pages_equal_their_blocks():
 def test_the_clusters_decide(monkeypatch):
     """Pages without article or main elements: with every line as content, the lists win."""
     r = random.Random(3)
-    made = [page(r, wrap, "span") for wrap in ((), ("div",), ("div", "section")) for _ in range(10)]
+    made = [page(r, wrap, "span", (80, 120)) for wrap in ((), ("div",), ("div", "section")) for _ in range(10)]
     assert all(html.main_text(text) == want for text, want in made)
     monkeypatch.setattr(html, "clusters", lambda ratios: np.ones(len(ratios), dtype=bool))
     assert sum(html.main_text(text) != want for text, want in made) > len(made) / 2

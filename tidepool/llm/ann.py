@@ -12,17 +12,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, drawn_by_hash
-from .vectors import BLOCK_ROWS, CHUNK_QUERIES, matrix, meet, numbers, ranked, valid
+from .vectors import cells_of, placed, sampled, two_rounds, valid
 
 #: Projected dimensions, confidence of the stopping test, rows of a kd-tree's page.
 PROJECTED, CONFIDENCE, PAGE_ROWS = 8, 0.97, 256
-#: Rows that the cells' tree is fitted on, about, by a hash of their id; cells, at most.
-SAMPLE_ROWS, MOST_CELLS = 65_536, 1024
+#: Rows whose projections the cells' trees are fitted on, about, by a hash of their place: eight numbers a row.
+SAMPLE_ROWS = 65_536
 
 
 def chi_square(confidence: float, dimensions: int = PROJECTED) -> float:
@@ -103,7 +101,7 @@ def pages(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray | None, k: int, reach: float) -> tuple:
+def search_block(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, reach: float) -> tuple:
     """Each query's k nearest of a block, verified page by page in the order of projected distance until the test holds."""
     matrix_ = projection(vectors.shape[1])
     points, targets = vectors @ matrix_, queries @ matrix_
@@ -111,84 +109,73 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     low = np.array([points[r].min(axis=0) for r in leaves])
     high = np.array([points[r].max(axis=0) for r in leaves])
     found: tuple[list, list, list] = ([], [], [])
-    for n, (query_id, query, target) in enumerate(zip(query_ids, queries, targets, strict=True)):
-        bound = np.inf if bounds is None else bounds[n]
-        best_d, best_i = np.empty(0), np.empty(0, dtype=np.int64)
+    for n, (own, query, target) in enumerate(zip(query_rows, queries, targets, strict=True)):
+        bound = bounds[n]
+        best_d, best_at = np.empty(0), np.empty(0, dtype=np.int64)
         gaps = (np.maximum(0, np.maximum(low - target, target - high)) ** 2).sum(axis=1)
         for leaf in np.argsort(gaps, kind="stable"):
             if gaps[leaf] > reach * bound * bound:
                 break
-            rows = leaves[leaf]
-            near = ((points[rows] - target) ** 2).sum(axis=1) <= reach * bound * bound
-            rows = rows[near & (ids[rows] != query_id)]
-            if not len(rows):
+            at = leaves[leaf]
+            near = ~(((points[at] - target) ** 2).sum(axis=1) > reach * bound * bound)
+            at = at[near & (rows[at] != own)]
+            if not len(at):
                 continue
-            distance = np.sqrt(((vectors[rows] - query) ** 2).sum(axis=1))
-            best_d, best_i = np.concatenate([best_d, distance]), np.concatenate([best_i, ids[rows]])
+            best_d, best_at = np.concatenate([best_d, distances(vectors[at], query)]), np.concatenate([best_at, at])
             if len(best_d) > k:
-                order = np.lexsort((best_i, best_d))[:k]
-                best_d, best_i = best_d[order], best_i[order]
+                order = np.lexsort((ids[best_at], best_d))[:k]
+                best_d, best_at = best_d[order], best_at[order]
             if len(best_d) == k:
                 bound = min(bound, best_d.max())
-        found[0].extend([query_id] * len(best_d))
-        found[1].extend(best_i)
+        found[0].extend([n] * len(best_d))
+        found[1].extend(best_at)
         found[2].extend(best_d)
     return found
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances; scaled where squares would leave the range of doubles, so finite ones stay so if they can."""
+    with np.errstate(over="ignore"):
+        out = np.sqrt(((vectors - query) ** 2).sum(axis=1))
+    if np.isfinite(out).all():
+        return out
+    half = vectors / 2 - query / 2
+    top = np.maximum(np.abs(half).max(axis=1), 1)
+    with np.errstate(over="ignore"):
+        return np.where(np.isfinite(out), out, 2 * top * np.sqrt(((half / top[:, None]) ** 2).sum(axis=1)))
+
+
 def nearest(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE) -> DataFrame:
     """The k nearest rows found for every row whose id is divisible by ``every``, by Euclidean distance.
 
-    Every row is indexed. Each true neighbour is passed over with a chance of at most 1 - confidence. With fewer than k
-    candidates all are returned. Vectors that take no part, and rows that share an id: see ``valid``. Identical vectors are
-    ties at one distance, in order of id. Empty table, or no such queries: no rows. Extra columns: ignored.
+    Every row is indexed, and each row but the query's own is a candidate: rows that share an id are rows of their own, as
+    queries (each gives its k ranks) and as candidates. Rows of one width are searched among themselves, as there is no
+    distance between vectors of different lengths. Each true neighbour is passed over with a chance of at most
+    1 - confidence. With fewer than k candidates all are returned. Vectors that take no part: see ``valid``. Identical vectors
+    are ties at one distance, in order of id. Components whose projections leave the range of doubles rule nothing out.
+    Empty table, or no such queries: no rows. Extra columns: ignored.
     """
-    rows = valid(table, id_col, vector_col, zero=False)
-    dimension, n = rows.dimension, rows.rows
-    drawn = rows.df.where(drawn_by_hash("vec_id", n, SAMPLE_ROWS))
-    sample = matrix(pa.chunked_array([drawn.select("v").toArrow().column("v").combine_chunks()]), dimension) if n else np.zeros((0, 1))
-    matrix_ = projection(sample.shape[1])
-    cells = Cells(sample @ matrix_, min(MOST_CELLS, n // BLOCK_ROWS + 1))
-    schema = "vec_id bigint, v array<double>, cell bigint"
-
-    def deal(batches):
-        for batch in batches:
-            points = matrix(pa.chunked_array([batch.column("v")]), dimension) @ matrix_
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cells.of(points))], names=["vec_id", "v", "cell"])
-
-    placed = Written(rows.df.mapInArrow(deal, schema), "ann-cells").df
-    held = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_CELLS rows
-    blocks = np.array([held.get(c, 0) // BLOCK_ROWS + 1 for c in range(len(cells.boxes))])
-    in_cell = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell").cast("int"))
-    asked = placed.where(F.col("vec_id") % every == 0)
-    chunks = max(1, n // every // CHUNK_QUERIES + 1)
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit("chunk")), F.lit(chunks))
-    data = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), in_cell)).withColumn("chunk", F.explode(numbers(F.lit(chunks))))
-    keys, reach = ["cell", "block", "chunk"], chi_square(confidence)
-
-    def search(ids, vectors, query_ids, queries, bounds):
-        return search_block(ids, vectors, query_ids, queries, bounds, k, reach)
-
-    home = asked.withColumn("chunk", chunk).withColumn("block", F.explode(numbers(in_cell)))
-    first = Written(ranked(meet(data, home, keys, dimension, search, "double"), k, largest=False), "ann-home").df
-    bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    waiting = asked.join(bound, "vec_id", "left")
-
-    def visit(batches):
-        for batch in batches:
-            points = matrix(pa.chunked_array([batch.column("v")]), dimension) @ matrix_
-            reaches = np.nan_to_num(batch.column("bound").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
-            own = batch.column("cell").to_numpy()
-            at, cell, block = [], [], []
-            for i, (point, r) in enumerate(zip(points, reaches, strict=True)):
-                for c in np.flatnonzero(cells.distances(point) <= reach * r * r):
-                    if c != own[i]:
-                        at += [i] * int(blocks[c])
-                        cell += [c] * int(blocks[c])
-                        block += range(int(blocks[c]))
-            taken = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(taken), batch.column("v").take(taken), pa.array(cell, pa.int64()), pa.array(block, pa.int64()), pa.array(reaches[at] if at else [], pa.float64())], names=["vec_id", "v", "cell", "block", "bound"])
-
-    others = waiting.mapInArrow(visit, "vec_id bigint, v array<double>, cell bigint, block bigint, bound double").withColumn("chunk", chunk)
-    second = meet(data, others, keys, dimension, search, "double")
-    return ranked(first.select("query_id", "vec_id", "score").unionByName(second), k, largest=False)
+    valid_ = valid(table, id_col, vector_col, zero=False)
+    n = valid_.df.count()
+    sample = sampled(valid_.df, n, SAMPLE_ROWS, lambda d, vectors: vectors @ projection(d))
+    wanted = cells_of(sample, n)
+    trees = {d: Cells(np.nan_to_num(points, posinf=1e300, neginf=-1e300), wanted[d]) for d, points in sample.items()}
+    reach = chi_square(confidence)
+
+    def cell_of(d: int, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (trees[d].of(vectors @ projection(d)) if d in trees else np.zeros(len(vectors), dtype=np.int64)), np.zeros(len(vectors))
+
+    data = placed(valid_.df, cell_of, "ann-cells")
+
+    def others(d: int, vectors: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if d not in trees:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        near = np.array([~(trees[d].distances(point) > reach * r * r) for point, r in zip(vectors @ projection(d), bounds, strict=True)]).reshape(len(own), -1)
+        near[np.arange(len(own)), own] = False
+        return np.nonzero(near)
+
+    def search(ids, rows, vectors, query_rows, queries, bounds):
+        return search_block(ids, rows, vectors, query_rows, queries, bounds, k, reach)
+
+    asked = data.where(F.col("vec_id") % every == 0)
+    return two_rounds(data, asked, k, lambda d, vectors: cell_of(d, vectors)[0], others, search, "double", False, "ann")
