@@ -2,8 +2,8 @@
 
 The fixed patterns give the base spans. Their values are the labelled credentials: for each kind a prefix tree of the
 values' character classes is built, and its statistically compatible states are merged (Hoeffding's bound on outgoing
-frequencies, red and blue states) into a probabilistic automaton. Every other candidate token of every text is scored by
-its likelihood as such a format, against that of an ordinary token, and likely ones are added as spans.
+frequencies, red and blue states) into a probabilistic automaton. Every candidate token of every text, inside base spans
+too, is scored by its likelihood as such a format, against that of an ordinary token, and likely ones are added as spans.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
-#: Candidates are runs of these characters that hold a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Candidates are runs of these characters, padding included, that hold a digit and a letter.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{16,}={0,2}")
 #: Labelled credentials of each kind that the automata are learned from, at most, drawn by a hash.
 MOST_LABELLED = 400
 #: Confidence of Hoeffding's bound, least count at which states are told apart, least count of labelled values.
@@ -51,14 +51,13 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def candidates(text: str, spans: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens that no base span touches: (start, end, token)."""
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """All tokens to be scored: (start, end, token)."""
     found = []
     for m in CANDIDATE.finditer(text):
         token = m.group()
         if not token.isalpha() and any(map(str.isdigit, token)) and any(map(str.isalpha, token)):
-            if not any(s < m.end() and m.start() < e for _, s, e, _ in spans):
-                found.append((*m.span(), token))
+            found.append((*m.span(), token))
     return found
 
 
@@ -258,10 +257,10 @@ def found(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> Da
             out = {c: columns[c] for c in columns if c != "text"}
             texts = [t or "" for t in columns["text"]]
             spans = [base_spans(t) for t in texts]
-            open_ = [candidates(t, s) for t, s in zip(texts, spans, strict=True)]
+            tokens = [candidates(t) for t in texts]
             return out | {
                 "kinds": [[s[0] for s in x] for x in spans], "starts": [[s[1] for s in x] for x in spans], "ends": [[s[2] for s in x] for x in spans], "values": [[s[3] for s in x] for x in spans],
-                "c_starts": [[c[0] for c in x] for x in open_], "c_tokens": [[c[2] for c in x] for x in open_],
+                "c_starts": [[c[0] for c in x] for x in tokens], "c_tokens": [[c[2] for c in x] for x in tokens],
             }
 
         return work
@@ -311,16 +310,18 @@ def learn(spans: DataFrame) -> Formats:
     return learned
 
 
-def all_spans(kinds: list, starts: list, ends: list, c_starts: list, c_tokens: list, formats: Formats) -> list[tuple[str, int, int]]:
-    spans = list(zip(kinds, starts, ends, strict=True))
-    spans += [("format", s, s + len(t)) for s, t in zip(c_starts, c_tokens, strict=True) if formats.secret(t)]
-    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
+def all_spans(base: list[tuple[str, int, int]], tokens: list[tuple[int, str]], formats: Formats) -> list[tuple[str, int, int]]:
+    """Base spans and the tokens, given as (start, token), that score as secrets; one with the bounds of a base span adds nothing."""
+    known = {s[1:] for s in base}
+    added = [("format", s, s + len(t)) for s, t in tokens if (s, s + len(t)) not in known and formats.secret(t)]
+    return sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Finds secrets in every whole text: base spans, counted and hashed, and all spans.
 
-    A base span is its whole match. Null or empty text: no spans, empty string, its hash. Null ids pass through; one row
+    A base span is its whole match; a ``format`` span is a token that an automaton tells from ordinary ones, be it inside a base
+    span (the value of an ``assign`` one, say) or where no pattern looks. Null or empty text: no spans, empty string, its hash. Null ids pass through; one row
     out for each row in, repeated ones too. Empty table: no rows. Extra columns: ignored. With fewer than LEAST_VALUES
     labelled values of a kind that kind gives no automaton, and with no automaton no spans are added.
     """
@@ -332,7 +333,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             out = {"doc_id": doc_id} | {f"n_{k}": [x.count(k) for x in kinds] for k in KINDS[:3]}
             base = [joined(zip(*x, strict=True)) for x in zip(kinds, starts, ends, strict=True)]
             out["base_sha256"] = [hashlib.sha256(b.encode()).hexdigest() for b in base]
-            out["spans"] = [joined(all_spans(*x, formats)) for x in zip(kinds, starts, ends, c_starts, c_tokens, strict=True)]
+            rows = zip(kinds, starts, ends, c_starts, c_tokens, strict=True)
+            out["spans"] = [joined(all_spans(list(zip(k, s, e, strict=True)), list(zip(c, t, strict=True)), formats)) for k, s, e, c, t in rows]
             return out
 
         return work
@@ -343,7 +345,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<secret>") -> DataFrame:
     """The same rows and columns, with every span found by ``scan`` replaced by ``mask``; texts without spans stay as they are.
 
-    Spans that overlap are masked as one. Null text stays null. An ``n_chars`` column is set to the new length.
+    Spans that overlap are masked as one. Null and empty texts stay. An ``n_chars`` column is set to the new length. Null ids,
+    repeated rows: one row out for each row in, alike ones masked alike. Empty table: no rows. Other columns, whatever their
+    names, stay.
     """
     spans = Written(found(docs, id_col, text_col, []), "secret-spans")
     formats = learn(spans.df)
@@ -353,10 +357,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         def masked(text: str | None) -> str | None:
             if not text:
                 return text
-            spans = base_spans(text)
-            spans = [s[:3] for s in spans] + [("format", s, e) for s, e, t in candidates(text, spans) if formats.secret(t)]
             out, at = [], 0
-            for _, start, end in sorted(spans, key=lambda s: s[1]):
+            for _, start, end in all_spans([s[:3] for s in base_spans(text)], [c[::2] for c in candidates(text)], formats):
                 if start >= at:
                     out += [text[at:start], mask]
                 at = max(at, end)
