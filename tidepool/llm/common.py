@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,14 @@ SLICE_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine) a folder of this run."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset on one machine (tests) a folder of this run.
+
+    On a cluster it must be set: what executors write to their own disks others can't read.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidepool-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -28,18 +34,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Written:
-    """A table written once to the shared folder, so that lost executors cost no recomputation of what led to it."""
+    """A table written once to the shared folder, so that lost executors cost no recomputation of what led to it.
+
+    Whoever needs it no more drops it; those that a result reads go when the driver ends.
+    """
+
+    kept: dict[str, Written] = {}
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/tidepool/{label}-{uuid.uuid4().hex}"
+        self.kept[self.path] = self
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self.kept.pop(self.path, None) is not None:
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def drop_all() -> None:
+    """Drops what is left at the driver's end, if its session still runs."""
+    for written in list(Written.kept.values()):
+        if SparkContext._active_spark_context is written.spark.sparkContext and written.spark.sparkContext._jsc is not None:
+            written.drop()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
