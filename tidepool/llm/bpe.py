@@ -33,7 +33,8 @@ def merged_count(word: bytes, rank: dict[bytes, int]) -> int:
     """Tokens of one pre-token: symbols minus merges.
 
     A heap holds adjacent pairs by (rank, place), a doubly linked list the symbols that are left. The lowest pair merges;
-    its two neighbours give new pairs; an entry whose symbols have changed since is passed over.
+    its two neighbours give new pairs; an entry whose symbols have changed since is passed over. A pre-token that is itself in
+    the vocabulary merges to one token, as merging reaches every entry (tested), so its merges need not be done.
     """
     n = len(word)
     if n < 2 or word in rank:
