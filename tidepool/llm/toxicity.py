@@ -21,8 +21,8 @@ from .common import SLICE_ROWS, Written, map_columns
 
 #: Labelled documents that the lexicon and the regression are fitted on, at most, drawn by a hash of their id.
 MOST_LABELLED = 16_000
-#: Lexicon entries at most, lengths of stems, and the shortest term that may be misspelled.
-MOST_TERMS, STEM_LENGTHS, FUZZY_LENGTH = 4_000, range(4, 8), 5
+#: Lengths of stems, and the shortest term that may be misspelled.
+STEM_LENGTHS, FUZZY_LENGTH = range(4, 8), 5
 #: Words that a Python worker remembers at once.
 REMEMBERED = 300_000
 FEATURES = ("bias", "abuse", "quoted", "misspelled", "strongest", "three_strongest", "density")
@@ -39,10 +39,14 @@ def words(text: str) -> list[str]:
 
 
 class Lexicon:
-    """A trie of stems (any ending), words, and their weights. ``find`` gives (weight, misspelled) or None."""
+    """A trie of stems (any ending), words, and their weights. ``find`` gives (weight, misspelled) or None.
 
-    def __init__(self, stems: dict[str, float], terms: dict[str, float]):
+    ``ordinary`` are words known from clean documents: near a term as they may be, they are not misspelled.
+    """
+
+    def __init__(self, stems: dict[str, float], terms: dict[str, float], ordinary: Iterable[str] = ()):
         self.root: dict = {}
+        self.ordinary = frozenset(ordinary)
         for entries, mark in ((terms, "word"), (stems, "stem")):
             for entry, weight in entries.items():
                 node = self.root
@@ -63,7 +67,7 @@ class Lexicon:
         if word not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[word] = self.exact(word) or self.misspelled(word)
+            self.known[word] = self.exact(word) or (None if word in self.ordinary else self.misspelled(word))
         return self.known[word]
 
     def exact(self, word: str) -> tuple[float, bool] | None:
@@ -185,7 +189,7 @@ def lexicon_counts(sample: DataFrame) -> DataFrame:
                 place = 2 * fold(d) + (1 - y)
                 entries = set()
                 for w in set(words(t or "")):
-                    entries.add("=" + w[:40])
+                    entries.add("=" + w)
                     entries.update(w[:n] for n in STEM_LENGTHS if len(w) >= n)
                 for entry in entries:
                     counts.setdefault(entry, [0, 0, 0, 0])[place] += 1
@@ -204,17 +208,43 @@ def choose(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> Le
     terms: dict[str, float] = {}
     for entry, t, c in sorted(counts):
         odds = np.log((t + 0.1) / (toxic + 1)) - np.log((c + 0.1) / (clean + 1))
-        if t < 2 or odds < 2.5 or (t < 4 and c) or t < 3 * c:
+        if t < 3 or odds < 2.5 or (t < 4 and c) or t < 3 * c:
             continue
         weight = float(odds * min(1.0, np.log1p(t) / np.log1p(8)))
         if entry.startswith("="):
-            if t >= 3 and len(entry) > 3:
+            if len(entry) > 3:
                 terms[entry[1:]] = weight
-        elif t >= 3 and not any(entry[:n] in stems for n in STEM_LENGTHS if n < len(entry)):
+        elif not any(entry[:n] in stems for n in STEM_LENGTHS if n < len(entry)):
             stems[entry] = weight
     return Lexicon(stems, terms)
 
 
+def bar_ordinary(counts: DataFrame, lexicons: list[Lexicon]) -> None:
+    """Tells the lexicons of the halves, and of the whole, which words near their terms the clean documents hold.
+
+    Those are words of their own, in at least one clean document for three toxic ones. Only words that an automaton accepts
+    come back, and no more than the bounded sample holds.
+    """
+
+    def make():
+        def work(entry: list, t0: list, c0: list, t1: list, c1: list) -> dict:
+            out: dict[str, list] = {"word": [], "which": []}
+            for e, *n in zip(entry, t0, c0, t1, c1, strict=True):
+                seen = (n[:2], n[2:], [n[0] + n[2], n[1] + n[3]])
+                for which, (lexicon, (t, c)) in enumerate(zip(lexicons, seen, strict=True)):
+                    if 3 * c > t and not lexicon.exact(e[1:]) and lexicon.misspelled(e[1:]):
+                        out["word"].append(e[1:])
+                        out["which"].append(which)
+            return out
+
+        return work
+
+    words_ = counts.where(F.col("entry").startswith("=") & (F.col("c0") + F.col("c1") > 0))
+    found = map_columns(words_, "word string, which int", make).collect()
+    for which, lexicon in enumerate(lexicons):
+        lexicon.ordinary = frozenset(r.word for r in found if r.which == which)
+
+
 def fit(rows: np.ndarray, labels: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     """Logistic regression with a quadratic penalty, by Newton's method."""
     weights = np.zeros(rows.shape[1])
@@ -252,11 +282,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     once = texts.join(drawn, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = Written(once, "toxicity-sample")
     totals = {(r.f, r.toxic): r.n for r in sample.df.groupBy((F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int").alias("f"), "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = Written(lexicon_counts(sample.df), "toxicity-counts")
     t, c = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
-    best = lexicon_counts(sample.df).where((t >= 2) & (t >= 3 * c)).orderBy((F.log(t) * 2 - F.log(c + 0.1)).desc(), "entry").limit(MOST_TERMS).collect()
+    marks = (t >= 3 * c) | (F.col("t0") >= 3 * F.col("c0")) | (F.col("t1") >= 3 * F.col("c1"))
+    best = counts.df.where((t >= 3) & marks).collect()  # what may be in one of the lexicons: bounded by the sample
     n = [[totals.get((f, y), 0) for y in (1, 0)] for f in (0, 1)]
     halves = [choose(((r.entry, r[f"t{f}"], r[f"c{f}"]) for r in best), *n[f]) for f in (0, 1)]
     lexicon = choose(((r.entry, r.t0 + r.t1, r.c0 + r.c1) for r in best), n[0][0] + n[1][0], n[0][1] + n[1][1])
+    bar_ordinary(counts.df, [*halves, lexicon])
+    counts.drop()
 
     def make():
         def work(doc_id: list, text: list, toxic: list) -> dict:
@@ -289,7 +323,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows, all their columns unchanged, whose texts score below ``threshold``."""
+    """The rows, all their columns unchanged, whose texts score below ``threshold``.
+
+    Null and empty texts score as texts without hits and stay, unless those are rejected too. Null ids, repeated rows: each
+    row is judged by its own text. Empty table: no rows. Other columns, whatever their names, stay.
+    """
 
     def clean(batches):
         for batch in batches:
