@@ -19,12 +19,14 @@ from .partenum import shingles, signatures
 SMALL, BLOCK = 8, 384
 #: Documents whose shared passages are looked for, how many of them make a shingle common, and shingles kept, at most.
 PASSAGE_SAMPLE, PASSAGE_COUNT, MOST_COMMON = 4000, 3, 60_000
+#: Different sets of that sample that make a signature hot, and parts that a hot signature's sets are dealt to.
+HOT_COUNT, SALTS = 12, 32
 #: Bits of the filter that says which sets are candidates: fixed, so it is broadcast at 8 MB whatever the input.
 FILTER_BITS = 26
 #: Sets that a task remembers having signed, so that a large group of equal ones isn't signed over and over.
 REMEMBERED = 200_000
-#: Bytes of a shingle's hash that are compared.
-KEPT = 6
+#: Bytes of a shingle.
+KEPT = 8
 
 
 def code(digest: bytes) -> int:
@@ -55,29 +57,40 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return map_columns(docs, "doc_id bigint, n_shingles bigint, sid binary, node bigint", make)
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles that several documents of a bounded sample hold. They only steer which signatures are weak."""
-    drawn = docs.where(drawn_by_hash("doc_id", docs.count(), PASSAGE_SAMPLE) & F.col("text").isNotNull())
+def sampled(docs: DataFrame) -> DataFrame:
+    """About PASSAGE_SAMPLE of the documents, by a hash of their id. What comes of them only steers how work is dealt out."""
+    return docs.where(drawn_by_hash("doc_id", docs.count(), PASSAGE_SAMPLE) & F.col("text").isNotNull())
+
+
+def common_shingles(drawn: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several sampled documents hold. They only steer which signatures are weak."""
 
     def make():
-        def work(text: list) -> dict:
+        def work(doc_id: list, text: list) -> dict:
             return {"s": np.concatenate([np.unique(shingles(t, width)) for t in text]).view(np.int64)}
 
         return work
 
-    counted = map_columns(drawn.select("text"), "s bigint", make).groupBy("s").count().where(F.col("count") >= PASSAGE_COUNT)
+    counted = map_columns(drawn, "s bigint", make).groupBy("s").count().where(F.col("count") >= PASSAGE_COUNT)
     kept = counted.orderBy(F.desc("count"), "s").limit(MOST_COMMON).select("s").toArrow().column("s").to_numpy()
     return np.sort(kept.view(np.uint64))
 
 
-def signed(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """(sig, node, n): every set's signatures."""
+def hot_signatures(drawn: DataFrame, width: int, num: int, den: int, common: np.ndarray) -> np.ndarray:
+    """Signatures that many different sampled sets share, sorted; at most a HOT_COUNT-th of the sample's."""
+    rows = signed(drawn, width, num, den, common, np.empty(0, dtype=np.uint64)).select("sig", "node").distinct()
+    hot = rows.groupBy("sig").count().where(F.col("count") >= HOT_COUNT).select("sig").toArrow().column("sig").to_numpy()
+    return np.sort(hot.view(np.uint64))
+
+
+def signed(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(sig, salt, node, n): every set's signatures; the salt is 0, or which part of a hot signature's sets this is in."""
 
     def make():
         seen: set[bytes] = set()
 
         def work(doc_id: list, text: list) -> dict:
-            sigs, nodes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+            sigs, salts, nodes, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int8)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for t in text:
                 items = shingles(t, width)
                 digest = xxhash.xxh3_128_digest(items.tobytes())
@@ -85,33 +98,45 @@ def signed(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray)
                     continue
                 if len(seen) < REMEMBERED:
                     seen.add(digest)
-                own = np.unique(signatures(items, num, den, common))
+                own, node = np.unique(signatures(items, num, den, common)), code(digest)
+                at = np.minimum(np.searchsorted(hot, own), max(len(hot) - 1, 0))
                 sigs.append(own)
-                nodes.append(np.full(len(own), code(digest), dtype=np.int64))
+                salts.append(np.where(hot[at] == own, node % SALTS + 1, 0).astype(np.int8) if len(hot) else np.zeros(len(own), np.int8))
+                nodes.append(np.full(len(own), node, dtype=np.int64))
                 sizes.append(np.full(len(own), len(items), dtype=np.int32))
-            return {"sig": np.concatenate(sigs).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)}
+            return {"sig": np.concatenate(sigs).view(np.int64), "salt": np.concatenate(salts), "node": np.concatenate(nodes), "n": np.concatenate(sizes)}
 
         return work
 
-    return map_columns(docs, "sig bigint, node bigint, n int", make)
+    return map_columns(docs, "sig bigint, salt tinyint, node bigint, n int", make)
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """(sig, node, n, members): the sets of every signature that at least two sets share, each once."""
-    order = Window.partitionBy("sig").orderBy("node")
+    """(sig, salt, node, n, members): the sets of every signature that at least two sets share, each once.
+
+    ``members`` are those with the same signature and salt; a hot signature's parts all count as large.
+    """
+    order = Window.partitionBy("sig", "salt").orderBy("node")
     first = F.coalesce(F.lag("node").over(order) != F.col("node"), F.lit(True))
-    marked = rows.withColumn("first", first).withColumn("members", F.sum(F.col("first").cast("int")).over(Window.partitionBy("sig")))
-    return marked.where("first and members > 1").select("sig", "node", "n", F.col("members").cast("int").alias("members"))
+    marked = rows.withColumn("first", first).withColumn("members", F.sum(F.col("first").cast("int")).over(Window.partitionBy("sig", "salt")).cast("int"))
+    members = F.when(F.col("salt") > 0, F.greatest("members", F.lit(SMALL + 1))).otherwise(F.col("members"))
+    return marked.where("first").withColumn("members", members).where("members > 1").select("sig", "salt", "node", "n", "members")
 
 
 def pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): candidate pairs. Small buckets give all theirs, large ones those of every member with one centre."""
-    order = Window.partitionBy("sig").orderBy("node")
+    """(a, b): candidate pairs. Small buckets give all theirs, large ones those of every member with one centre, the first.
+
+    In a hot signature every part has a centre, and the parts' centres are paired with the first of them.
+    """
+    order = Window.partitionBy("sig", "salt").orderBy("node")
     member = F.struct("node", "n")
     before = F.collect_list(member).over(order.rowsBetween(-SMALL, -1))
     centre = F.array(F.first(member).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     near = shared.select("*", before.alias("before"), centre.alias("centre"))
     near = near.select("node", "n", F.explode(F.when(F.col("members") <= SMALL, F.col("before")).otherwise(F.col("centre"))).alias("p"))
+    centres = shared.where("salt > 0").groupBy("sig", "salt").agg(F.min(member).alias("m")).select("sig", "m.*")
+    top = F.first(member).over(Window.partitionBy("sig").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))  # at most SALTS rows
+    near = near.unionByName(centres.select("node", "n", top.alias("p")))
     fits = (F.least("n", "p.n") * den >= F.greatest("n", "p.n") * num) & (F.col("node") != F.col("p.node"))
     return near.where(fits).select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
 
@@ -150,7 +175,7 @@ def candidate_sets(docs: DataFrame, width: int, wanted: bytes) -> DataFrame:
                 if len(seen) < REMEMBERED:
                     seen.add(node)
                 nodes.append(node)
-                items.append(own.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes())
+                items.append(own.tobytes())
             return {"node": nodes, "items": items}
 
         return work
@@ -159,9 +184,7 @@ def candidate_sets(docs: DataFrame, width: int, wanted: bytes) -> DataFrame:
 
 
 def unpack(items: bytes) -> np.ndarray:
-    out = np.zeros((len(items) // KEPT, 8), dtype=np.uint8)
-    out[:, :KEPT] = np.frombuffer(items, dtype=np.uint8).reshape(-1, KEPT)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(items, dtype=np.uint64)
 
 
 def linked(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -191,10 +214,18 @@ def open_groups(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
     Large buckets that share a member are one group, since near copies in great number meet in many buckets.
     """
-    named = shared.where(F.col("members") > SMALL).select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("centre")).where("lo <> hi").select("sig", "centre")
-    ties = Written(named.join(several, "sig").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "open-buckets")
-    return components(ties.df)
+    named = shared.where(F.col("members") > SMALL).select("sig", "salt", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = Written(named, "large-buckets")
+    parts = named.df.groupBy("sig", "salt").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("centre"))
+    parts = Written(parts, "large-bucket-parts")
+    several = parts.df.groupBy("sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("centre").alias("top")).where("lo <> hi").select("sig", "top")
+    open_ = parts.df.join(several, "sig").select("sig", "salt", "centre", "top")
+    ties = named.df.join(open_, ["sig", "salt"]).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    ties = Written(ties.unionByName(open_.select(F.col("centre").alias("u"), F.col("top").alias("v"))).distinct(), "open-buckets")
+    made = components(ties.df)
+    for table in (named, parts, ties):
+        table.drop()
+    return made
 
 
 def linked_in_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -277,17 +308,14 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_co
 
 def members(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``groups`` with their set's node and its component's root, null for an empty set."""
+    if not 0 < num <= den:
+        raise ValueError("the threshold num / den must be above 0 and at most 1")
     docs = _text(docs, id_col, text_col)
     own = Written(sets_of(docs, width), "sets").df
-    shared = Written(buckets(signed(docs, width, num, den, common_shingles(docs, width))), "buckets").df
-    candidates = Written(pairs(shared, num, den), "pairs").df
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(shared.where(F.col("members") > SMALL).select("node"))
-    sets = Written(candidate_sets(docs, width, candidate_filter(wanted)).dropDuplicates(["node"]), "candidate-sets").df
-    links = Written(linked(candidates, sets, num, den), "links").df
-    roots = components(links)
-    more = Written(linked_in_groups(open_groups(shared, roots), sets, num, den), "group-links").df
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    if num == den:  # only equal sets link, and they are one node
+        roots = own.where("n_shingles > 0").select("node", F.col("node").alias("root")).distinct()
+    else:
+        roots = linked_roots(docs, width, num, den)
 
     # The smallest id of each set, then of each component, comes back to the documents.
     classes = own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -298,6 +326,26 @@ def members(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     return some.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.lit(None).cast("bigint").alias("root"), F.col("doc_id").alias("component_id")))
 
 
+def linked_roots(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, root) of every set that links with another one."""
+    drawn = sampled(docs)
+    common = common_shingles(drawn, width)
+    hot = hot_signatures(drawn, width, num, den, common)
+    shared = Written(buckets(signed(docs, width, num, den, common, hot)), "buckets")
+    candidates = Written(pairs(shared.df, num, den), "pairs")
+    wanted = candidates.df.select(F.col("a").alias("node")).union(candidates.df.select("b")).union(shared.df.where(F.col("members") > SMALL).select("node"))
+    sets = Written(candidate_sets(docs, width, candidate_filter(wanted)).dropDuplicates(["node"]), "candidate-sets")
+    links = Written(linked(candidates.df, sets.df, num, den), "links")
+    candidates.drop()
+    roots = components(links.df)
+    more = Written(linked_in_groups(open_groups(shared.df, roots), sets.df, num, den), "group-links")
+    if not more.df.isEmpty():
+        roots = components(links.df.unionByName(more.df))
+    for table in (shared, sets, links, more):
+        table.drop()
+    return roots
+
+
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all their columns unchanged, of one document of each group: the one whose id names it.
 

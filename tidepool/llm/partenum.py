@@ -90,8 +90,9 @@ def signatures(items: np.ndarray, num: int, den: int, common: np.ndarray) -> np.
         rare = common[np.minimum(np.searchsorted(common, items), len(common) - 1)] != items
     band = int(np.searchsorted(low, n, side="right")) - 1
     out = [_instance(items, rare, band, num, den)]
-    if den * n >= num * low[band + 1]:  # a similar set may be large enough for the next band
-        out.append(_instance(items, rare, band + 1, num, den))
+    while den * n >= num * low[band + 1]:  # a similar set may be large enough for the next band
+        band += 1
+        out.append(_instance(items, rare, band, num, den))
     return np.concatenate(out)
 
 
