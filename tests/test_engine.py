@@ -1,8 +1,12 @@
 import math
+import os
+import random
+import re
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.functions import ids, scores, snippet, text
 from tidepool.operators import chunking, graph, index, memory, rank
@@ -21,7 +25,7 @@ def test_bm25_equals_fts5(spark):
         phrases = text.query_phrases(query)
         match = " AND ".join('"' + " ".join(p) + '"' for p in phrases)
         want = dict(base.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (match,)))
-        got = {r.id: r.bm25 for r in index.bm25(rows, F.col("body"), phrases).collect()}
+        got = {r.id: r.bm25 for r in index.bm25(index.build(rows, "id", F.col("body")), phrases, "id").collect()}
         assert got.keys() == want.keys()
         assert all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in got)
 
@@ -38,14 +42,34 @@ def test_snippet_equals_fts5():
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("FTS * (search) ÉTÉ", "token=sk-or-v1-abcdef1234 email user@example.com phone +7 999 123-45-67")], "a string, b string")
-    got = row.select(text.count_tokens(F.col("a")), text.fold(F.col("a")), text.redact(F.col("b"))).first()
+    row = spark.createDataFrame([("FTS * (search) ÉTÉ",)], "a string")
+    got = row.select(text.count_tokens(F.col("a")), text.fold(F.col("a"))).first()
     assert got[0] == 3 and got[1].endswith("ete")
-    assert got[2] == "[REDACTED_SECRET] email [REDACTED_EMAIL] phone [REDACTED_PHONE]"
     with pytest.raises(ValueError):
         text.query_phrases(" * ")
 
 
+MASKED = [
+    ("token=sk-or-v1-abcdef1234 email user@example.com phone +7 999 123-45-67", "[REDACTED_SECRET] email [REDACTED_EMAIL] phone [REDACTED_PHONE]"),
+    ("sk-abcdefghijklmno and SK-abcdefghijklmnop", "sk-abcdefghijklmno and [REDACTED_SECRET]"),
+    ("Bearer abc.def bearer abcdefghijkl", "Bearer abc.def [REDACTED_SECRET]"),
+    ("Api-Key : 'x y', password=\"a,b;c", "[REDACTED_SECRET] y', [REDACTED_SECRET],b;c"),
+    ("ñtoken=a tokens=b", "ñtoken=a tokens=b"),
+    ("call 1234567890, a12345678901 or (12) 345-678-901 x", "call [REDACTED_PHONE], a12345678901 or ([REDACTED_PHONE] x"),
+    ("mail a.b+c@d-e.org. b@c", "mail [REDACTED_EMAIL]. b@c"),
+]
+
+
+def test_redaction(spark):
+    rows = spark.createDataFrame(MASKED, "a string, want string").select(text.redact(F.col("a")), "want").collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows]
+
+
+def test_cut_to_tokens():
+    body = "One two-three, (four)  five. "
+    assert [text.cut_to_tokens(body, n) for n in range(5)] == ["", "One", "One two-three, (", "One two-three, (four)", body]
+
+
 def test_scores_and_cursor(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in rows.select(scores.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
@@ -79,56 +103,148 @@ def test_nearest_by_cosine(spark):
     assert {q: [(pytest.approx(s), i) for s, i in x] for q, x in want.items()} == got
 
 
-def test_chunks_cover_every_line():
-    body = "\n".join(f"line {i} with some words" for i in range(40))
-    chunks = list(chunking.chunk(body, size=50, overlap=10))
-    assert len(chunks) > 2 and {n for _, _, _, a, b in chunks for n in range(a, b + 1)} == set(range(1, 41))
-    assert all(t <= 50 for _, _, t, _, _ in chunks)
-    parts = list(chunking.chunk("def a():\n  1\n\ndef b():\n  2", "python", size=3, overlap=0))
-    assert [p[1].split("(")[0] for p in parts] == ["def a", "def b"]
-
-
-def test_store_and_graph(spark):
+def folded(body, boundary, size, overlap):
+    """Chunks by a plain fold over segments: texts, tokens and, by the older count, first and last lines."""
+    lines, out, held, count, start = body.splitlines(), [], [], 0, 0
+    if not body.strip():
+        return out
+    cuts = [i for i in range(len(lines)) if i == 0 or boundary is None or re.match(boundary, lines[i])] + [len(lines)]
+
+    def emit():
+        whole = "\n".join(held).strip()
+        out.append((len(out), whole, max(1, chunking.tokens(whole)), start + 1, start + len(held)))
+
+    for a, b in zip(cuts, cuts[1:]):
+        own = "\n".join(lines[a:b]).strip()
+        if not own:
+            continue
+        n = chunking.tokens(own)
+        if held and count + n > size:
+            emit()
+            again, count = [], 0
+            for line in reversed(held) if overlap > 0 else ():
+                again, count = [line, *again], count + chunking.tokens(line)
+                if count >= overlap:
+                    break
+            held, start = again, max(0, b - len(again))
+        if not held:
+            start = a
+        held += lines[a:b]
+        count += n
+    if held:
+        emit()
+    return out
+
+
+@pytest.mark.parametrize(("language", "boundary"), [("text", None), ("python", r"(async\s+def|def|class)\s"), ("markdown", r"#{1,6}\s"), ("md", r"#{1,6}\s")])
+def test_chunks_equal_a_plain_fold(language, boundary):
+    r = random.Random(language)
+    for _ in range(300):
+        body = "\n".join(r.choice(["", "  ", "def f(x):", "async  def g():", "class A:", "# Head", "###### h", "####### no", "  def inner():", "one two three four", "it's a well-known word", "x"]) for _ in range(r.randrange(25)))
+        size, overlap = r.choice([3, 8, 20]), r.choice([0, 1, 4, 9])
+        got = list(chunking.chunk(body, language, size, overlap, ahead=True))
+        assert got == folded(body, boundary, size, overlap)
+        kept = list(chunking.chunk(body, language, size, overlap))
+        assert [c[:3] for c in kept] == [c[:3] for c in got]
+        assert all(1 <= a <= b <= len(body.splitlines()) for *_, a, b in kept)
+    if language == "text":
+        lines = [f"line {i} with some words" for i in range(40)]
+        for _, whole, _, a, b in chunking.chunk("\n".join(lines), size=50, overlap=10):
+            assert whole == "\n".join(lines[a - 1 : b])
+
+
+def test_versions_and_guards(spark, tmp_path):
     log = spark.createDataFrame([(1, 1, "U", "a"), (1, 2, "U", "b"), (2, 1, "U", "c"), (2, 3, "D", None)], "id int, version int, op string, v string")
     assert [(r.id, r.v) for r in store.latest(log, ["id"]).collect()] == [(1, "b")]
-    tasks = spark.createDataFrame([(1, "todo"), (2, "done")], "id int, status string")
-    assert [r.id for r in store.set_status(tasks, "done").collect()] == [1]
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "s long, t long")
-    assert {(r.id, r.depth) for r in graph.cycles(edges, 5).collect()} == {(1, 3), (2, 3), (3, 3)}
-    assert graph.would_close(edges, 1, 4) is True or graph.would_close(edges, 3, 4) is True
-    assert graph.would_close(edges, 1, 9) is False
+    schema = T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("v", T.StringType()), ("op", T.StringType()), ("version", T.LongType()))])
+    table = store.VersionedTable(spark, str(tmp_path / "t"), schema, ["id"])
+    assert table.head() == 0 and table.latest().count() == 0
+    table.commit([{"id": 1, "v": "a"}, {"id": 2, "v": "b"}])
+    base = table.head()
+    table.commit([{"id": 1, "v": "c"}], base)
+    with pytest.raises(store.Conflict):
+        table.commit([{"id": 1, "v": "lost"}], base)
+    with pytest.raises(ValueError, match="unknown fields"):
+        table.commit([{"id": 3, "priority": 1}])
+    table.commit(spark.createDataFrame([(2,)], "id long"), op="D")
+    rows = lambda df: sorted((r.id, r.v) for r in df.collect())
+    assert rows(table.latest()) == [(1, "c")] and rows(store.latest(table.log(1), ["id"])) == [(1, "a"), (2, "b")]
+    table.compact(keep=F.col("id") == 2)
+    assert rows(table.latest()) == [(1, "c")] and table.log().count() == 2
+    assert table.vacuum() >= 3 and rows(table.latest()) == [(1, "c")]
+    table.commit([{"id": 5, "v": "e"}])
+    assert rows(table.latest()) == [(1, "c"), (5, "e")]
+    gone = next(p for p in (tmp_path / "t").iterdir() if p.name.startswith("c"))
+    gone.rename(tmp_path / "away")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        table.latest().count()
+
+
+def test_states_and_updates(spark):
+    tasks = spark.createDataFrame([(1, "open"), (2, "done"), (3, "closed"), (4, "blocked")], "id int, status string")
+    assert [r.id for r in store.set_status(tasks, "done").orderBy("id").collect()] == [1, 2, 4]
+    assert [r.id for r in store.set_status(tasks, "open").collect()] == [1] and store.set_status(tasks, "done", expected="closed").count() == 0
+    one = spark.createDataFrame([("a", None), ("a", "b")], "old string, new string")
+    old, new = F.col("old"), F.col("new")
+    got = one.select(store.updated(old, new), store.updated(old, new, clear=True), store.updated(old, new, replace=True)).collect()
+    assert [tuple(r) for r in got] == [("a", None, None), ("b", None, "b")]
+    with pytest.raises(ValueError):
+        store.updated(old, new, clear=True, replace=True)
 
 
-def test_a_long_chain_closes(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(110)], "s int, t int").coalesce(1).cache()
-    assert graph.would_close(chain, 110, 0) is True
+def test_cycles_and_long_chains(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 5), (6, 7)], "s long, t long")
+    assert {(r.id, r.depth) for r in graph.cycles(edges).collect()} == {(1, 3), (2, 3), (3, 3), (5, 1)}
+    assert graph.would_close(edges, 1, 4) is True and graph.would_close(edges, 1, 9) is False and graph.would_close(edges, 8, 8) is True
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "s int, t int").coalesce(1)
+    assert graph.would_close(chain, 300, 0) is True and graph.would_close(chain, 301, 0) is False and graph.cycles(chain).count() == 0
 
 
 def test_memory(spark):
-    facts = spark.createDataFrame([(1, "global", "t", 1, 1, "Use pytest ", 0.5, "candidate"), (2, "global", "t", 1, 2, "use pytest", 0.9, "active"), (3, "global", "t", 1, 3, "use nose", 0.1, "active")], "id long, scope string, fact_type string, project long, evidence long, content string, confidence double, status string")
-    merged = {r.content: r for r in memory.merge(facts).collect()}
-    assert merged["use pytest"].evidence == [1, 2] and merged["use pytest"].confidence == 0.9 and merged["use pytest"].status == "active"
-    assert memory.conflicts(facts).first().variants == 2
+    facts = spark.createDataFrame([(1, "global", "t", 1, 1, "Use pytest ", 0.5, "candidate"), (2, "global", "t", 1, 2, "use pytest", 1.9, "active"), (3, "global", "t", 1, 3, "use nose", 0.1, "active"), (4, "project", "t", 2, 4, "use nose", 0.1, "conflicted")], "id long, scope string, fact_type string, project long, evidence long, content string, confidence double, status string")
+    merged = {(r.content, r.project): r for r in memory.merge(facts).collect()}
+    one = merged["use pytest", None]
+    assert one.evidence == [1, 2] and one.confidence == 1.0 and one.status == "active" and merged["use nose", 2].status == "conflicted"
+    assert [r.variants for r in memory.conflicts(facts).collect()] == [2]
     gone = spark.createDataFrame([(3,)], "evidence long")
     assert [r.status for r in memory.invalidate(facts, gone).orderBy("id").collect()][2] == "deleted"
+    assert facts.where(memory.visible([], None)).count() == 4 and facts.where(memory.visible([1])).count() == 3
 
 
 def test_search_page(spark):
     rows = spark.createDataFrame([(d, d * 10, "t", b, [float(d), 1.0]) for d, b in DOCS], "document_id long, chunk_id long, title string, body string, embedding array<double>")
     got = search(rows, SearchQuery("cat and", limit=2, budget=500), vector=[1.0, 0.0]).collect()
     assert 1 <= len(got) <= 2 and "[cat]" in " ".join(r.snippet for r in got) + "[cat]"
+    for wrong in ({"limit": 101}, {"limit": 0}, {"budget": 10_001}, {"types": ("facts",)}, {"weights": {"notes": 0.0}}, {"cursor": "!!"}, {"cursor": rank.encode_cursor({"id": 1})}):
+        with pytest.raises(ValueError):
+            SearchQuery("x", **wrong)
     with pytest.raises(ValueError):
-        SearchQuery("x", limit=101)
-    assert split_budget(100, ("note", "file"), {"note": 3.0}) == {"note": 75, "file": 25}
+        SearchQuery("  ")
+    assert split_budget(100, ("notes", "files"), {"notes": 3.0}) == {"notes": 75, "files": 25}
+    assert [SearchQuery("deploy plan", limit=n).look_ahead for n in (1, 25, 26, 100)] == [4, 100, 100, 100] and SearchQuery("a b", limit=5).look_ahead_of(3) == 7
+    assert SearchQuery("te").lexical_only and SearchQuery("deploy").lexical_only and not SearchQuery("deploy plan").lexical_only
+    assert SearchQuery("x", types=("Notes", "notes"), projects=("a", " ", "a")).types == ("notes",)
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "src").mkdir()
-    (tmp_path / "src" / "a.py").write_text("def a(): pass")
-    (tmp_path / "b.bin").write_bytes(b"x\0y")
-    (tmp_path / "skip.log").write_text("no")
-    got = files.scan(spark, str(tmp_path), ["*.log"]).collect()
-    assert [(r.language, r.text) for r in got] == [("python", "def a(): pass")]
+    root = tmp_path / "root"
+    (root / "src" / "deep").mkdir(parents=True)
+    made = {"src/a.py": "def a(): pass", "src/deep/b.md": "# B", "src/deep/c.tmp": "x", "c.tmp": "kept", "skip.log": "no", "build/x.txt": "no", "README": "r", "docs/one.txt": "glob", "docs/sub/two.txt": "glob too"}
+    for name, body in made.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    (root / "src" / "deep" / ".gitignore").write_text("# none\n*.tmp\n")
+    (root / ".gitignore").write_text("build/\n\ndocs/s*/t*.txt\n")
+    (root / "b.bin").write_bytes(b"x\0y")
+    (root / "late.bin").write_bytes(b"x" * 5000 + b"\0")
+    (root / "bad.txt").write_bytes(b"\xff\xfe")
+    (root / "big.txt").write_text("y" * 9000)
+    (root / "link.py").symlink_to(root / "src" / "a.py")
+    (root / "way").symlink_to(root / "src")
+    os.link(root / "README", root / "twice")
+    got = {r.relative: (r.language, r.text) for r in files.scan(spark, str(root), ["*.log"], 8000).collect()}
+    assert set(got) == {"src/a.py", "src/deep/b.md", "c.tmp", "docs/one.txt", "late.bin", ".gitignore", "src/deep/.gitignore"}
+    assert got["src/a.py"] == ("python", "def a(): pass") and got["src/deep/b.md"][0] == "markdown"
 
 
 def test_streams(spark, tmp_path):

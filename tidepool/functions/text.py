@@ -16,14 +16,26 @@ TERM = r"([\p{L}\p{N}]+)"
 _MARKED = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xDF, 0x250)) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1]
 _FROM, _TO = "".join(c for c, _ in _MARKED), "".join(b for _, b in _MARKED)
 
-# What is masked, in this order, and by what.
+# What is masked, in this order, and by what. Classes are Unicode's.
 REDACTIONS = (
-    (r"(?i)\b(?:api[_-]?key|token|secret|password)\b\s*[:=]\s*[\"']?[^\s\"',;]+", "[REDACTED_SECRET]"),
-    (r"\bsk-[A-Za-z0-9_-]{8,}", "[REDACTED_SECRET]"),
-    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "[REDACTED_SECRET]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
-    (r"(?<![\w.])\+?\d(?:[ ().-]?\d){8,14}(?![\w.])", "[REDACTED_PHONE]"),
+    (r"(?i)\b(?:sk-or-v1-|sk-)[A-Za-z0-9_-]{16,}", "[REDACTED_SECRET]"),
+    (r"(?i)\b(?:bearer\s+)[A-Za-z0-9._~+/=-]{12,}", "[REDACTED_SECRET]"),
+    (r"(?i)\b(?:api[_-]?key|token|password|secret)\s*[:=]\s*[^\s,;]+", "[REDACTED_SECRET]"),
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED_EMAIL]"),
+    (r"(?<!\w)(?:\+?\d[\d ()-]{8,}\d)(?!\w)", "[REDACTED_PHONE]"),
 )
+# Languages by suffix; others are text.
+LANGUAGES = {
+    ".py": "python",
+    ".md": "markdown",
+    ".markdown": "markdown",
+    ".txt": "text",
+    ".rst": "text",
+    ".json": "json",
+    ".toml": "toml",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+}
 
 
 def fold(text: Column) -> Column:
@@ -63,7 +75,7 @@ def around(text: Column, word: str, before: int = 80, length: int = 240) -> Colu
 
 def redact(text: Column, rules: tuple = REDACTIONS) -> Column:
     for pattern, mask in rules:
-        text = F.regexp_replace(text, pattern, mask.replace("$", r"\$"))
+        text = F.regexp_replace(text, f"(?U){pattern}", mask)
     return text
 
 
@@ -72,7 +84,14 @@ def normalized(text: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    """A file's language by its suffix."""
-    known = {"py": "python", "md": "markdown", "js": "javascript", "ts": "typescript", "rs": "rust", "go": "go", "java": "java", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "html": "html", "sql": "sql", "sh": "shell"}
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))), F.lit("text"))
+    """A file's language by its suffix: from the last dot of its name on, unless the name begins there."""
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))), F.lit("text"))
+
+
+def cut_to_tokens(text: str, budget: int) -> str:
+    """The longest beginning of a text, without white space at its end, that holds at most ``budget`` tokens."""
+    if budget <= 0:
+        return ""
+    found = list(re.finditer(r"[^\W_]+(?:[-'][^\W_]+)*", text))
+    return text if len(found) <= budget else text[: found[budget].start()].rstrip()

@@ -5,45 +5,89 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import kept
+
 
 def orphans(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Links whose target isn't there."""
     return links.join(targets, "target_id", "left_anti")
 
 
+def misplaced(links: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links with an end that isn't there, is of another project than the other end, or, for task relations, is no task.
+
+    ``documents`` holds (id, project, kind); ``reason`` says which. Each end is one join on its id.
+    """
+    ends = documents.select("id", "project", "kind")
+    source = ends.select(F.col("id").alias("source_id"), F.col("project").alias("_sp"), F.col("kind").alias("_sk"))
+    target = ends.select(F.col("id").alias("target_id"), F.col("project").alias("_tp"), F.col("kind").alias("_tk"))
+    joined = links.join(source, "source_id", "left").join(target, "target_id", "left")
+    tasks = F.col("relation").isin("child_of", "blocked_by")
+    reason = (
+        F.when(F.col("_sp").isNull(), "no_source").when(F.col("_tp").isNull(), "no_target")
+        .when(F.col("_sp") != F.col("_tp"), "cross_project").when(tasks & ((F.col("_sk") != "task") | (F.col("_tk") != "task")), "not_a_task")
+    )
+    return joined.withColumn("reason", reason).where("reason IS NOT NULL").drop("_sp", "_sk", "_tp", "_tk")
+
+
 def summaries(edges: DataFrame) -> DataFrame:
-    """(id, links): every node's links out and in, each once, sorted."""
-    out = edges.select(F.col("source_id").alias("id"), F.concat(F.lit("out:"), F.col("target_id").cast("string")).alias("link"))
-    into = edges.select(F.col("target_id").alias("id"), F.concat(F.lit("in:"), F.col("source_id").cast("string")).alias("link"))
-    return out.unionByName(into).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("link")), ",").alias("links"))
-
-
-def cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """(id, depth): nodes that reach themselves within ``depth`` steps, and in how many. Each step is one join."""
-    step = edges.select(F.col("s").alias("at"), F.col("t").alias("to"))
-    reached = edges.select(F.col("s").alias("start"), F.col("t").alias("at"))
-    found = None
-    for n in range(1, depth + 1):
-        closed = reached.where("start = at").select(F.col("start").alias("id"), F.lit(n).alias("depth"))
-        found = closed if found is None else found.unionByName(closed)
-        if n < depth:
-            reached = reached.where("start <> at").join(step, "at").select("start", F.col("to").alias("at")).distinct()
-            if n % 8 == 0:
-                reached = reached.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else reached
-    return found.groupBy("id").agg(F.min("depth").alias("depth"))
-
-
-def would_close(edges: DataFrame, source: int, target: int) -> bool:
-    """Whether a new link from source to target closes a cycle: whether target already reaches source, by any number of steps."""
+    """(id, links): every node's links out, then in, as structs (direction, relation, other), each once, ordered.
+
+    Links are made distinct before they are gathered. A node's summary is as long as it has links; views of one node with
+    very many are better read from the link table.
+    """
+    out = edges.select(F.col("source_id").alias("id"), F.struct(F.lit("out").alias("direction"), F.col("relation"), F.col("target_id").alias("other")).alias("link"))
+    into = edges.select(F.col("target_id").alias("id"), F.struct(F.lit("in").alias("direction"), F.col("relation"), F.col("source_id").alias("other")).alias("link"))
+    whole = out.unionByName(into).where(F.col("link.other").isNotNull() & F.col("link.relation").isNotNull()).distinct()
+    order = lambda a, b: F.when(a["direction"] > b["direction"], -1).when(a["direction"] < b["direction"], 1).when(F.struct(a["relation"], a["other"]) < F.struct(b["relation"], b["other"]), -1).otherwise(1)
+    return whole.groupBy("id").agg(F.array_sort(F.collect_list("link"), order).alias("links"))
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    """Twice as many steps: from, to."""
+    return jump.alias("a").join(jump.alias("b"), F.col("a.t") == F.col("b.s")).select(F.col("a.s").alias("s"), F.col("b.t").alias("t"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(id, depth): nodes that reach themselves, and in how many steps, where each node has at most one link out.
+
+    Jumps of doubled length are kept for the nodes that earlier jumps end at; those become fewer, and after more steps than
+    there are nodes only nodes on cycles are left. Rounds grow with the logarithm of the number of nodes.
+    """
+    step = kept(edges.select("s", "t").distinct(), "steps")
+    jump, length, nodes = step, 1, step.count()
+    while length <= nodes:
+        ends = jump.select(F.col("t").alias("s")).distinct()
+        jump = kept(_doubled(jump).join(ends, "s", "left_semi"), "jumps")
+        length *= 2
+    ring = kept(step.join(jump.select(F.col("t").alias("s")).distinct(), "s", "left_semi"), "rings")
+    # Every node of a cycle takes the least node within doubled reach, until that is the whole cycle.
+    label, jump, length, nodes = ring.select("s", F.least("s", "t").alias("low")), ring, 1, ring.count()
+    while length <= nodes:
+        far = label.select(F.col("s").alias("t"), F.col("low").alias("other"))
+        label = kept(jump.join(far, "t").join(label, "s").select("s", F.least("low", "other").alias("low")), "labels")
+        jump = kept(_doubled(jump), "jumps")
+        length *= 2
+    size = label.groupBy("low").agg(F.count(F.lit(1)).cast("int").alias("depth"))
+    return label.join(size, "low").select(F.col("s").alias("id"), "depth")
+
+
+def would_close(edges: DataFrame, source, target) -> bool:
+    """Whether a new link from source to target closes a cycle: whether target reaches source, by any number of steps.
+
+    Each node has at most one link out. What target reaches doubles in steps every round, so rounds grow with the logarithm
+    of the chain.
+    """
     if target == source:
         return True
-    kept = edges.sparkSession.sparkContext.getCheckpointDir()
-    cut = lambda df: df.checkpoint() if kept else df.localCheckpoint()
-    step = edges.select(F.col("s").alias("at"), F.col("t").alias("to"))
-    front = seen = cut(edges.where(F.col("s") == target).select(F.col("t").alias("at")).distinct())
-    while not front.isEmpty():
-        if not front.where(F.col("at") == source).isEmpty():
+    jump = edges.select("s", "t").distinct()
+    reached = kept(edges.where(F.col("s") == target).select(F.col("t").alias("at")).distinct(), "reached")
+    size = 0
+    while (grown := reached.count()) > size:
+        if not reached.where(F.col("at") == source).isEmpty():
             return True
-        front = cut(front.join(step, "at").select(F.col("to").alias("at")).distinct().join(seen, "at", "left_anti"))
-        seen = cut(seen.union(front).coalesce(8))
+        size = grown
+        further = reached.join(jump, F.col("at") == F.col("s")).select(F.col("t").alias("at"))
+        reached = kept(reached.union(further).distinct(), "reached")
+        jump = kept(_doubled(jump), "jumps")
     return False

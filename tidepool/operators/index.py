@@ -1,18 +1,50 @@
-"""Full-text index and BM25 search."""
+"""Full-text index and BM25 search: texts are tokenised when the index is written, and a search reads its terms' postings."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import bm25_part, idf
 from ..functions.text import terms
+from ..sources.work import kept, stamp
+
+
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (term, key, tf, length), sorted by term; rows and mean length of the corpus; the corpus (key, text)."""
+
+    postings: DataFrame
+    rows: int
+    mean: float
+    corpus: DataFrame
 
 
 def postings(corpus: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, positions): one row for each term of a document. Written once, it serves any number of searches."""
-    tokens = corpus.select(key, F.posexplode(terms(text)).alias("position", "term"))
-    return tokens.groupBy("term", key).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """(term, key, tf): a term's hits in a document are counted where the document is, before anything is shuffled."""
+    return corpus.select(F.col(key).alias("key"), F.explode(terms(text)).alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def build(corpus: DataFrame, key: str, text: Column) -> Index:
+    """Writes the index of a corpus, whose keys must be unique. Files are ranges of (term, key), so common terms span many."""
+    counted = kept(postings(corpus, key, text), "index-counts")
+    lengths = kept(counted.groupBy("key").agg(F.sum("tf").alias("length")), "index-lengths")
+    whole = counted.join(lengths, "key").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+    rows, total = corpus.count(), lengths.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return Index(kept(whole.select("term", "key", "tf", "length"), "index"), rows, total / max(rows, 1), corpus.select(F.col(key).alias("key"), text.alias("text")))
+
+
+_BUILT: dict[tuple, Index] = {}
+
+
+def of(corpus: DataFrame, key: str, text: Column) -> Index:
+    """The index of files as they are: built when first asked for in this application, and again once the files change."""
+    mark = (corpus.sparkSession.sparkContext.applicationId, stamp(corpus), key, str(text._jc) if hasattr(text, "_jc") else str(text))
+    if mark not in _BUILT:
+        _BUILT[mark] = build(corpus, key, text)
+    return _BUILT[mark]
 
 
 def _and_is(word: str):
@@ -28,23 +60,42 @@ def phrase_hits(tokens: Column, phrase: list[str]) -> Column:
     return F.size(F.filter(here, lambda hit: hit)).cast("bigint")
 
 
-def bm25(corpus: DataFrame, text: Column, phrases: list[list[str]], keep: Column | None = None) -> DataFrame:
-    """Rows that hold every phrase, with ``length`` in terms and ``bm25`` (negative, smaller is better).
+def frequencies(index: Index, phrases: list[list[str]]) -> DataFrame:
+    """(key, length, f0, f1, ...): how often each phrase stands in the documents that hold any of them.
+
+    Terms are looked up in the postings. Of a phrase of several words only the texts that hold all its words are read.
+    """
+    words = sorted({w for p in phrases for w in p})
+    at = {w: f"t{i}" for i, w in enumerate(words)}
+    found = index.postings.where(F.col("term").isin(words))
+    found = found.groupBy("key").agg(F.max("length").alias("length"), *[F.coalesce(F.sum(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(c) for w, c in at.items()])
+    long = {i: p for i, p in enumerate(phrases) if len(p) > 1}
+    if long:
+        holds = F.lit(False)
+        for p in long.values():
+            every = F.lit(True)
+            for w in set(p):
+                every = every & (F.col(at[w]) > 0)
+            holds = holds | every
+        texts = index.corpus.join(found.where(holds).select("key"), "key", "left_semi").withColumn("text", terms(F.col("text")))
+        hits = kept(texts.select("key", *[phrase_hits(F.col("text"), p).alias(f"p{i}") for i, p in long.items()]), "phrase-hits")
+        found = found.join(hits, "key", "left")
+    counts = [F.coalesce(F.col(f"p{i}"), F.lit(0)) if i in long else F.col(at[p[0]]) for i, p in enumerate(phrases)]
+    return found.select("key", "length", *[c.cast("bigint").alias(f"f{i}") for i, c in enumerate(counts)])
+
+
+def bm25(index: Index, phrases: list[list[str]], key: str = "key") -> DataFrame:
+    """(key, length, bm25) of the documents that hold every phrase; bm25 is negative, smaller is better.
 
-    Counts over the whole corpus come from one aggregation to a single row, joined as a broadcast; no term is shuffled.
-    ``keep`` limits the rows returned, not the statistics.
+    Counts are over the whole corpus: how many documents hold each phrase comes to the driver, a number for each phrase.
     """
-    counted = corpus.withColumn("_terms", terms(text))
-    counted = counted.select("*", F.size("_terms").cast("bigint").alias("length"), *[phrase_hits(F.col("_terms"), p).alias(f"_f{i}") for i, p in enumerate(phrases)]).drop("_terms")
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_n{i}") for i in range(len(phrases))])
-    found = counted
-    for i in range(len(phrases)):
-        found = found.where(F.col(f"_f{i}") > 0)
-    if keep is not None:
-        found = found.where(keep)
-    joined = found.crossJoin(F.broadcast(stats))  # a single row
-    parts = [bm25_part(idf(F.col("_n"), F.col(f"_n{i}")), F.col(f"_f{i}"), F.col("length"), F.col("_mean")) for i in range(len(phrases))]
-    score = parts[0]
-    for part in parts[1:]:
-        score = score + part
-    return joined.withColumn("bm25", -score).drop("_n", "_mean", *[f"_f{i}" for i in range(len(phrases))], *[f"_n{i}" for i in range(len(phrases))])
+    found = frequencies(index, phrases)
+    names = [f"f{i}" for i in range(len(phrases))]
+    having = found.agg(*[F.count_if(F.col(n) > 0).alias(n) for n in names]).first()
+    score = F.lit(0.0)
+    for n in names:
+        score = score + bm25_part(idf(F.lit(float(index.rows)), F.lit(float(having[n]))), F.col(n), F.col("length"), F.lit(index.mean))
+    every = F.lit(True)
+    for n in names:
+        every = every & (F.col(n) > 0)
+    return found.where(every).select(F.col("key").alias(key), F.col("length").cast("bigint").alias("length"), (-score).alias("bm25"))

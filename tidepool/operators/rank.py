@@ -66,49 +66,39 @@ def page_after(rows: DataFrame, key: str, after: int | str | None, limit: int, n
     return rows.orderBy(column.desc() if newest_first else column.asc()).limit(limit + 1)
 
 
-def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
-    """Vectors as blocks of at most VECTORS rows: ids, and components row by row. Null, empty, zero and non-finite vectors are left out."""
-
-    def pack(batches):
-        for batch in batches:
-            kept: dict[int, list] = {}
-            for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key is not None and vector and None not in vector and any(vector) and np.isfinite(vector).all():
-                    kept.setdefault(len(vector), []).append((key, vector))
-            for width, members in kept.items():
-                for start in range(0, len(members), VECTORS):
-                    part = members[start : start + VECTORS]
-                    values = np.array([v for _, v in part], dtype=float)
-                    values /= np.linalg.norm(values, axis=1, keepdims=True)
-                    yield pa.RecordBatch.from_pydict({f"{prefix}_width": [width], f"{prefix}_ids": [[k for k, _ in part]], f"{prefix}_unit": [values.tobytes()]}, schema=schema)
-
-    schema = pa.schema([(f"{prefix}_width", pa.int64()), (f"{prefix}_ids", pa.list_(pa.int64())), (f"{prefix}_unit", pa.binary())])
-    return rows.mapInArrow(pack, f"{prefix}_width bigint, {prefix}_ids array<bigint>, {prefix}_unit binary")
+def _valid(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, vector, width) without null ids and without vectors that are null, empty, zero or not finite."""
+    rows = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    return rows.where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("width", F.size("vector"))
 
 
 def nearest_by_cosine(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, doc_id, score, n): the k rows nearest to each query by cosine, rounded to six places, ties to the smaller id.
 
-    Blocks of queries meet blocks of rows, one product of matrices each; what leaves a meeting is k rows a query. There is
-    no join key, as all vectors may have one width; Spark broadcasts one side only below its own threshold for sizes.
+    Rows are dealt by a hash to blocks of about VECTORS, queries to chunks. Every chunk meets every block of its width, by
+    key: one product of matrices each, and what leaves a meeting is k rows a query.
     """
-    columns = [F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")]
-    met = _blocks(queries.select(*columns), "q").crossJoin(_blocks(rows.select(*columns), "r"))
-
-    def meet(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["q_width"] != r["r_width"]:
-                    continue
-                q = np.frombuffer(r["q_unit"]).reshape(len(r["q_ids"]), -1)
-                x = np.frombuffer(r["r_unit"]).reshape(len(r["r_ids"]), -1)
-                ids, score = np.array(r["r_ids"]), np.round(q @ x.T, 6)
-                best = [np.lexsort((ids, -s))[:k] for s in score]
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": np.repeat(r["q_ids"], [len(b) for b in best]), "doc_id": ids[np.concatenate(best)], "score": np.concatenate([s[b] for s, b in zip(score, best, strict=True)])}, schema=schema,
-                )
-
+    rows, queries = _valid(rows, id_col, vector_col), _valid(queries, id_col, vector_col)
+    blocks, chunks = rows.count() // VECTORS + 1, queries.count() // VECTORS + 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumns({"chunk": F.pmod(F.xxhash64("id", F.lit("chunk")), F.lit(chunks)).cast("int"), "block": each(blocks)})
+    right = rows.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "chunk": each(chunks)})
+    keys = ["width", "block", "chunk"]
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-    near = met.mapInArrow(meet, "query_id bigint, doc_id bigint, score double")
+
+    def unit(table: pa.Table) -> np.ndarray:
+        flat = pa.concat_arrays([c.flatten() for c in table.column("vector").chunks])
+        values = np.asarray(flat).reshape(table.num_rows, -1)
+        return values / np.linalg.norm(values, axis=1, keepdims=True)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids, score = right.column("id").to_numpy(), np.round(unit(left) @ unit(right).T, 6)
+        best = [np.lexsort((ids, -s))[:k] for s in score]
+        return pa.table({"query_id": np.repeat(left.column("id").to_numpy(), [len(b) for b in best]), "doc_id": ids[np.concatenate(best)], "score": np.concatenate([s[b] for s, b in zip(score, best, strict=True)])}, schema=schema)
+
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, doc_id bigint, score double")
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return near.withColumn("n", F.row_number().over(over)).where(F.col("n") <= k)

@@ -11,6 +11,7 @@ from ..functions import scores, text
 from ..operators import graph, index, memory, rank
 from ..sources import datasets, store
 from ..sources.datasets import read
+from ..sources.work import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,11 +34,11 @@ def big(column: str, name: str | None = None):
 # Common table expressions of the SQL side, as text.
 NOTES = """notes AS (SELECT d.doc_id AS id, source AS project, lang AS title, text AS body, n_chars, coalesce(quality, 0) = 1 AS pinned, coalesce(toxic, 0) = 1 AS deleted
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
-FACTS = """facts AS (SELECT conv_id * 1000 + turn AS id, conv_id AS evidence, role AS fact_type, trim(regexp_extract(text, '^([^\\n]*)', 1)) AS content, turn,
+FACTS = """facts AS (SELECT conv_id * 1000 + turn AS id, conv_id AS evidence, role AS fact_type, trim(text) AS content, turn,
   ['global', 'project', 'chat'][turn % 3 + 1] AS scope, ['active', 'candidate', 'conflicted', 'deleted'][conv_id % 4 + 1] AS status, conv_id % 7 AS project, turn % 10 / 10.0 AS confidence FROM conversations)"""
 LINKS = """links AS (SELECT l_orderkey AS source_id, l_partkey AS target_id, 'uses_part' AS kind FROM lineitem UNION ALL SELECT l_orderkey, l_suppkey, 'from_supplier' FROM lineitem)"""
 TASKS = """tasks AS (SELECT o_orderkey AS id, o_orderpriority AS project, o_custkey || ':' || strftime(o_orderdate, '%Y-%m-%d') AS external_key,
-  CASE o_orderstatus WHEN 'O' THEN 'todo' WHEN 'F' THEN 'done' WHEN 'P' THEN 'in_progress' END AS status, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS due_at, o_custkey AS owner, o_totalprice AS weight FROM orders)"""
+  CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' WHEN 'P' THEN 'in_progress' END AS status, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS due_at, o_custkey AS owner, o_totalprice AS weight FROM orders)"""
 
 
 def ranked_sql(table: str, key: str, body: str, terms: list[str], name: str = "r") -> str:
@@ -56,8 +57,14 @@ def ranked_sql(table: str, key: str, body: str, terms: list[str], name: str = "r
 THE_AND = ranked_sql("documents", "doc_id", "text", ["the", "and"])
 
 
+def indexed(spark: SparkSession, d: str, table: str, key: str, body: str) -> index.Index:
+    """The index of a table's texts, written when a query first needs it."""
+    rows = read(spark, d, table).withColumn("_key", F.expr(key))
+    return index.of(rows, "_key", F.col(body))
+
+
 def found(spark: SparkSession, d: str, *terms: str) -> DataFrame:
-    return index.bm25(read(spark, d, "documents"), F.col("text"), [[t] for t in terms or ("the", "and")])
+    return index.bm25(indexed(spark, d, "documents", "doc_id", "text"), [[t] for t in terms or ("the", "and")], "doc_id")
 
 
 # Full-text search.
@@ -68,11 +75,14 @@ def lexical_bm25_topk(spark, d):
     return found(spark, d).select("doc_id", "length", F.round(-F.col("bm25"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query(f"""WITH {THE_AND} SELECT key AS doc_id, round(bm25, 6) AS bm25, round(1 / (1 + abs(bm25)), 6) AS inverse, round(CASE WHEN bm25 = -1 THEN NULL ELSE 1 / (1 + bm25) END, 4) AS pole,
-  round(abs(bm25) / (1 + abs(bm25)), 6) AS relevance FROM r WHERE abs(1 + bm25) > 0.01""")
+@query(f"""WITH {THE_AND} SELECT key AS doc_id, round(bm25, 6) AS bm25, round(1 / (1 + abs(bm25)), 6) AS inverse, abs(1 + bm25) <= 0.01 AS near_pole,
+  round(CASE WHEN abs(1 + bm25) <= 0.01 THEN NULL ELSE 1 / (1 + bm25) END, 4) AS pole, round(abs(bm25) / (1 + abs(bm25)), 6) AS relevance FROM r""")
 def lexical_scores_modes(spark, d):
+    """Next to its pole the second mode is too steep to be compared by digits; such rows say so."""
     b = F.col("bm25")
-    return found(spark, d).where(F.abs(1 + b) > 0.01).select("doc_id", F.round(b, 6).alias("bm25"), F.round(scores.relevance(b, "inverse"), 6).alias("inverse"), F.round(scores.relevance(b, "pole"), 4).alias("pole"), F.round(scores.relevance(b), 6).alias("relevance"))
+    near = F.abs(1 + b) <= 0.01
+    pole = F.when(~near, F.round(scores.relevance(b, "pole"), 4))
+    return found(spark, d).select("doc_id", F.round(b, 6).alias("bm25"), F.round(scores.relevance(b, "inverse"), 6).alias("inverse"), near.alias("near_pole"), pole.alias("pole"), F.round(scores.relevance(b), 6).alias("relevance"))
 
 
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS tk FROM documents)
@@ -90,8 +100,8 @@ def token_counts(spark, d):
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS hits FROM t GROUP BY term ORDER BY df DESC, term LIMIT 50""")
 def postings_stats(spark, d):
-    p = index.postings(read(spark, d, "documents"), "doc_id", F.col("text"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).cast("bigint").alias("hits")).orderBy(F.desc("df"), "term").limit(50)
+    p = indexed(spark, d, "documents", "doc_id", "text").postings
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("hits")).orderBy(F.desc("df"), "term").limit(50)
 
 
 @query(r"SELECT doc_id, array_to_string(regexp_split_to_array(trim(text), '\s+')[1:12], ' ') AS snippet FROM documents")
@@ -112,8 +122,8 @@ def snippet_lexical(spark, d):
     def snippet(s):
         return s.map(lambda x: highlight(x, [["the"], ["and"]]))
 
-    top = found(spark, d).select("doc_id", "text", F.round(-F.col("bm25"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
-    return top.select("doc_id", "score", snippet("text").alias("snippet"))
+    top = found(spark, d).select("doc_id", F.round(-F.col("bm25"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return top.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "score", snippet("text").alias("snippet"))
 
 
 # Vectors and fusion.
@@ -122,8 +132,8 @@ COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 def near(spark, d, limit):
     e = read(spark, d, "embeddings")
-    q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))
-    scored = e.crossJoin(q).select(F.col("vec_id").alias("doc_id"), F.round(scores.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    q = e.where("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("q")).first().q  # one vector
+    scored = e.select(F.col("vec_id").alias("doc_id"), F.round(scores.cosine(F.col("embedding"), F.array(*[F.lit(x) for x in q])), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
@@ -200,9 +210,9 @@ PARTS = [("note", "documents", "doc_id", "text", "source"), ("history", "convers
 def hits(spark, d):
     made = None
     for kind, table, key, body, project in PARTS:
-        corpus = read(spark, d, table).select(F.expr(key).alias("id"), F.expr(project).alias("project"), F.col(body).alias("body"))
-        part = index.bm25(corpus, F.col("body"), [["the"]]).select(F.lit(kind).alias("type"), "id", "project", F.round(scores.relevance(F.col("bm25")), 6).alias("score"))
+        part = index.bm25(indexed(spark, d, table, key, body), [["the"]], "id").select("id", F.round(scores.relevance(F.col("bm25")), 6).alias("score"))
         part = part.orderBy(F.desc("score"), "id").limit(100)
+        part = part.join(read(spark, d, table).select(F.expr(key).alias("id"), F.expr(project).alias("project")), "id").select(F.lit(kind).alias("type"), "id", "project", "score")
         made = part if made is None else made.unionByName(part)
     return rank.best_per(made, ["type", "id", "project"], [F.desc("score")])
 
@@ -218,11 +228,11 @@ def unified_search(spark, d):
 
 @query(HITS + ", o AS (SELECT *, row_number() OVER (ORDER BY score DESC, type, id) AS n FROM hits) SELECT type, id, project, score FROM o WHERE n > 20 AND n <= 40")
 def search_keyset_page2(spark, d):
-    rows = hits(spark, d).cache()
-    last = rows.orderBy(F.desc("score"), "type", "id").limit(20).orderBy("score", F.desc("type"), F.desc("id")).limit(1)
-    last = F.broadcast(last.select(F.struct(-F.col("score"), "type", "id").alias("cursor")))
-    key = F.struct(-F.col("score"), "type", "id")
-    return rows.crossJoin(last).where(key > F.col("cursor")).drop("cursor").orderBy(F.desc("score"), "type", "id").limit(20)
+    rows = kept(hits(spark, d), "hits")  # at most 100 of each kind
+    last = rows.orderBy(F.desc("score"), "type", "id").limit(20).collect()[-1]
+    mark = F.struct(F.lit(-last.score).alias("s"), F.lit(last.type).alias("t"), F.lit(last.id).alias("i"))
+    key = F.struct((-F.col("score")).alias("s"), F.col("type").alias("t"), F.col("id").alias("i"))
+    return rows.where(key > mark).orderBy(F.desc("score"), "type", "id").limit(20)
 
 
 @query(HITS + " SELECT type, count(*) AS candidates, round(max(score), 6) AS best FROM hits GROUP BY type")
@@ -285,11 +295,11 @@ def visibility_scope_filter(spark, d):
 
 
 @query(f"""WITH {FACTS}, s AS (SELECT fact_type || turn AS name, list_sort(list(DISTINCT evidence % 6)) AS ev FROM facts GROUP BY 1)
-SELECT a.name AS a, b.name AS b FROM s a JOIN s b ON a.ev = b.ev AND a.name < b.name""")
+SELECT name, min(name) OVER (PARTITION BY array_to_string(ev, ',')) AS "first" FROM s""")
 def evidence_set_equal(spark, d):
     name = F.concat("fact_type", F.col("turn").cast("string"))
-    s = datasets.facts(spark, d).groupBy(name.alias("a")).agg(F.array_sort(F.collect_set(F.col("evidence") % 6)).alias("ev"))
-    return s.join(s.withColumnRenamed("a", "b"), "ev").where("a < b").select("a", "b")
+    s = datasets.facts(spark, d).groupBy(name.alias("name")).agg(F.collect_set(F.col("evidence") % 6).alias("evidence"))
+    return memory.first_of_equal_evidence(s, "name").select("name", "first")
 
 
 @query(f"WITH {FACTS}, s AS (SELECT content, list(DISTINCT evidence) AS ev FROM facts WHERE content <> '' GROUP BY content) SELECT content FROM s WHERE list_has_any(ev, [1, 3, 8])")
@@ -358,11 +368,12 @@ def unique_backfill(spark, d):
     return counted.where("n = 1").select("id", "external_key")
 
 
-@query("""WITH e AS (SELECT n_nationkey AS s, 100 + n_regionkey AS t FROM nation), a AS (SELECT s AS id, 'out:' || t AS link FROM e UNION SELECT t, 'in:' || s FROM e)
-SELECT CAST(id AS BIGINT) AS id, array_to_string(list_sort(list(link)), ',') AS links FROM a GROUP BY id""")
+@query("""WITH e AS (SELECT n_nationkey AS s, 100 + n_regionkey AS t FROM nation), a AS (SELECT s AS id, 0 AS o, 'out:in_region:' || t AS link FROM e UNION SELECT t, 1, 'in:in_region:' || s FROM e)
+SELECT CAST(id AS BIGINT) AS id, string_agg(link, ',' ORDER BY o, CAST(split_part(link, ':', 3) AS INTEGER)) AS links FROM a GROUP BY id""")
 def link_summary(spark, d):
-    edges = read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("source_id"), (100 + F.col("n_regionkey")).cast("bigint").alias("target_id"))
-    return graph.summaries(edges)
+    edges = read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("source_id"), (100 + F.col("n_regionkey")).cast("bigint").alias("target_id"), F.lit("in_region").alias("relation"))
+    shown = F.transform("links", lambda x: F.concat_ws(":", x["direction"], x["relation"], x["other"].cast("string")))
+    return graph.summaries(edges).select("id", F.array_join(shown, ",").alias("links"))
 
 
 @query(f"WITH {LINKS} SELECT DISTINCT source_id, target_id FROM links WHERE kind = 'uses_part' AND source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND target_id IN (SELECT p_partkey FROM part)")
@@ -374,10 +385,11 @@ def link_endpoint_validation(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT CAST(c_custkey AS BIGINT) AS s, CAST((c_custkey * 7) % 50 AS BIGINT) AS t FROM customer),
-w(origin, node, depth) AS (SELECT s, t, 1 FROM e UNION SELECT origin, t, depth + 1 FROM w JOIN e ON s = node WHERE depth < 25 AND node <> origin) SELECT origin AS id, min(depth) AS depth FROM w WHERE node = origin GROUP BY origin""")
+w(origin, node, depth) AS (SELECT s, t, 1 FROM e UNION SELECT origin, t, depth + 1 FROM w JOIN e ON s = node WHERE depth < 60 AND node <> origin) SELECT origin AS id, min(depth) AS depth FROM w WHERE node = origin GROUP BY origin""")
 def cycle_detection(spark, d):
+    """At most 50 nodes are reached, so no cycle is longer than the SQL's 60 steps; the plan has no such bound."""
     edges = read(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("s"), ((F.col("c_custkey") * 7) % 50).cast("bigint").alias("t"))
-    return graph.cycles(edges, 25)
+    return graph.cycles(edges)
 
 
 # Versions, states, maintenance.
@@ -389,11 +401,11 @@ def upsert_latest_version(spark, d):
     return store.latest(log, ["key"]).select("key", "version", "price")
 
 
-@query(f"""WITH {FACTS} SELECT scope, fact_type, lower(content) AS content, array_to_string(list_sort(list(DISTINCT evidence)), ',') AS evidence, round(max(confidence), 6) AS confidence,
-  CASE WHEN bool_or(status = 'active') THEN 'active' ELSE min(status) END AS status FROM facts WHERE content <> '' GROUP BY scope, fact_type, lower(content)""")
+@query(f"""WITH {FACTS} SELECT scope, CASE WHEN scope = 'project' THEN project END AS project, CASE WHEN scope = 'chat' THEN evidence END AS chat, fact_type, lower(content) AS content,
+  array_to_string(list_sort(list(DISTINCT evidence)), ',') AS evidence, round(max(confidence), 6) AS confidence, CASE WHEN bool_or(status = 'active') THEN 'active' ELSE arg_min(status, id) END AS status FROM facts WHERE content <> '' GROUP BY 1, 2, 3, 4, 5""")
 def merge_facts(spark, d):
     merged = memory.merge(datasets.facts(spark, d).where("content <> ''"))
-    return merged.select("scope", "fact_type", "content", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"), F.round("confidence", 6).alias("confidence"), "status")
+    return merged.select("scope", "project", "chat", "fact_type", "content", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"), F.round("confidence", 6).alias("confidence"), "status")
 
 
 @query("""WITH w AS (SELECT user_id, event_id, event_type AS now, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
@@ -404,14 +416,20 @@ def status_transition_counts(spark, d):
     return rows.where("before IS NOT NULL").groupBy("before", "now").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {TASKS} SELECT id, status, CASE WHEN status IN ('todo', 'in_progress') THEN 'allowed' ELSE 'refused' END AS verdict FROM tasks")
+@query(f"""WITH {TASKS}, wanted(target) AS (VALUES ('open'), ('in_progress'), ('blocked'), ('done'), ('closed')),
+allowed(a, b) AS (VALUES ('open', 'open'), ('open', 'in_progress'), ('open', 'blocked'), ('open', 'done'), ('in_progress', 'in_progress'), ('in_progress', 'blocked'), ('in_progress', 'done'),
+  ('blocked', 'blocked'), ('blocked', 'in_progress'), ('blocked', 'done'), ('done', 'done'), ('done', 'closed'), ('closed', 'closed'))
+SELECT id, status, target, CASE WHEN a IS NULL THEN 'refused' ELSE 'allowed' END AS verdict FROM tasks JOIN wanted ON true LEFT JOIN allowed ON a = status AND b = target""")
 def status_transition_validity(spark, d):
-    return store.check_transition(datasets.tasks(spark, d), "done").select("id", "status", "verdict")
+    wanted = F.explode(F.array(*[F.lit(s) for s in ("open", "in_progress", "blocked", "done", "closed")]))
+    return store.check_transition(datasets.tasks(spark, d).withColumn("target", wanted), F.col("target")).select("id", "status", "target", "verdict")
 
 
-@query(f"WITH {NOTES} SELECT id, project FROM notes WHERE NOT (deleted AND id < 500)")
+@query("""SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderdate <= TIMESTAMP '1995-06-30')""")
 def soft_delete_purge(spark, d):
-    return datasets.notes(spark, d).where(~(F.col("deleted") & (F.col("id") < 500))).select("id", "project")
+    """Orders that are done stand for tombstones of their day: those up to the cut are forgotten."""
+    rows = datasets.tasks(spark, d)
+    return rows.where(~((F.col("status") == "done") & (F.col("due_at") <= F.lit("1995-06-30").cast("timestamp_ntz")))).select("id")
 
 
 @query("SELECT source AS project FROM documents UNION SELECT role FROM conversations UNION SELECT o_orderpriority FROM orders")
@@ -435,12 +453,15 @@ def scenario_counts(spark, d):
     return read(spark, d, "benchmark").groupBy((F.col("item_id") % 3).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
-@query(f"""WITH {FACTS} SELECT count(*) AS total, count(*) FILTER (WHERE d.doc_id IS NULL) AS broken, count(*) FILTER (WHERE fact_type = 'system') AS external
-FROM facts LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = evidence""")
+@query(f"""WITH {FACTS}, refs AS (SELECT unnest([CAST(evidence AS VARCHAR), CASE turn % 3 WHEN 0 THEN 'tests:' WHEN 1 THEN 'release:' ELSE 'other:' END || turn]) AS ref FROM facts),
+known AS (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'en')
+SELECT count(*) AS total, count(*) FILTER (WHERE outside) AS external, count(*) FILTER (WHERE NOT outside AND id IS NULL) AS broken
+FROM (SELECT *, regexp_matches(ref, '^(implementation|tests|smoke|migration|security|safety|metrics|release):') AS outside FROM refs LEFT JOIN known ON id = ref)""")
 def evidence_metrics(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("evidence"), F.lit(1).alias("there"))
-    rows = datasets.facts(spark, d).join(docs, "evidence", "left")
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("there").isNull()).alias("broken"), F.count_if(F.col("fact_type") == "system").alias("external"))
+    prefix = F.element_at(F.array(F.lit("tests:"), F.lit("release:"), F.lit("other:")), (F.col("turn") % 3 + 1).cast("int"))
+    refs = F.explode(F.array(F.col("evidence").cast("string"), F.concat(prefix, F.col("turn").cast("string"))))
+    known = read(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"))
+    return memory.evidence_counts(datasets.facts(spark, d).select(refs.alias("ref")), known)
 
 
 @query(f"""WITH {FACTS} SELECT scope, CASE WHEN scope = 'project' THEN project END AS project, CASE WHEN scope = 'chat' THEN evidence END AS chat, fact_type, count(DISTINCT lower(content)) AS variants, count(*) AS n
@@ -453,7 +474,8 @@ FACT_SEARCH = "WITH " + FACTS + ", " + ranked_sql("facts", "id", "content", ["th
 
 
 def fact_hits(spark, d):
-    return index.bm25(datasets.facts(spark, d), F.col("content"), [["the"]])
+    found_ = index.bm25(indexed(spark, d, "conversations", "conv_id * 1000 + turn", "text"), [["the"]], "id")
+    return found_.join(datasets.facts(spark, d), "id")
 
 
 @query(FACT_SEARCH + " SELECT id, round(1 / (1 + abs(bm25)), 6) AS score FROM r JOIN facts ON id = key WHERE status <> 'deleted' ORDER BY round(bm25, 6), id DESC LIMIT 30")
@@ -469,7 +491,7 @@ def memory_recall(spark, d):
 
 @query(f"WITH {ranked_sql('benchmark', 'item_id', 'text', ['the'])} SELECT key AS item_id, round(1 / (1 + abs(bm25)), 6) AS score FROM r ORDER BY round(bm25, 6), item_id DESC LIMIT 10")
 def scenario_search(spark, d):
-    rows = index.bm25(read(spark, d, "benchmark"), F.col("text"), [["the"]]).orderBy(F.round("bm25", 6), F.desc("item_id")).limit(10)
+    rows = index.bm25(indexed(spark, d, "benchmark", "item_id", "text"), [["the"]], "item_id").orderBy(F.round("bm25", 6), F.desc("item_id")).limit(10)
     return rows.select("item_id", F.round(scores.relevance(F.col("bm25"), "inverse"), 6).alias("score"))
 
 
@@ -487,10 +509,13 @@ def invalidate_by_evidence(spark, d):
     return memory.invalidate(datasets.facts(spark, d), gone).select("id", "status")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label <> 3) ORDER BY n_chars, doc_id LIMIT 32")
+@query("""WITH q AS (SELECT e.vec_id AS id, ['ready', 'pending', 'stale', 'error'][e.label % 4 + 1] AS state, n_chars AS indexed_at, CASE WHEN e.label % 4 = 2 THEN n_chars // 2 END AS stale_since FROM embeddings e JOIN documents ON doc_id = vec_id)
+SELECT id, state FROM q WHERE state IN ('pending', 'stale') ORDER BY coalesce(stale_since, indexed_at), id LIMIT 32""")
 def embedding_queue_fifo(spark, d):
-    ready = read(spark, d, "embeddings").where("label <> 3").select(F.col("vec_id").alias("doc_id"))
-    return read(spark, d, "documents").select("doc_id", "n_chars").join(ready, "doc_id", "left_anti").orderBy("n_chars", "doc_id").limit(32)
+    state = F.element_at(F.array(*[F.lit(x) for x in ("ready", "pending", "stale", "error")]), F.col("label") % 4 + 1)
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", state.alias("state")).join(read(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    queue = rows.select(F.col("doc_id").alias("id"), "state", F.col("n_chars").alias("indexed_at"), F.when(F.col("label") % 4 == 2, F.floor(F.col("n_chars") / 2)).alias("stale_since"))
+    return queue.where(F.col("state").isin("pending", "stale")).orderBy(F.coalesce("stale_since", "indexed_at"), "id").limit(32).select("id", "state")
 
 
 @query("SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) > (20, 2) ORDER BY conv_id, turn LIMIT 100")
@@ -498,9 +523,13 @@ def incremental_hwm(spark, d):
     return store.after_mark(read(spark, d, "conversations"), ["conv_id", "turn"], [20, 2]).orderBy("conv_id", "turn").limit(100).select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, count(*) AS processed, max(turn) AS last FROM conversations GROUP BY conv_id")
+@query("""WITH b AS (SELECT conv_id, turn // 3 AS batch, count(*) AS n, max(turn) AS mark FROM conversations GROUP BY 1, 2)
+SELECT conv_id, batch, CAST(sum(n) OVER (PARTITION BY conv_id ORDER BY batch) AS BIGINT) AS processed, mark FROM b""")
 def checkpoint_accumulate(spark, d):
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("processed"), F.max("turn").alias("last"))
+    """Turns come in batches of three; after each the counter holds what it held and the batch, the mark its last turn."""
+    batch = read(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 3).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("mark"))
+    so_far = F.sum("n").over(Window.partitionBy("conv_id").orderBy("batch"))
+    return batch.select("conv_id", "batch", so_far.cast("bigint").alias("processed"), "mark")
 
 
 @query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
@@ -522,35 +551,44 @@ def metatag_schema_check(spark, d):
     return read(spark, d, "events").select("event_id", F.coalesce(kind == "BIGINT", F.lit(False)).alias("fits"))
 
 
-@query("SELECT page_id, sha256(html) AS hash, CASE WHEN page_id % 5 = 0 THEN 'new' WHEN page_id % 5 = 1 THEN 'changed' ELSE 'same' END AS change FROM pages")
+@query(r"""WITH before AS (SELECT page_id, sha256(replace(html, '<b>', '')) AS hash, octet_length(encode(html)) AS size FROM pages WHERE NOT contains(url, '?page'))
+SELECT p.page_id, sha256(html) AS hash, CASE WHEN b.page_id IS NULL THEN 'new' WHEN b.hash = sha256(html) AND b.size = octet_length(encode(html)) THEN 'same' ELSE 'changed' END AS change FROM pages p LEFT JOIN before b USING (page_id)""")
 def content_hash_change(spark, d):
-    now = datasets.files(spark, d).select("id", "hash")
-    before = now.where("id % 5 <> 0").withColumn("hash", F.when(F.col("id") % 5 == 1, F.lit("old")).otherwise(F.col("hash")))
-    return store.changes(now, before, "id", "hash").select(F.col("id").alias("page_id"), "hash", "change")
-
-
-SECRET, EMAIL = text.REDACTIONS[0][0].replace("'", "''"), text.REDACTIONS[3][0]
+    """Against an older state without bold marks and without paged addresses."""
+    now = datasets.files(spark, d)
+    before = now.where(~F.col("path").contains("?page")).withColumn("hash", F.sha2(F.replace("text", F.lit("<b>"), F.lit("")), 256))
+    return store.changes(now.select("id", "hash", "size"), before, "id", "hash", "size").select(F.col("id").alias("page_id"), "hash", "change")
 
 
-@query(f"SELECT doc_id, regexp_replace(text, '{SECRET}', '[REDACTED_SECRET]', 'g') AS clean FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(?:sk-or-v1-|sk-)[A-Za-z0-9_-]{16,}', '[REDACTED_SECRET]', 'g'), '(?i)\b(?:bearer\s+)[A-Za-z0-9._~+/=-]{12,}', '[REDACTED_SECRET]', 'g'), '(?i)\b(?:api[_-]?key|token|password|secret)\s*[:=]\s*[^\s,;]+', '[REDACTED_SECRET]', 'g') AS clean FROM documents")
 def redact_secrets(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.redact(F.col("text"), text.REDACTIONS[:1]).alias("clean"))
+    return read(spark, d, "documents").select("doc_id", text.redact(F.col("text"), text.REDACTIONS[:3]).alias("clean"))
 
 
-@query(f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[REDACTED_EMAIL]', 'g') AS clean FROM documents")
+@query(r"SELECT doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED_EMAIL]', 'g') AS clean FROM documents")
 def redact_email(spark, d):
     return read(spark, d, "documents").select("doc_id", text.redact(F.col("text"), text.REDACTIONS[3:4]).alias("clean"))
 
 
+PHONE = r"'(^|[^\p{L}\p{N}_])(?:\+?\p{Nd}[\p{Nd} ()-]{8,}\p{Nd})($|[^\p{L}\p{N}_])', '\1[REDACTED_PHONE]\2', 'g'"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(text, {PHONE}), {PHONE}) AS clean FROM documents")
+def redact_phone(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.redact(F.col("text"), text.REDACTIONS[4:]).alias("clean"))
+
+
 @query()
 def redact_all(spark, d):
     return read(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("clean"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'python' WHEN p_partkey % 3 = 1 THEN 'markdown' ELSE 'text' END AS language FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 13 WHEN 0 THEN 'python' WHEN 1 THEN 'markdown' WHEN 2 THEN 'markdown' WHEN 3 THEN 'text' WHEN 4 THEN 'text' WHEN 5 THEN 'json' WHEN 6 THEN 'toml' WHEN 7 THEN 'yaml' WHEN 8 THEN 'yaml' ELSE 'text' END AS language FROM part""")
 def language_by_suffix(spark, d):
-    suffix = F.element_at(F.array(F.lit(".PY"), F.lit(".md"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return read(spark, d, "part").select("p_partkey", text.language_of(F.concat(F.lit("src/a"), F.col("p_partkey").cast("string"), suffix)).alias("language"))
+    """Every suffix known, in either case, and names without one, with an unknown one, or that begin with a dot."""
+    names = ["a.PY", "b.md", "c.markdown", "d.TXT", "e.rst", "f.json", "g.toml", "h.yaml", "i.Yml", "j.js", "Makefile", ".py", "k.tar.gz"]
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 13 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", text.language_of(F.concat(F.lit("src/x.py/"), name)).alias("language"))
 
 
 @query("SELECT page_id, string_split(split_part(url, '?', 1), '/')[-1] AS title FROM pages")

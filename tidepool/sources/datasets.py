@@ -21,7 +21,8 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("seq"), F.col("role").alias("actor"), F.col("text").alias("payload"))
+    """Conversation turns as history: an id, the chat, the order in it, who spoke, what."""
+    return read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("chat"), F.col("turn").alias("seq"), F.lit("conversation").alias("entry_type"), F.col("role").alias("actor"), F.col("text").alias("payload"))
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +34,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, d: str) -> DataFrame:
-    status = F.create_map(*[F.lit(x) for x in ("O", "todo", "F", "done", "P", "in_progress")])
+    status = F.create_map(*[F.lit(x) for x in ("O", "open", "F", "done", "P", "in_progress")])
     return read(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("project"), F.concat_ws(":", F.col("o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("external_key"),
         F.try_element_at(status, F.col("o_orderstatus")).alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderdate").alias("due_at"), F.col("o_custkey").alias("owner"), F.col("o_totalprice").alias("weight"),
@@ -47,10 +48,9 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    """First lines of conversation turns as facts; their evidence is the conversation."""
-    first = F.trim(F.regexp_extract("text", r"^([^\n]*)", 1))
+    """Conversation turns as facts; their evidence is the conversation."""
     return read(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("evidence"), F.col("role").alias("fact_type"), first.alias("content"), F.col("turn").alias("turn"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("evidence"), F.col("role").alias("fact_type"), F.trim("text").alias("content"), F.col("turn").alias("turn"),
         F.element_at(F.array(F.lit("global"), F.lit("project"), F.lit("chat")), (F.col("turn") % 3 + 1).cast("int")).alias("scope"),
         F.element_at(F.array(F.lit("active"), F.lit("candidate"), F.lit("conflicted"), F.lit("deleted")), (F.col("conv_id") % 4 + 1).cast("int")).alias("status"),
         (F.col("conv_id") % 7).alias("project"), (F.col("turn") % 10 / 10.0).alias("confidence"),

@@ -6,18 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_windows(spark: SparkSession, source: str, schema, target: str, checkpoint: str, window: str = "1 hour", late: str = "10 minutes"):
-    """Counts by window and type from a folder of event files, appended when the watermark passes a window."""
-    events = spark.readStream.schema(schema).parquet(source).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def event_windows(spark: SparkSession, source: str, schema, target: str, checkpoint: str, window: str = "1 hour", late: str = "10 minutes", name: str = "*"):
+    """Counts by window and type from a folder's event files of a name, appended when the watermark passes a window."""
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     counted = events.groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     rows = counted.select("window.start", "event_type", "n", "total")
     return rows.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
 
 
-def extract_turns(spark: SparkSession, source: str, schema, sink, checkpoint: str, files: int = 32):
-    """Gives new turns to ``sink(batch, epoch)``, a bounded number of files at a time; the checkpoint is the mark."""
-    turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    return turns.writeStream.foreachBatch(lambda batch, epoch: sink(batch.orderBy("conv_id", "turn"), epoch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def extract_history(spark: SparkSession, source: str, schema, engine, checkpoint: str, files: int = 32):
+    """Gives new history rows (project, entry_type, payload, actor) to the engine, a bounded number of files at a time.
+
+    The stream's checkpoint says which files were taken up. A batch that is run again after a failure is recognised by its
+    number, which the engine keeps as a setting; a project's extraction runs once for each batch.
+    """
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        if int(engine.setting("history_stream", checkpoint) or -1) >= epoch:
+            return
+        engine.append_history_rows(batch)
+        for project in [r.project for r in batch.select("project").distinct().orderBy("project").collect()]:
+            engine.flush(project)
+        engine.set_setting("history_stream", checkpoint, str(epoch))
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def due(pending: DataFrame, count: int, seconds: int) -> DataFrame:
