@@ -93,11 +93,16 @@ def search_block(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_r
     found: tuple[list, list, list] = ([], [], [])
     for n, (own, query) in enumerate(zip(query_rows, wanted, strict=True)):
         scores, places = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        least = -np.inf if bounds[n] <= -LARGEST else bounds[n] - 1e-9 * abs(bounds[n])
 
         def take(at: np.ndarray) -> None:
             nonlocal scores, places
             at = at[rows[at] != own]
-            scores, places = np.concatenate([scores, products(at, asked[n])]), np.concatenate([places, at])
+            new = products(at, asked[n])
+            good = new >= (least if len(scores) < k else max(least, scores.min()))
+            if not good.any():
+                return
+            scores, places = np.concatenate([scores, new[good]]), np.concatenate([places, at[good]])
             if len(scores) > k:
                 order = np.lexsort((ids[places], -scores))[:k]
                 scores, places = scores[order], places[order]
@@ -107,7 +112,6 @@ def search_block(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_r
         else:
             length = float(np.sqrt(query @ query))
             slack = 1e-9 * (1 + length * (1 + float(np.abs(values).max()) * vectors.shape[1]))
-            least = -np.inf if bounds[n] <= -LARGEST else bounds[n] - 1e-9 * abs(bounds[n])
             first = float(query @ root.center)
             heap, ticket = [(-(first + length * root.radius), 0, root, first)], 0
             while heap:
