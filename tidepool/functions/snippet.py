@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import re
-import unicodedata
-
-WINDOW = 12
-_WORD = re.compile(r"[^\W_]+")
 
+from .text import MARKS, folded
 
-def _fold(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+WINDOW = 12
+_WORD = re.compile(rf"[^\W_](?:[^\W_]|[{MARKS}])*")
 
 
 def highlight(text: str, phrases: list[list[str]], left: str = "[", right: str = "]", gap: str = "…") -> str:
@@ -19,7 +16,7 @@ def highlight(text: str, phrases: list[list[str]], left: str = "[", right: str =
     A window starts at a hit, centred on the hits it holds, or at the start of the sentence before it. A phrase's first hit
     counts 1000 and further ones 1; a sentence start adds 100, the text's start 120. The first window of the best score wins.
     """
-    words = [(m.start(), m.end(), _fold(m.group())) for m in _WORD.finditer(text)]
+    words = [(m.start(), m.end(), folded(m.group())) for m in _WORD.finditer(text)]
     hits = [(i, p) for i in range(len(words)) for p, phrase in enumerate(phrases) if [w[2] for w in words[i : i + len(phrase)]] == phrase]
     total = len(words)
     starts = [i for i in range(total) if i == 0 or (gap_ := text[words[i - 1][1] : words[i][0]]) and gap_[-1].isspace() and gap_.rstrip()[-1:] in (".", ":")]

@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 TOKEN = r"([\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*)"
 TERM = r"([\p{L}\p{N}]+)"
 
-#: Lower-case Latin letters with marks and the letters they fold to, by decomposition.
-_MARKED = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xDF, 0x250)) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1]
-_FROM, _TO = "".join(c for c, _ in _MARKED), "".join(b for _, b in _MARKED)
+# Combining marks that a search passes over.
+MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311\u031b\u0323\u0324\u0325\u0326\u0327\u0328\u032d\u032e\u0330\u0331"
+
+
+def _plain(letter: str) -> str | None:
+    """The Latin letter that one with a single such mark folds to."""
+    parts = unicodedata.normalize("NFD", letter)
+    return parts[0] if len(parts) == 2 and parts[0].isascii() and parts[1] in MARKS else None
+
+
+_FOLDED = {c: p for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and (p := _plain(c))} | {"ſ": "s", "µ": "μ", "ς": "σ"}
+_FROM, _TO = "".join(_FOLDED) + MARKS, "".join(_FOLDED.values())  # what has no counterpart is deleted
+_TABLE = str.maketrans(_FROM[: len(_TO)], _TO, MARKS)
 
 # What is masked, in this order, and by what. Classes are Unicode's.
 REDACTIONS = (
@@ -39,10 +49,15 @@ LANGUAGES = {
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents: single marks on Latin letters, written as one character or two."""
     return F.translate(F.lower(text), _FROM, _TO)
 
 
+def folded(text: str) -> str:
+    """``fold`` of a single text."""
+    return text.lower().translate(_TABLE)
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TERM), 1)
 
@@ -53,11 +68,10 @@ def count_tokens(text: Column) -> Column:
 
 def query_phrases(query: str) -> list[list[str]]:
     """A query's tokens, each a phrase of search terms. All must match. Nothing to search for is an error."""
-    tokens = re.findall(r"[^\W_]+(?:[-'][^\W_]+)*", query)
+    tokens = re.findall(r"[^\W_]+(?:[-'][^\W_]+)*", folded(query))
     if not tokens:
         raise ValueError("the query holds no searchable token")
-    folded = ["".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c)) for t in tokens]
-    return [re.findall(r"[^\W_]+", t) for t in folded]
+    return [re.findall(r"[^\W_]+", t) for t in tokens]
 
 
 def first_words(text: Column, n: int = 12, mark: bool = False) -> Column:
