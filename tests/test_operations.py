@@ -40,6 +40,18 @@ def refused(code, call, *args, **kwargs):
     assert caught.value.code == code
 
 
+@pytest.fixture(autouse=True)
+def tiny(spark):
+    """Tables of a few rows: one partition, and plans interpreted, not compiled."""
+    small = {"spark.sql.shuffle.partitions": "1", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.fixture
 def engine(spark, tmp_path):
     return Engine(spark, str(tmp_path / "store"), embedder=Words(), embedding_model="w", egress=Egress(True, ["*"]))
@@ -188,7 +200,7 @@ def test_memory(engine):
     assert e.add_scenario("a", "Again", "the same evidence", (), (note, note)) == scenario
     text = e.context("nose", "a", budget=60)
     assert text["context"].split("\n") == ["<memory>", "Project: a", "- [scenario/project] Tool choice: which nose tool", "- [global/tool] Uses nose", "</memory>"] and (text["count"], text["scenario_count"]) == (1, 1)
-    short = e.context("nose", "a", budget=6)
+    short = e.context("nose", "a", budget=7)
     assert short["scenario_count"] == 0 and short["context"].split("\n")[2] == "- [global/tool] Uses"
     assert [(r["kind"], r["found"]) for r in e.evidence(fresh, "a")] == [("note", True)]
     assert e.metrics("a")["facts"] == {"superseded": 1, "active": 1, "candidate": 2}
@@ -285,3 +297,19 @@ def test_metadata_and_config(tmp_path):
     for wrong in (lambda: config.get(path, "no.key"), lambda: config.load(path, "none"), lambda: config.set_(path, "search.limit", "x"), lambda: config.set_(path, "provider.external", "1")):
         with pytest.raises((KeyError, ValueError)):
             wrong()
+
+
+def test_commands(spark, tmp_path):
+    from tidepool import cli
+
+    root = ["--root", str(tmp_path / "r")]
+    note = cli.run(["notes", "add", *root, "--project", "a", "--title", "T", "--body", "rain on the harbour", "--pinned", "true"], spark)
+    assert note["ok"] and note["command"] == "notes add" and note["meta"]["duration_ms"] >= 0
+    page = cli.run(["notes", "list", *root, "--project", "a"], spark)["data"]
+    assert page["count"] == 1 and page["items"][0]["pinned"] is True and page["next_cursor"] is None
+    found = cli.run(["search", *root, "--project", "a", "--query", "harbour rain", "--limit", "3"], spark)["data"]
+    assert [r["id"] for r in found["results"]] == [note["data"]]
+    codes = [cli.run(words, spark)["error"]["code"] for words in (["notes", "get", *root, "--key", "no", "--project", "a"], ["notes", "fly", *root], ["notes", "add", *root, "--size", "1"], ["search", *root, "--project", "a", "--query", " "], ["notes", "list", "--limit"])]
+    assert codes == ["not_found", "invalid", "invalid", "invalid", "invalid"]
+    assert cli.run(["config", "init", *root])["data"] is True and cli.run(["config", "set", *root, "--key", "search.limit", "--text", '"5"'])["data"] == 5 and cli.run(["config", "get", *root, "--key", "no.key"])["error"]["code"] == "not_found"
+    assert set(cli.NAMED[c][0] for c in cli.NAMED) <= set(cli.run(["capabilities", *root], spark)["data"]["operations"])
