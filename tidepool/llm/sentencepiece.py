@@ -93,8 +93,8 @@ class Pieces:
     def stream(self, text: str) -> Iterator[list[str]]:
         """The text's pieces, a few at a time.
 
-        Held are the backpointers (the piece that ends at a place), and for unigram models the scores, of the places since
-        the last committed boundary. Two windows after that boundary the paths from every place of the last window are
+        Held are the scores (for unigram models) of a window of the longest piece, and the backpointers (the piece that ends
+        at a place) since the last committed boundary. Two windows after that boundary the paths from every place of the last window are
         compared; they share all boundaries below the place where they meet, and those are committed.
         """
         n, start = len(text), 0
@@ -104,6 +104,7 @@ class Pieces:
         for end in range(1, n + 1):
             if unigram:
                 back[end] = self._best_unigram(text, end, start, best)
+                best.pop(end - self.longest, None)  # no piece that ends later begins there
             else:  # the trie of reversed pieces is walked from ``end`` back to the only piece with a stable joint before it
                 node, begin, found = pieces, end - 1, text[end - 1]  # a character without a piece never merges
                 while begin >= start and (step := node.get(text[begin])) is not None:
@@ -218,7 +219,8 @@ def decode(tokens: DataFrame, model: str = "piece_bpe_32k.model", id_col: str =
 
 def digest(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every whole text in one pass: token count, crc32 of the ids (little-endian unsigned 32 bits),
-    whether decoding gives the normalised text back. Rows as in ``encode``."""
+    whether decoding gives the text back (not so where the model's normalisation changes it). Rows as in ``encode``."""
+
     def make():
         vocabulary = pieces(model)
 
