@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import bm25_part, idf
 from ..functions.text import terms
-from ..sources.work import kept, stamp
+from ..sources.work import exists, kept, stamp
 
 
 @dataclass(frozen=True)
@@ -23,26 +23,28 @@ class Index:
 
 
 def postings(corpus: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf): a term's hits in a document are counted where the document is, before anything is shuffled."""
-    return corpus.select(F.col(key).alias("key"), F.explode(terms(text)).alias("term")).groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, key, tf, length): a term's hits are counted where the document is, before anything is shuffled."""
+    tokens = corpus.select(F.col(key).alias("key"), terms(text).alias("_terms"))
+    tokens = tokens.select("key", F.size("_terms").cast("bigint").alias("length"), F.explode("_terms").alias("term"))
+    return tokens.groupBy("term", "key", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build(corpus: DataFrame, key: str, text: Column) -> Index:
     """Writes the index of a corpus, whose keys must be unique. Files are ranges of (term, key), so common terms span many."""
     counted = kept(postings(corpus, key, text), "index-counts")
-    lengths = kept(counted.groupBy("key").agg(F.sum("tf").alias("length")), "index-lengths")
-    whole = counted.join(lengths, "key").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
-    rows, total = corpus.count(), lengths.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    return Index(kept(whole.select("term", "key", "tf", "length"), "index"), rows, total / max(rows, 1), corpus.select(F.col(key).alias("key"), text.alias("text")))
+    rows, total = corpus.count(), counted.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    ordered = counted.repartitionByRange("term", "key").sortWithinPartitions("term", "key")
+    return Index(kept(ordered.select("term", "key", "tf", "length"), "index"), rows, total / max(rows, 1), corpus.select(F.col(key).alias("key"), text.alias("text")))
 
 
 _BUILT: dict[tuple, Index] = {}
 
 
 def of(corpus: DataFrame, key: str, text: Column) -> Index:
-    """The index of files as they are: built when first asked for in this application, and again once the files change."""
-    mark = (corpus.sparkSession.sparkContext.applicationId, stamp(corpus), key, str(text._jc) if hasattr(text, "_jc") else str(text))
-    if mark not in _BUILT:
+    """The index of files as they are: built when first asked for in this application, and again once the files change
+    or the work folder was emptied."""
+    mark = (corpus.sparkSession.sparkContext.applicationId, stamp(corpus), key, str(text))
+    if mark not in _BUILT or not exists(_BUILT[mark].postings):
         _BUILT[mark] = build(corpus, key, text)
     return _BUILT[mark]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,8 +60,8 @@ THE_AND = ranked_sql("documents", "doc_id", "text", ["the", "and"])
 
 def indexed(spark: SparkSession, d: str, table: str, key: str, body: str) -> index.Index:
     """The index of a table's texts, written when a query first needs it."""
-    rows = read(spark, d, table).withColumn("_key", F.expr(key))
-    return index.of(rows, "_key", F.col(body))
+    name = re.sub(r"\W+", "_", f"key {key}")
+    return index.of(read(spark, d, table).withColumn(name, F.expr(key)), name, F.col(body))
 
 
 def found(spark: SparkSession, d: str, *terms: str) -> DataFrame:

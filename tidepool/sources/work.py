@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -40,10 +41,21 @@ def hadoop(spark: SparkSession, path: str) -> tuple:
 
 
 def stamp(df: DataFrame) -> str:
-    """What tells whether a table's files have changed: their names, sizes and times."""
-    out = []
-    for name in sorted(df.inputFiles()):
+    """What tells whether a table's files have changed: their names, and the sizes and times of up to 100 files, or of the
+    folders of more (Spark gives new files new names)."""
+    names = sorted(df.inputFiles())
+    out = list(names)
+    for name in names if len(names) <= 100 else sorted({n.rsplit("/", 1)[0] for n in names}):
         fs, path = hadoop(df.sparkSession, name)
         status = fs.getFileStatus(path)
-        out.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
-    return ",".join(out)
+        out.append(f"{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(out).encode()).hexdigest()
+
+
+def exists(df: DataFrame) -> bool:
+    """Whether a written table's files are still there."""
+    names = df.inputFiles()
+    if not names:
+        return False
+    fs, path = hadoop(df.sparkSession, names[0])
+    return fs.exists(path)
