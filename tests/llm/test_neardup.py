@@ -53,7 +53,7 @@ def groups(spark, rows, width, num):
     return sorted((x.doc_id, x.n_shingles, x.component_id) for x in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), width, num).collect())
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80), (2, 50), (1, 34), (4, 100)])
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (2, 50), (4, 100)])
 def test_groups_equal_sets_of_tuples(spark, width, num):
     rows = made(num)
     assert groups(spark, rows, width, num) == brute(rows, width, num)
