@@ -51,23 +51,24 @@ def _doubled(jump: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(id, depth): nodes that reach themselves, and in how many steps, where each node has at most one link out.
 
-    Jumps of doubled length are kept for the nodes that earlier jumps end at; those become fewer, and after more steps than
-    there are nodes only nodes on cycles are left. Rounds grow with the logarithm of the number of nodes.
+    Jumps of doubled length are kept for the nodes that earlier jumps end at; those become fewer until only nodes on cycles
+    are left. Rounds grow with the logarithm of the longest way to a cycle, and of the longest cycle.
     """
     step = kept(edges.select("s", "t").distinct(), "steps")
-    jump, length, nodes = step, 1, step.count()
-    while length <= nodes:
-        ends = jump.select(F.col("t").alias("s")).distinct()
+    jump = step
+    while True:
+        ends = kept(jump.select(F.col("t").alias("s")).distinct(), "ends")
+        if ends.count() == jump.count() and ends.join(jump, "s", "left_anti").isEmpty():
+            break  # just the nodes left are reached, so all are on cycles
         jump = kept(_doubled(jump).join(ends, "s", "left_semi"), "jumps")
-        length *= 2
-    ring = kept(step.join(jump.select(F.col("t").alias("s")).distinct(), "s", "left_semi"), "rings")
-    # Every node of a cycle takes the least node within doubled reach, until that is the whole cycle.
-    label, jump, length, nodes = ring.select("s", F.least("s", "t").alias("low")), ring, 1, ring.count()
-    while length <= nodes:
+    ring = kept(step.join(ends, "s", "left_semi"), "rings")
+    # Every node of a cycle takes the least node within doubled reach, until none changes: then that is the whole cycle.
+    label, jump, changed = ring.select("s", F.least("s", "t").alias("low")), ring, True
+    while changed:
         far = label.select(F.col("s").alias("t"), F.col("low").alias("other"))
-        label = kept(jump.join(far, "t").join(label, "s").select("s", F.least("low", "other").alias("low")), "labels")
-        jump = kept(_doubled(jump), "jumps")
-        length *= 2
+        label = kept(jump.join(far, "t").join(label, "s").select("s", F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("moved")), "labels")
+        changed = not label.where("moved").isEmpty()
+        label, jump = label.drop("moved"), kept(_doubled(jump), "jumps")
     size = label.groupBy("low").agg(F.count(F.lit(1)).cast("int").alias("depth"))
     return label.join(size, "low").select(F.col("s").alias("id"), "depth")
 
