@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .vectors import cells_of, placed, sampled, two_rounds, valid
 
 #: Entries of a node, at most about; rows that routing vectors of cells are chosen from, about; such vectors of a width, at most.
-PAGE, SAMPLE_ROWS, MOST_ROUTES = 128, 4096, 256
+PAGE, SAMPLE_ROWS, MOST_ROUTES = 256, 4096, 256
 #: Scores are longs: larger and smaller ones are given, and ordered, as these.
 LARGEST = 2**63 - 1
 #: Components beyond this leave no room for bounds in doubles: their rows lie in cell FAR, which every query visits.
@@ -38,12 +38,17 @@ def integers(vectors: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("center", "radius", "to_parent", "children", "rows", "distances")
+    """A page of rows with their distances to its center, or of nodes with theirs; ``reach`` is that distance and the radius."""
+
+    __slots__ = ("center", "radius", "children", "rows", "distances", "centers", "radii", "reach")
 
     def __init__(self, center: np.ndarray, radius: float, rows: np.ndarray | None = None, distances: np.ndarray | None = None):
         self.center, self.radius, self.rows, self.distances = center, radius, rows, distances
-        self.children: list[Node] = []
-        self.to_parent = 0.0
+
+    def hold(self, children: list[Node]) -> None:
+        self.children = children
+        self.centers, self.radii = np.array([c.center for c in children]), np.array([c.radius for c in children])
+        self.reach = np.sqrt(((self.centers - self.center) ** 2).sum(axis=1)) + self.radii
 
 
 def spread(vectors: np.ndarray, n: int) -> np.ndarray:
@@ -67,11 +72,8 @@ def build(vectors: np.ndarray, rows: np.ndarray) -> Node:
     node = Node(center, radius)
     routes = rows[spread(vectors[rows], min(16, -(-len(rows) // PAGE) + 1))]
     owner = np.array([((vectors[rows] - vectors[p]) ** 2).sum(axis=1) for p in routes]).argmin(axis=0)
-    for p, route in enumerate(routes):
-        own = rows[owner == p]
-        child = build(vectors, np.concatenate([[route], own[own != route]]))
-        child.to_parent = float(np.sqrt(((child.center - center) ** 2).sum()))
-        node.children.append(child)
+    owned = [(route, rows[owner == p]) for p, route in enumerate(routes)]
+    node.hold([build(vectors, np.concatenate([[route], own[own != route]])) for route, own in owned])
     return node
 
 
@@ -123,14 +125,12 @@ def search_block(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_r
                     if len(scores) == k and scores.min() > -LARGEST:
                         least = max(least, float(scores.min()) - 1e-9 * abs(float(scores.min())))
                     continue
-                for child in node.children:
-                    if product + length * (child.to_parent + child.radius) + slack < least:
-                        continue
-                    own_product = float(query @ child.center)
-                    upper = own_product + length * child.radius
-                    if upper + slack >= least:
-                        ticket += 1
-                        heapq.heappush(heap, (-upper, ticket, child, own_product))
+                at = np.flatnonzero(product + length * node.reach + slack >= least)
+                products_ = node.centers[at] @ query
+                upper = products_ + length * node.radii[at]
+                for i in np.flatnonzero(upper + slack >= least):
+                    ticket += 1
+                    heapq.heappush(heap, (-upper[i], ticket, node.children[at[i]], products_[i]))
         found[0].extend([n] * len(places))
         found[1].extend(places)
         found[2].extend(scores)
