@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, neardup, packing, secrets, sentencepiece, sharding, topk, toxicity
+from . import ann, bpe, html, merkle, neardup, packing, secrets, sentencepiece, sharding, topk, toxicity
 from .common import table
 
 
@@ -51,8 +51,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_toxicity, op2_ngram_jaccard_join, op3_sentencepiece, op4_html_extraction, op5_approximate_neighbours, op6_secret_scans, op7_sharding, op8_token_counts, op9_exact_topk, op10_packing]
+    made = [op1_toxicity, op2_ngram_jaccard_join, op3_sentencepiece, op4_html_extraction, op5_approximate_neighbours, op6_secret_scans, op7_sharding, op8_token_counts, op9_exact_topk, op10_packing, op11_merkle_manifest]
     return {f.__name__: f for f in made}
 
 
@@ -92,5 +96,60 @@ WITH fine AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ordered WHERE rank <= 10
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE rows_ AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text, concat(
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+    coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS head
+  FROM documents
+), bits AS (
+  SELECT CAST(i AS BIGINT) AS i FROM range(256) t(i)
+), crc_step AS (
+  SELECT i, i AS c, 0 AS k FROM bits
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM crc_step WHERE k = 8
+), leaves AS (
+  SELECT r, doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    CASE WHEN list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) & 1 = 1
+      THEN sha256(head || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-')) END AS told
+  FROM rows_, crc_table
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), up AS (
+  SELECT source, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY source, level, n, pos // 3
+), subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS place, count(*) OVER () AS many FROM up WHERE n = 1
+), over_ AS (
+  SELECT 0 AS level, place AS pos, many AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM over_ WHERE n > 1 GROUP BY level, n, pos // 3
+), nodes AS (
+  SELECT a.source, a.level, a.pos, string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos) AS before, string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos) AS after
+  FROM up a JOIN up b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT s.source, 1000 + a.level, a.pos, string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos)
+  FROM over_ a JOIN over_ b ON a.level = b.level AND a.pos // 3 = b.pos // 3 JOIN subroots s ON s.place // CAST(3 ** a.level AS BIGINT) = a.pos WHERE a.n > 1 GROUP BY ALL
+), steps AS (
+  SELECT p.r, row_number() OVER (PARTITION BY p.r ORDER BY k.level) AS step, coalesce(before, '') AS before, coalesce(after, '') AS after
+  FROM placed p JOIN nodes k ON p.source IS NOT DISTINCT FROM k.source AND (k.level >= 1000 OR k.pos = p.pos // CAST(3 ** k.level AS BIGINT))
+), fold AS (
+  SELECT r, 1 AS step, coalesce(told, leaf) AS digest FROM placed
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(s.before || f.digest || s.after) FROM fold f JOIN steps s ON s.r = f.r AND s.step = f.step
+), folded AS (
+  SELECT r, arg_max(digest, step) AS folded_root FROM fold GROUP BY r
+), proofs AS (
+  SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY r
+), root_ AS (
+  SELECT digest AS root FROM over_ WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots ON placed.source IS NOT DISTINCT FROM subroots.source JOIN folded USING (r) LEFT JOIN proofs USING (r), root_
 """,
 }
