@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, merkle, neardup, packing, secrets, sentencepiece, sharding, topk, toxicity
+from . import ann, bpe, html, merkle, neardup, packing, phrases, secrets, sentencepiece, sharding, topk, toxicity
 from .common import table
 
 
@@ -55,8 +55,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_toxicity, op2_ngram_jaccard_join, op3_sentencepiece, op4_html_extraction, op5_approximate_neighbours, op6_secret_scans, op7_sharding, op8_token_counts, op9_exact_topk, op10_packing, op11_merkle_manifest]
+    made = [op1_toxicity, op2_ngram_jaccard_join, op3_sentencepiece, op4_html_extraction, op5_approximate_neighbours, op6_secret_scans, op7_sharding, op8_token_counts, op9_exact_topk, op10_packing, op11_merkle_manifest, op12_phrase_collocations]
     return {f.__name__: f for f in made}
 
 
@@ -151,5 +155,34 @@ WITH RECURSIVE rows_ AS (
 )
 SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM placed JOIN subroots ON placed.source IS NOT DISTINCT FROM subroots.source JOIN folded USING (r) LEFT JOIN proofs USING (r), root_
+""",
+    "op12_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), grams AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+), known AS (
+  SELECT lang, phrase, m, count(*) AS f FROM grams GROUP BY lang, phrase, m
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM known WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM known WHERE m > 1 AND f >= 100
+), inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, k, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM candidates WHERE m > 2)) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, m), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+  WHERE longer IS NULL OR 100 * longer < 100 * a
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = c.head JOIN known y ON y.lang = c.lang AND y.phrase = c.tail JOIN totals t ON t.lang = c.lang
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM weakest QUALIFY rank <= 2000
 """,
 }
