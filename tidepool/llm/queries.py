@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, merkle, neardup, packing, phrases, secrets, sentencepiece, sharding, topk, toxicity
+from . import ann, bpe, html, licenses, merkle, neardup, packing, phrases, secrets, sentencepiece, sharding, topk, toxicity
 from .common import table
 
 
@@ -59,8 +59,17 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the scan that SQL can express."""
+    return op13_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_toxicity, op2_ngram_jaccard_join, op3_sentencepiece, op4_html_extraction, op5_approximate_neighbours, op6_secret_scans, op7_sharding, op8_token_counts, op9_exact_topk, op10_packing, op11_merkle_manifest, op12_phrase_collocations]
+    made = [op1_toxicity, op2_ngram_jaccard_join, op3_sentencepiece, op4_html_extraction, op5_approximate_neighbours, op6_secret_scans, op7_sharding, op8_token_counts, op9_exact_topk, op10_packing, op11_merkle_manifest, op12_phrase_collocations, op13_license_scans, license_base]
     return {f.__name__: f for f in made}
 
 
@@ -184,5 +193,17 @@ WITH pieces AS (
 )
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
 FROM weakest QUALIFY rank <= 2000
+""",
+    "license_base": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), phrases AS (
+  SELECT * FROM (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')) t(p, label)
+), places AS (
+  SELECT r, label, i - 1 AS at_word FROM (SELECT r, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM words, phrases WHERE len(w) >= len(p)) WHERE list_slice(w, i, i + len(p) - 1) = p
+), sums AS (
+  SELECT r, count(*) AS n, min(at_word) AS first_word, max(at_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM words LEFT JOIN sums USING (r)
 """,
 }
