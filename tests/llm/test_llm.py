@@ -390,3 +390,17 @@ def test_pipeline(spark):
     for spots in places.values():
         spots.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(spots, spots[1:], strict=False)) and spots[0][0] == 0 and sum(spots[-1]) <= 2048
+
+
+def test_names_that_spark_would_parse(spark):
+    """Further columns with dots and backticks, some like the operators' own, go through all stages that keep columns."""
+    from tidepool.llm import neardup, secrets, toxicity
+
+    rows = [(i, f"one two three four five six {i % 2} password = abcdefgh{i:04d}x", "en", 1.5, f"t{i}", "n") for i in range(6)] + [(None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` double, `text.x` string, `_may_be_dropped` string").selectExpr("*", "lang AS `c``d.e`")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    kept = toxicity.reject(docs, toxicity.train(docs, labels), threshold=2.0)
+    assert kept.columns == docs.columns and kept.count() == 7
+    for out in (secrets.redact(docs), neardup.one_of_each(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r)[3:] for r in out.collect()} <= {tuple(r)[3:] for r in docs.collect()}

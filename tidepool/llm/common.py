@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -74,6 +75,22 @@ def drawn_by_hash(id_col: str, rows: int, wanted: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 52)) < int((1 << 52) * wanted / rows)
 
 
+def any_names(keeps_columns: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions that give back the columns of their first argument: columns may have names that Spark would parse."""
+
+    @functools.wraps(keeps_columns)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        names = docs.columns
+        odd = [i for i, n in enumerate(names) if "." in n or "`" in n]
+        if not odd:
+            return keeps_columns(docs, *args, **named)
+        stem = "_" * (1 + max(map(len, names)))  # longer than any name, so none has it
+        plain = [f"{stem}{i}" if i in odd else n for i, n in enumerate(names)]
+        return keeps_columns(docs.toDF(*plain), *args, **named).toDF(*names)
+
+    return run
+
+
 def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., dict]]) -> DataFrame:
     """Runs ``make()`` once a task and the function it gives once for each slice of SLICE_ROWS rows.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Written, drawn_by_hash, map_columns
+from .common import Written, any_names, drawn_by_hash, map_columns
 from .components import components
 from .partenum import shingles, signatures
 
@@ -346,6 +346,7 @@ def linked_roots(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return roots
 
 
+@any_names
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all their columns unchanged, of one document of each group: the one whose id names it.
 

@@ -17,7 +17,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, map_columns
+from .common import Written, any_names, map_columns
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -342,6 +342,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_columns(spans, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string", make)
 
 
+@any_names
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<secret>") -> DataFrame:
     """The same rows and columns, with every span found by ``scan`` replaced by ``mask``; texts without spans stay as they are.
 

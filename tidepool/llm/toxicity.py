@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, Written, map_columns
+from .common import SLICE_ROWS, Written, any_names, map_columns
 
 #: Labelled documents that the lexicon and the regression are fitted on, at most, drawn by a hash of their id.
 MOST_LABELLED = 16_000
@@ -322,6 +322,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_columns(rows, "doc_id bigint, held_out boolean, score double, predicted int", make)
 
 
+@any_names
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows, all their columns unchanged, whose texts score below ``threshold``.
 
