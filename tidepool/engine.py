@@ -40,7 +40,7 @@ def _schema(text: str = "", **others: T.DataType) -> T.StructType:
 _STRINGS, _LONG, _INT, _DOUBLE, _BOOLEAN = T.ArrayType(T.StringType()), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 SCHEMAS = {
     "documents": _schema("id project kind title body status external_key parent_id blocked_by_id blocked_reason source source_ref metatags task_kind due_at started_at completed_at entry_type actor correlation_id path root_path language content_hash mtime created_at updated_at", priority=_INT, pinned=_BOOLEAN, file_size=_LONG),
-    "chunks": _schema("document_id project kind chunk_id chunk_text", chunk_index=_INT, token_count=_INT, start_line=_INT, end_line=_INT),
+    "chunks": _schema("document_id project kind title chunk_id chunk_text", chunk_index=_INT, token_count=_INT, start_line=_INT, end_line=_INT),
     "queue": _schema("document_id project kind state error indexed_at stale_since"),
     "embeddings": _schema("chunk_id document_id project model", vector=T.ArrayType(T.DoubleType())),
     "links": _schema("project source_id target_id kind created_at"),
@@ -64,6 +64,8 @@ FIELDS = {
     "history": {"entry_type", "body", "actor", "correlation_id", "metatags", "source"},
     "file": set(),
 }
+#: History entries that one extraction takes up.
+EXTRACTED = 20
 COMPACT = ["id", "project", "kind", "title", "status", "path", "language", "pinned", "priority", "updated_at"]
 
 
@@ -99,11 +101,11 @@ class Engine:
     def head(self, table: str) -> int:
         return self.tables[table].head()
 
-    def commit(self, table: str, rows: list[dict] | DataFrame, base: int | None = None, op: str = "U") -> None:
+    def commit(self, table: str, rows: list[dict] | DataFrame, base: int | None = None, op: str | None = "U", batches: dict[str, int] | None = None) -> None:
         if isinstance(rows, list) and not rows:
             return
         try:
-            self.tables[table].commit(rows, base, op)
+            self.tables[table].commit(rows, base, op, batches=batches)
         except Conflict as error:
             raise EngineError("conflict", str(error)) from None
         except ValueError as error:
@@ -159,48 +161,51 @@ class Engine:
         self._pend(project)
         return row["id"]
 
-    def append_history_rows(self, rows: DataFrame) -> None:
-        """Many entries at once: (project, entry_type, payload, actor), as one commit. Nothing is counted towards a trigger."""
-        at = now_iso()
-        new_id = F.udf(lambda: uuid7(), "string").asNondeterministic()
-        made = rows.select(
-            new_id().alias("id"), "project", F.lit("history").alias("kind"), F.col("entry_type").alias("title"), "entry_type", F.col("payload").alias("body"),
-            "actor", F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"),
-        )
-        made = store_kept(made.where("trim(payload) <> ''"))
-        if not made.isEmpty():
-            self.commit("documents", made)
-            self._write_chunks(made)
+    def append_history_rows(self, rows: DataFrame, batches: dict[str, int] | None = None) -> None:
+        """Many entries at once: (project, entry_type, payload, actor), as one commit. Nothing is counted towards a trigger.
+
+        ``batches`` names the writer and its batch, which are kept with the rows: a batch that comes again adds no rows, but
+        what its rows still lack (chunks, queue) is derived from the rows that the first run has committed.
+        """
+        documents, at = self.tables["documents"], now_iso()
+        ((writer, number),) = (batches or {None: None}).items()
+        if writer is None or documents.batches().get(writer, -1) < number:
+            made = rows.where("trim(payload) <> ''").select(
+                F.expr("uuid()").alias("id"), "project", F.lit("history").alias("kind"), F.col("entry_type").alias("title"), "entry_type", F.col("payload").alias("body"),
+                "actor", F.lit(at).alias("created_at"), F.lit(at).alias("updated_at"),
+            )
+            made = store_kept(made)  # ids are drawn once
+            if made.isEmpty():
+                return
+            self.commit("documents", made, batches=batches)
+        if writer is not None:
+            made = documents.batch(writer, number)
+        if made is not None:
+            self._write_chunks(made.select("id", "project", "kind", "title", "body"), batches)
 
     def _derive(self, rows: list[dict]) -> None:
         """Chunks and queue rows of documents just written; both can be rebuilt from the documents."""
         frame = self.spark.createDataFrame([(r["id"], r["project"], r["kind"], r.get("title"), r.get("body")) for r in rows], "id string, project string, kind string, title string, body string")
         self._write_chunks(frame)
 
-    def _write_chunks(self, documents: DataFrame) -> None:
+    def _write_chunks(self, documents: DataFrame, batches: dict[str, int] | None = None) -> None:
         """(id, project, kind, title, body) as chunks: notes and history their stripped body, tasks title and body."""
         body = F.when(F.col("kind") == "task", F.concat_ws("\n", "title", "body")).otherwise(F.col("body"))
-        rows = chunking.body_chunks(documents, "id", body).join(documents.select("id", "project", "kind"), "id")
+        rows = chunking.body_chunks(documents, "id", body).join(documents.select("id", "project", "kind", "title"), "id")
         rows = rows.withColumnRenamed("id", "document_id").withColumn("chunk_id", F.concat_ws("#", "document_id", "chunk_index"))
-        self._replace_chunks(rows, documents.select(F.col("id").alias("document_id"), "project", "kind"))
+        self._replace_chunks(rows, documents.select(F.col("id").alias("document_id"), "project", "kind"), batches)
 
-    def _replace_chunks(self, chunks: DataFrame, documents: DataFrame) -> None:
-        """New chunks of the documents; what they had before goes, embeddings are asked for anew."""
+    def _replace_chunks(self, chunks: DataFrame, documents: DataFrame, batches: dict[str, int] | None = None) -> None:
+        """New chunks of the documents; what they had before goes with the same commit, embeddings are asked for anew."""
+        base = self.head("chunks")
         old = self.latest("chunks").join(documents.select("document_id", "project"), ["document_id", "project"], "left_semi")
         gone = old.join(chunks.select("document_id", "chunk_index"), ["document_id", "chunk_index"], "left_anti").withColumn("op", F.lit("D"))
-        base = self.head("chunks")
         fresh = chunks.withColumn("op", F.lit("U")).unionByName(gone, allowMissingColumns=True)
-        self._commit_marked("chunks", fresh, base)
-        queued = documents.where(F.col("kind") != "task").withColumns({"state": F.lit("pending"), "indexed_at": F.lit(now_iso()), "op": F.lit("U")})
-        self._commit_marked("queue", queued, None)
-
-    def _commit_marked(self, table: str, rows: DataFrame, base: int | None) -> None:
-        """Rows that say for themselves whether they are deletions: the two kinds as two commits."""
-        for op in ("D", "U"):
-            part = rows.where(F.col("op") == op).drop("version")
-            if not part.isEmpty():
-                self.commit(table, part, base, op)
-                base = None
+        if not fresh.isEmpty():
+            self.commit("chunks", fresh.drop("version"), base, op=None, batches=batches)
+        queued = documents.where(F.col("kind") != "task").withColumns({"state": F.lit("pending"), "indexed_at": F.lit(now_iso())})
+        if not queued.isEmpty():
+            self.commit("queue", queued, batches=batches)
 
     def get(self, key: str, project: str) -> dict:
         rows = self.documents(project=project).where(F.col("id") == key).limit(1).collect()
@@ -248,16 +253,14 @@ class Engine:
         row = self._row(key, project)
         self.commit("documents", [row | {"updated_at": now_iso(), "op": "D"}], base, "D")
         own = self.latest("chunks").where((F.col("document_id") == key) & (F.col("project") == project))
-        gone = [key, *[r.chunk_id for r in own.select("chunk_id").collect()]]  # chunks of one document
-        self._commit_marked("chunks", own.withColumn("op", F.lit("D")), None)
+        gone = store_kept(own.select("chunk_id"))
+        if not gone.isEmpty():
+            self.commit("chunks", own.drop("version", "op"), op="D")
+        held = self.latest("embeddings").where((F.col("document_id") == key) & (F.col("project") == project))
+        if not held.isEmpty():
+            self.commit("embeddings", held.drop("version", "op"), op="D")
         self.commit("queue", [{"document_id": key, "project": project, "kind": row["kind"], "op": "D"}], op="D")
-        self.invalidate(gone)
-
-    def invalidate(self, evidence: list[str]) -> None:
-        """Deletes facts that rest on any of these documents or chunks."""
-        hit = self.latest("facts").where(F.arrays_overlap("evidence", F.array(*[F.lit(e) for e in evidence])) & ~F.col("status").isin("deleted"))
-        if not hit.isEmpty():
-            self.commit("facts", hit.withColumn("status", F.lit("deleted")).drop("version", "op"))
+        self.invalidate_all(gone.toDF("id").union(self.spark.createDataFrame([(key,)], "id string")))
 
     def list(self, kind: str, project: str, limit: int = 20, cursor: str | None = None, view: str = "compact", root: str | None = None, language: str | None = None, path_prefix: str | None = None) -> tuple[list[dict], str | None]:
         """A page and the cursor of the next one: newest first, files in order of their id. Full rows carry their links."""
@@ -333,13 +336,14 @@ class Engine:
     def index_files(self, root: str, project: str, force: bool = False) -> dict[str, int]:
         """Brings a tree's files up to date: new and changed ones are chunked, those not seen any more are deleted.
 
-        A file is unchanged if hash, size and time are. Ignored and unreadable files count as not seen.
+        A file is unchanged if hash, size and time are; how many were is in the run's audit event. Ignored and unreadable files count as not seen. Files' own rows are
+        committed last, all at once: a run that stops before leaves them as they were, so the next one does it all again.
         """
         seen = files.scan(self.spark, root, self.ignore)
         seen = store_kept(seen)
         base = self.head("documents")
         old = self.documents("file", project).where(F.col("root_path") == root.rstrip("/"))
-        state = store.changes(seen, old, "path", "content_hash", "file_size", "mtime")
+        state = store_kept(store.changes(seen, old, "path", "content_hash", "file_size", "mtime"))
         known = old.select("path", F.col("id").alias("_id"), F.col("created_at").alias("_at"))
         wanted = (state if force else state.where("change <> 'same'")).join(known, "path", "left")
         at, new_id = now_iso(), F.sha2(F.concat_ws("\0", F.lit(project), "path"), 256)
@@ -351,16 +355,21 @@ class Engine:
         gone = store_kept(store.unseen(old, seen, "path").drop("version", "op"))
         counts = {"indexed": rows.count(), "deleted": gone.count()}
         if counts["deleted"]:
-            self.commit("documents", gone, base, "D")
-            base = None
-            lost = self.latest("chunks").join(gone.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+            lost = store_kept(self.latest("chunks").where(F.col("project") == project).join(gone.select(F.col("id").alias("document_id")), "document_id", "left_semi"))
             self.invalidate_all(gone.select("id").union(lost.select("chunk_id")))
-            self._commit_marked("chunks", lost.withColumn("op", F.lit("D")), None)
+            held = self.latest("embeddings").join(lost.select("chunk_id"), "chunk_id", "left_semi")
+            for table, dropped in (("chunks", lost), ("embeddings", held), ("queue", gone.select(F.col("id").alias("document_id"), "project", "kind"))):
+                if not dropped.isEmpty():
+                    self.commit(table, dropped.drop("version", "op"), op="D")
         if counts["indexed"]:
-            self.commit("documents", rows.drop("text"), base)
             made = chunking.chunk_files(rows.withColumnRenamed("id", "document_id"), self.chunk_size, self.chunk_overlap, "document_id")
+            made = made.join(rows.select(F.col("id").alias("document_id"), F.col("path").alias("title")), "document_id")
             made = made.withColumns({"project": F.lit(project), "kind": F.lit("file"), "chunk_id": F.concat_ws("#", "document_id", "chunk_index")})
             self._replace_chunks(store_kept(made), rows.select(F.col("id").alias("document_id"), "project", "kind"))
+        if sum(counts.values()):
+            self.commit("documents", rows.drop("text").withColumn("op", F.lit("U")).unionByName(gone.withColumn("op", F.lit("D")), allowMissingColumns=True), base, op=None)
+        skipped = 0 if force else state.where("change = 'same'").count()
+        self.record("file_index", project, "files_indexed", counts | {"root": root, "skipped": skipped})
         return counts | {"count": sum(counts.values())}
 
     def reindex_files(self, root: str, project: str) -> dict[str, int]:
@@ -676,7 +685,7 @@ class Engine:
         rows = self.waiting_history(project, self.checkpoint(project), limit).withColumn("payload", redact(F.col("payload"))).collect()
         return {"project": project, "allowed": self.egress.permits([project]), "configured": self.extractor is not None, "count": len(rows), "entries": [{"id": r.id, "entry_type": r.entry_type, "payload": r.payload} for r in rows]}
 
-    def extract(self, project: str, chat: str | None = None, limit: int = 20) -> dict:
+    def extract(self, project: str, chat: str | None = None, limit: int = EXTRACTED) -> dict:
         """Facts and a scenario from history after the mark, masked before it leaves; the mark moves if all went well."""
         mark = self.checkpoint(project, chat)
         if not self.egress.permits([project]) or self.extractor is None:
@@ -731,13 +740,18 @@ class Engine:
             self.commit("triggers", [state])
 
     def flush(self, project: str) -> dict | None:
-        """Extracts now and starts counting anew; a failure is recorded and does not stop the caller."""
+        """Extracts all that waits, a batch after the other, and starts counting anew; a failure is recorded and does not stop
+        the caller."""
+        got = None
         try:
-            return self.extract(project)
+            while got is None or part["processed"] >= EXTRACTED:
+                part = self.extract(project, limit=EXTRACTED)
+                got = part if got is None else {"processed": got["processed"] + part["processed"], "facts": got["facts"] + part["facts"], "scenario": part["scenario"] or got["scenario"]}
+            return got
         except EngineError as error:
             if error.code not in ("provider", "denied"):
                 raise
-            return None
+            return got
         finally:
             self.commit("triggers", [{"project": project, "pending": 0, "last_run": datetime.now(UTC).isoformat()}])
 

@@ -32,7 +32,11 @@ class VersionedTable:
     The record is created only if its number is free, so of two writers that read the same state one fails (``Conflict``),
     and a writer that stops in between leaves files that no record names, or an empty record, which commits nothing. A
     snapshot's record makes readers pass over all commits before it; the files of those stay until ``vacuum``, so that
-    readers of an older state are not cut off.
+    readers of an older state are not cut off. A writer that works through numbered batches names itself and the batch in the
+    commit's record; a batch that is there already is not written again.
+
+    Claiming a number takes a file system that creates a file only if there is none: HDFS and local ones do. Object stores
+    whose clients check first and put later don't; tables there need one writer at a time.
     """
 
     #: Milliseconds after which a record without content counts as given up by its writer.
@@ -80,27 +84,51 @@ class VersionedTable:
     def latest(self) -> DataFrame:
         return latest(self.log(), self.key)
 
-    def commit(self, rows: DataFrame | list[dict], base: int | None = None, op: str = "U", snapshot: bool = False) -> int:
+    def batches(self) -> dict[str, int]:
+        """The last batch that each writer of numbered batches has committed."""
+        out: dict[str, int] = {}
+        for _, record in self._records():
+            for writer, batch in record.get("batches", {}).items():
+                out[writer] = max(batch, out.get(writer, batch))
+        return out
+
+    def batch(self, writer: str, number: int) -> DataFrame | None:
+        """The rows of a batch since the last snapshot, if it was committed."""
+        folders = [r["folder"] for _, r in self._records() if not r.get("snapshot") and r.get("batches", {}).get(writer) == number]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folders[0]}") if folders else None
+
+    def since(self, commit: int) -> DataFrame | None:
+        """All rows of later commits; None if a snapshot has taken their place, so that what lay between can't be told."""
+        records = self._records()
+        if records and records[0][1].get("snapshot") and records[0][0] > commit:
+            return None
+        folders = [r["folder"] for n, r in records if r and n > commit]
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.schema)
+
+    def commit(self, rows: DataFrame | list[dict], base: int | None = None, op: str | None = "U", snapshot: bool = False, batches: dict[str, int] | None = None) -> int:
         """Appends rows, in order, as the commit after ``base``, or after whatever is last; gives its number.
 
-        Fields that the table doesn't have are refused. Missing ones are null.
+        Fields that the table doesn't have are refused. Missing ones are null. ``op`` None: every row says for itself whether
+        it is a deletion. ``batches`` names a writer and its batch; one that is there already adds nothing and gives 0.
         """
         names = self.schema.names
         if isinstance(rows, list):
             if unknown := {n for r in rows for n in r} - set(names):
                 raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
         for _ in range(100):
+            if batches and not snapshot and any(self.batches().get(w, -1) >= b for w, b in batches.items()):
+                return 0
             n = (self.head() if base is None else base) + 1
             folder = f"c{n:012d}-{uuid.uuid4().hex}"
             if isinstance(rows, list):
-                made = [tuple((r | {"version": n * 1_000_000 + i, "op": r.get("op") or op}).get(c) for c in names) for i, r in enumerate(rows)]
+                made = [tuple((r | {"version": n * 1_000_000 + i, "op": r.get("op") or op or "U"}).get(c) for c in names) for i, r in enumerate(rows)]
                 frame = self.spark.createDataFrame(made, self.schema).coalesce(1)
             else:
-                extra = {} if snapshot else {"version": F.lit(n * 1_000_000).cast("bigint"), "op": F.lit(op)}
+                extra = {} if snapshot else {"version": F.lit(n * 1_000_000).cast("bigint")} | ({"op": F.lit(op)} if op else {})
                 frame = rows.withColumns(extra)
                 frame = frame.select(*[(F.col(c) if c in frame.columns else F.lit(None)).cast(self.schema[c].dataType).alias(c) for c in names])
             frame.write.parquet(f"{self.path}/{folder}")
-            if self._record(n, folder, snapshot):
+            if self._record(n, folder, snapshot, batches or {}):
                 return n
             fs, path = hadoop(self.spark, f"{self.path}/{folder}")
             fs.delete(path, True)
@@ -108,7 +136,7 @@ class VersionedTable:
                 break
         raise Conflict(f"{self.path} changed after commit {base}")
 
-    def _record(self, n: int, folder: str, snapshot: bool) -> bool:
+    def _record(self, n: int, folder: str, snapshot: bool, batches: dict[str, int]) -> bool:
         """Claims a number, if it is free, for a folder."""
         fs, path = hadoop(self.spark, f"{self.path}/_log/{n:012d}.json")
         try:
@@ -117,7 +145,7 @@ class VersionedTable:
             if "FileAlreadyExists" in str(error.java_exception):
                 return False
             raise
-        stream.write(json.dumps({"folder": folder, "snapshot": snapshot}).encode())
+        stream.write(json.dumps({"folder": folder, "snapshot": snapshot} | ({"batches": batches} if batches else {})).encode())
         stream.close()
         if snapshot:  # tells readers where to start; without it they find the snapshot among all records
             stream = fs.create(hadoop(self.spark, f"{self.path}/_log/snapshot")[1], True)
@@ -133,7 +161,7 @@ class VersionedTable:
         base = self.head()
         rows = last_versions(self.log(base), self.key)
         rows = rows.where((F.col("op") != "D") | (keep if keep is not None else F.lit(False)))
-        return self.commit(rows, base, snapshot=True) if base else 0
+        return self.commit(rows, base, snapshot=True, batches=self.batches()) if base else 0
 
     def vacuum(self) -> int:
         """Deletes folders that no record since the last snapshot names; gives how many."""

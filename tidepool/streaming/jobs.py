@@ -17,17 +17,15 @@ def event_windows(spark: SparkSession, source: str, schema, target: str, checkpo
 def extract_history(spark: SparkSession, source: str, schema, engine, checkpoint: str, files: int = 32):
     """Gives new history rows (project, entry_type, payload, actor) to the engine, a bounded number of files at a time.
 
-    The stream's checkpoint says which files were taken up. A batch that is run again after a failure is recognised by its
-    number, which the engine keeps as a setting; a project's extraction runs once for each batch.
+    The stream's checkpoint says which files were taken up, and its number is kept with the rows of a batch, in one commit. A
+    batch that is run again, wherever the first run stopped, adds what is missing and nothing twice: rows and chunks by that
+    number, facts because each project's extraction has a mark of its own. All that waits is extracted with the batch.
     """
 
     def take(batch: DataFrame, epoch: int) -> None:
-        if int(engine.setting("history_stream", checkpoint) or -1) >= epoch:
-            return
-        engine.append_history_rows(batch)
+        engine.append_history_rows(batch, {f"history_stream {checkpoint}": epoch})
         for project in [r.project for r in batch.select("project").distinct().orderBy("project").collect()]:
             engine.flush(project)
-        engine.set_setting("history_stream", checkpoint, str(epoch))
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
