@@ -92,6 +92,7 @@ class Engine:
         self.schemas, self.chunk_size, self.chunk_overlap, self.ignore = schemas or {}, chunk_size, chunk_overlap, list(ignore)
         self.max_facts, self.batch, self.interval_seconds = max_facts, batch, interval_seconds
         self._indexes: dict[str, tuple[int, index.Index]] = {}
+        self._segments = {n: index.Segments(spark, f"{self.root}/indexes/{n}") for n in ("entries", "files", "facts", "scenarios")}
 
     # Tables.
 
@@ -418,21 +419,39 @@ class Engine:
     # Search.
 
     def _corpus(self, name: str) -> index.Index:
-        """The index of notes, tasks and history together, or of files; built anew once their table has changed."""
-        head = max(self.head("chunks"), self.head("documents")) if name != "facts" else self.head("facts")
-        head = self.head("scenarios") if name == "scenarios" else head
-        if self._indexes.get(name, (-1,))[0] != head:
-            if name == "facts":
-                built = index.build(self.latest("facts"), "id", F.col("content"))
-            elif name == "scenarios":
-                built = index.build(self.latest("scenarios"), "id", F.concat_ws("\n", "title", "summary"))
-            else:
-                kinds = ["file"] if name == "files" else ["note", "task", "history"]
-                rows = self._chunks().where(F.col("kind").isin(kinds))
-                built = index.build(rows, "chunk_id", F.when(F.col("kind") == "history", F.col("body")).otherwise(F.concat_ws("\n", "title", "body")))
-            self._indexes[name] = (head, built)
+        """The index of notes, tasks and history together, of files, facts or scenarios, brought up to what is committed.
+
+        Only rows of commits since the last time are read, and become a segment. After a snapshot, which hides what was
+        deleted before it, the index begins anew.
+        """
+        source = name if name in ("facts", "scenarios") else "chunks"
+        head, table, held = self.head(source), self.tables[source], self._segments[name]
+        for _ in range(3):
+            if self._indexes.get(name, (-1,))[0] == head:
+                break
+            try:
+                done = held.followed()
+                if done < head:
+                    fresh = table.since(done)
+                    if fresh is None:
+                        held.reset()
+                        fresh = table.log()
+                    self._follow(name, store_kept(store.last_versions(fresh, KEYS[source])), done, head)
+                self._indexes[name] = (head, held.index())
+            except Conflict:  # another engine has indexed meanwhile
+                continue
         return self._indexes[name][1]
 
+    def _follow(self, name: str, changed: DataFrame, done: int, head: int) -> None:
+        if name == "facts":
+            key, body = "id", F.col("content")
+        elif name == "scenarios":
+            key, body = "id", F.concat_ws("\n", "title", "summary")
+        else:
+            changed = changed.where(F.col("kind") == "file" if name == "files" else F.col("kind") != "file")
+            key, body = "chunk_id", F.when(F.col("kind") == "history", F.col("chunk_text")).otherwise(F.concat_ws("\n", "title", "chunk_text"))
+        self._segments[name].add(changed.where("op <> 'D'"), key, body, changed.select(key) if done else None, head)
+
     def _chunks(self) -> DataFrame:
         """Chunks with what search shows of their documents."""
         d = self.latest("documents")
@@ -777,6 +796,8 @@ class Engine:
         rows = self.documents().where("kind <> 'file'").select("id", "project", "kind", "title", "body")
         if not rows.isEmpty():
             self._write_chunks(store_kept(rows))
+        for segments in self._segments.values():
+            segments.reset()
         self._indexes.clear()
 
     def compact(self, project: str | None = None, before: str | None = None, rebuild: bool = False, vacuum: bool = True) -> dict[str, int]:

@@ -1,40 +1,117 @@
-"""Full-text index and BM25 search: texts are tokenised when the index is written, and a search reads its terms' postings."""
+"""Full-text index with positions, in segments, and BM25 search over it.
+
+Texts are tokenised once, when they are indexed. Tokens are shuffled once, to folders by a hash of their term, and gathered
+where they arrive. A search reads its terms' folders and nothing else: phrases come from
+positions, statistics are sums, and the best k come from regions of documents in order of what they can score at most.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scores import bm25_part, idf
 from ..functions.text import terms
-from ..sources.work import exists, kept, stamp
+from ..sources.store import VersionedTable
+from ..sources.work import exists, kept, new_path, stamp
+
+#: Documents for each folder of postings, folders at most, documents for each file of a folder.
+FOLDER_ROWS, MOST_FOLDERS, FILE_ROWS = 4096, 1024, 1_000_000
+#: Documents of a region, about; parts that documents of like length are dealt to, at most.
+REGION_ROWS, MOST_PARTS = 2048, 1 << 16
+#: Terms in fewer documents have no table of regions.
+REGIONED = 1024
+#: Segments of like size that are merged into one.
+FANOUT = 8
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (term, key, tf, length), sorted by term; rows and mean length of the corpus; the corpus (key, text)."""
+    """``postings`` (bucket, term, region, key, tf, length, positions) of live documents; rows and mean length of the corpus.
+
+    ``regions`` (term, region, n, most, shortest) sums up the postings of common terms.
+    """
 
     postings: DataFrame
     rows: int
     mean: float
-    corpus: DataFrame
+    buckets: int = 1
+    regions: DataFrame | None = field(default=None)
+
+    def of_terms(self, words: list[str]) -> DataFrame:
+        """The postings of some terms: only their folders are read."""
+        rows = self.postings.where(F.col("term").isin(words))
+        if self.buckets == 1:
+            return rows
+        spark = self.postings.sparkSession
+        at = spark.createDataFrame([(w,) for w in words], "term string").select(_bucket(self.buckets)).distinct().collect()
+        return rows.where(F.col("bucket").isin([r.bucket for r in at]))
+
+
+_COLUMNS = ("term", "region", "key", "tf", "length", "positions", "segment", "bucket")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def tokens(corpus: DataFrame, key: str, text: Column, parts: int = 1) -> DataFrame:
+    """(key, length, region, at, term): every token of every document.
+
+    A region holds documents of about the same length, and so bounds what its postings can score.
+    """
+    rows = corpus.select(F.col(key).alias("key"), terms(text).alias("_terms"))
+    region = F.floor(F.log2("length") * 2).cast("int") * MOST_PARTS + F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+    return rows.select("key", F.size("_terms").cast("bigint").alias("length"), "_terms").select("key", "length", region.alias("region"), F.posexplode("_terms").alias("at", "term"))
+
 
+def _dealt(rows: DataFrame, documents: int, buckets: int) -> DataFrame:
+    """Rows with ``bucket``, by their term's hash, and ``file``, by their key's, shuffled by both: the only shuffle."""
+    file = F.pmod(F.xxhash64("key"), F.lit(documents // FILE_ROWS + 1)).cast("int").alias("file")
+    return rows.select("*", _bucket(buckets), file).repartition("bucket", "file")
 
-def postings(corpus: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf, length): a term's hits are counted where the document is, before anything is shuffled."""
-    tokens = corpus.select(F.col(key).alias("key"), terms(text).alias("_terms"))
-    tokens = tokens.select("key", F.size("_terms").cast("bigint").alias("length"), F.explode("_terms").alias("term"))
-    return tokens.groupBy("term", "key", "length").agg(F.count(F.lit(1)).alias("tf"))
+
+def gathered(dealt: DataFrame) -> DataFrame:
+    """(bucket, file, term, region, key, length, tf, positions) of tokens that were dealt: each task gathers its own."""
+    placed = dealt.groupBy("bucket", "file", "term", "region", "key", "length").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    return placed.withColumn("tf", F.size("positions").cast("bigint"))
+
+
+def _write(made: DataFrame, path: str) -> None:
+    """Postings to a folder for each bucket, common ones as several files, each in order of (term, region, key)."""
+    made.drop("file").sortWithinPartitions("bucket", "term", "region", "key").write.partitionBy("bucket").parquet(path)
+
+
+def _parts(rows: int) -> int:
+    return min(MOST_PARTS, rows // REGION_ROWS + 1)
+
+
+def buckets_of(rows: int) -> int:
+    return min(MOST_FOLDERS, rows // FOLDER_ROWS + 1)
+
+
+def summed(postings_: DataFrame) -> DataFrame:
+    """(term, region, n, most, shortest) of terms that many documents hold: postings, most hits, least length."""
+    each = postings_.groupBy("term", "region").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"))
+    common = each.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= REGIONED).select("term")
+    return each.join(common, "term", "left_semi")
 
 
 def build(corpus: DataFrame, key: str, text: Column) -> Index:
-    """Writes the index of a corpus, whose keys must be unique. Files are ranges of (term, key), so common terms span many."""
-    counted = kept(postings(corpus, key, text), "index-counts")
-    rows, total = corpus.count(), counted.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-    ordered = counted.repartitionByRange("term", "key").sortWithinPartitions("term", "key")
-    return Index(kept(ordered.select("term", "key", "tf", "length"), "index"), rows, total / max(rows, 1), corpus.select(F.col(key).alias("key"), text.alias("text")))
+    """Writes the index of a corpus, whose keys must be unique."""
+    spark, rows, path = corpus.sparkSession, corpus.count(), new_path(corpus.sparkSession, "index")
+    buckets = buckets_of(rows)
+    made = gathered(_dealt(tokens(corpus, key, text, _parts(rows)), rows, buckets)).select(*[c for c in _COLUMNS if c != "segment"])
+    _write(made, path)
+    written = spark.read.schema(made.schema).parquet(path)
+    total = written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    regions = kept(summed(written), "index-regions") if rows >= REGIONED else None
+    return Index(written, rows, total / max(rows, 1), buckets, regions)
 
 
 _BUILT: dict[tuple, Index] = {}
@@ -49,41 +126,28 @@ def of(corpus: DataFrame, key: str, text: Column) -> Index:
     return _BUILT[mark]
 
 
-def _and_is(word: str):
-    return lambda hit, term: F.coalesce(hit & (term == word), F.lit(False))
+def phrase_places(positions: list[Column]) -> Column:
+    """Where a phrase begins, from the positions of its words: those of each word, shifted by its place, intersected."""
+    here = positions[0]
+    for step, later in enumerate(positions[1:], 1):
+        here = F.array_intersect(here, F.transform(later, _back(step)))
+    return here
 
 
-def phrase_hits(tokens: Column, phrase: list[str]) -> Column:
-    """How often a phrase stands in an array of terms."""
-    here = F.transform(tokens, lambda t: t == phrase[0])
-    for step, word in enumerate(phrase[1:], 1):
-        later = F.slice(tokens, step + 1, F.greatest(F.size(tokens) - step, F.lit(0)))
-        here = F.zip_with(here, later, _and_is(word))
-    return F.size(F.filter(here, lambda hit: hit)).cast("bigint")
+def _back(step: int):
+    return lambda place: place - step
 
 
 def frequencies(index: Index, phrases: list[list[str]]) -> DataFrame:
-    """(key, length, f0, f1, ...): how often each phrase stands in the documents that hold any of them.
-
-    Terms are looked up in the postings. Of a phrase of several words only the texts that hold all its words are read.
-    """
+    """(key, length, f0, f1, ...): how often each phrase stands in the documents that hold any of their words."""
     words = sorted({w for p in phrases for w in p})
-    at = {w: f"t{i}" for i, w in enumerate(words)}
-    found = index.postings.where(F.col("term").isin(words))
-    found = found.groupBy("key").agg(F.max("length").alias("length"), *[F.coalesce(F.sum(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(c) for w, c in at.items()])
-    long = {i: p for i, p in enumerate(phrases) if len(p) > 1}
-    if long:
-        holds = F.lit(False)
-        for p in long.values():
-            every = F.lit(True)
-            for w in set(p):
-                every = every & (F.col(at[w]) > 0)
-            holds = holds | every
-        texts = index.corpus.join(found.where(holds).select("key"), "key", "left_semi").withColumn("text", terms(F.col("text")))
-        hits = kept(texts.select("key", *[phrase_hits(F.col("text"), p).alias(f"p{i}") for i, p in long.items()]), "phrase-hits")
-        found = found.join(hits, "key", "left")
-    counts = [F.coalesce(F.col(f"p{i}"), F.lit(0)) if i in long else F.col(at[p[0]]) for i, p in enumerate(phrases)]
-    return found.select("key", "length", *[c.cast("bigint").alias(f"f{i}") for i, c in enumerate(counts)])
+    at, inside = {w: f"t{i}" for i, w in enumerate(words)}, {w for p in phrases if len(p) > 1 for w in p}
+    picked = lambda w, c: F.max(F.when(F.col("term") == w, F.col(c)))  # noqa: E731  a term is in a document once
+    found = index.of_terms(words).groupBy("key").agg(
+        F.max("length").alias("length"), *[F.coalesce(picked(w, "tf"), F.lit(0)).alias(c) for w, c in at.items()], *[picked(w, "positions").alias(f"p_{at[w]}") for w in sorted(inside)]
+    )
+    counts = [F.coalesce(F.size(phrase_places([F.col(f"p_{at[w]}") for w in p])), F.lit(0)) if len(p) > 1 else F.col(at[p[0]]) for p in phrases]
+    return found.select("key", "length", *[F.greatest(c, F.lit(0)).cast("bigint").alias(f"f{i}") for i, c in enumerate(counts)])
 
 
 def bm25(index: Index, phrases: list[list[str]], key: str = "key") -> DataFrame:
@@ -94,10 +158,170 @@ def bm25(index: Index, phrases: list[list[str]], key: str = "key") -> DataFrame:
     found = frequencies(index, phrases)
     names = [f"f{i}" for i in range(len(phrases))]
     having = found.agg(*[F.count_if(F.col(n) > 0).alias(n) for n in names]).first()
-    score = F.lit(0.0)
-    for n in names:
-        score = score + bm25_part(idf(F.lit(float(index.rows)), F.lit(float(having[n]))), F.col(n), F.col("length"), F.lit(index.mean))
-    every = F.lit(True)
-    for n in names:
+    return _scored(found, index, names, [having[n] for n in names]).withColumnRenamed("key", key)
+
+
+def _scored(found: DataFrame, index: Index, names: list[str], having: list[int]) -> DataFrame:
+    score, every = F.lit(0.0), F.lit(True)
+    for n, h in zip(names, having, strict=True):
+        score = score + bm25_part(idf(F.lit(float(index.rows)), F.lit(float(h))), F.col(n), F.col("length"), F.lit(index.mean))
         every = every & (F.col(n) > 0)
-    return found.where(every).select(F.col("key").alias(key), F.col("length").cast("bigint").alias("length"), (-score).alias("bm25"))
+    return found.where(every).select("key", F.col("length").cast("bigint").alias("length"), (-score).alias("bm25"))
+
+
+@dataclass(frozen=True)
+class Top:
+    """``rows`` (key, length, bm25) in order; how many postings were read for them, of how many."""
+
+    rows: DataFrame
+    read: int
+    held: int
+
+
+def top(index: Index, words: list[str], k: int, digits: int = 9) -> Top:
+    """The k best documents that hold all words, by bm25 rounded to ``digits``, then by key: exactly those of ``bm25``.
+
+    What a region can score at most follows from the most hits and the least length in it. The regions that promise most are
+    read first; their k-th score rules out all regions that can't reach it.
+    """
+    words = sorted(set(words))
+    known = index.regions.where(F.col("term").isin(words)) if index.regions is not None else None
+    rare = [w for w in words if known is None or known.where(F.col("term") == w).isEmpty()]
+    each = index.of_terms(rare).groupBy("term", "region").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest")) if rare else None
+    headers = kept(known if each is None else each if known is None else known.unionByName(each), "regions")
+    df = {r.term: r.df for r in headers.groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    held, having = sum(df.values()), [df.get(w, 0) for w in words]
+    weight = F.create_map(*[x for w, h in zip(words, having, strict=True) for x in (F.lit(w), idf(F.lit(float(index.rows)), F.lit(float(h))))])
+    most = F.sum(bm25_part(F.try_element_at(weight, F.col("term")), F.col("most"), F.col("shortest"), F.lit(index.mean)))
+    bounds = headers.groupBy("region").agg(most.alias("bound"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms")).where(F.col("terms") == len(words))
+    bounds = kept(bounds.select("region", F.round("bound", digits).alias("bound"), "n"), "region-bounds")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        names = [f"f{i}" for i in range(len(words))]
+        counts = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(n) for w, n in zip(words, names, strict=True)]
+        found = _scored(rows.groupBy("key").agg(F.max("length").alias("length"), *counts), index, names, having)
+        return found.withColumn("bm25", F.round("bm25", digits)).orderBy("bm25", "key").limit(k)
+
+    first = [r.region for r in bounds.orderBy(F.desc("bound"), "region").limit(8).collect()]
+    best = scored(index.of_terms(words).where(F.col("region").isin(first))).collect() if first else []
+    least = -best[-1].bm25 if len(best) == k else None
+    wanted = bounds if least is None else bounds.where(F.col("bound") >= least)
+    some = wanted.agg(F.count(F.lit(1)).alias("regions"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    listed = [r.region for r in wanted.select("region").collect()] if some.regions <= 1000 else None
+    rows = index.of_terms(words)
+    rows = rows.join(wanted.select("region"), "region", "left_semi") if listed is None else rows.where(F.col("region").isin(listed))
+    return Top(scored(rows), some.n, held)
+
+
+# An index that follows writes.
+
+_SEGMENT = T.StructType([
+    T.StructField("op", T.StringType()), T.StructField("version", T.LongType()), T.StructField("folder", T.StringType()),
+    *[T.StructField(n, T.LongType()) for n in ("number", "rows", "total", "gone", "dead_rows", "dead_total", "buckets", "followed")],
+])
+
+
+class Segments:
+    """An index as immutable segments and the keys that later ones replace or delete in those before them.
+
+    Adding documents writes a segment of theirs alone. What a segment's keys take away from older ones is counted when it is
+    written, so rows and length of the whole are sums. Segments of like size are merged from their postings, never from texts.
+    All are named by commits of one table: a reader sees a state before or after a change.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: T.DataType = T.StringType()):  # noqa: B008  types are constants
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self.log = VersionedTable(spark, f"{self.path}/log", _SEGMENT, ["number"])
+        self.postings = T.StructType.fromDDL("term string, region int").add("key", key).add("tf", T.LongType()).add("length", T.LongType()).add("positions", T.ArrayType(T.IntegerType())).add("segment", T.LongType()).add("bucket", T.IntegerType())
+        self.lengths = T.StructType([T.StructField("key", key), T.StructField("length", T.LongType()), T.StructField("segment", T.LongType())])
+        self.marks = T.StructType([T.StructField("key", key), T.StructField("segment", T.LongType())])
+
+    def segments(self) -> list:
+        return self.log.latest().orderBy("number").collect()  # FANOUT for each size, so as the logarithm of the corpus
+
+    def followed(self) -> int:
+        """The commit of the source up to which the index has followed it."""
+        return max((s.followed for s in self.segments()), default=0)
+
+    def _read(self, segments: list, name: str, schema: T.StructType) -> DataFrame:
+        paths = [f"{s.folder}/{name}" for s in segments if name != "gone" or s.gone]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        if name == "postings":  # partitioned folders, each with a root of its own
+            return functools.reduce(DataFrame.union, [self.spark.read.schema(schema).parquet(p) for p in paths])
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _live(self, rows: DataFrame, segments: list) -> DataFrame:
+        """Rows of documents that no later segment replaces or deletes."""
+        if not any(s.gone for s in segments):
+            return rows
+        last = self._read(segments, "gone", self.marks).groupBy("key").agg(F.max("segment").alias("_last"))
+        return rows.join(last, "key", "left").where(F.col("_last").isNull() | (F.col("segment") >= F.col("_last"))).drop("_last")
+
+    def index(self) -> Index:
+        segments = self.segments()
+        rows, total = sum(s.rows - s.dead_rows for s in segments), sum(s.total - s.dead_total for s in segments)
+        buckets = {s.buckets for s in segments}
+        return Index(self._live(self._read(segments, "postings", self.postings), segments), rows, total / max(rows, 1), buckets.pop() if len(buckets) == 1 else 1)
+
+    def add(self, corpus: DataFrame, key: str, text: Column, gone: DataFrame | None = None, followed: int = 0) -> None:
+        """A segment of the corpus (unique keys); ``gone`` (key) are keys of older segments that it replaces or deletes.
+
+        If another writer comes first, this fails (``Conflict``) and has changed nothing.
+        """
+        base, older = self.log.head(), self.segments()
+        number = max((s.number for s in older), default=0) + 1
+        folder, rows = f"{self.path}/segments/{number}-{uuid.uuid4().hex}", corpus.count()
+        buckets = buckets_of(rows)
+        made = gathered(_dealt(tokens(corpus, key, text, _parts(rows)), rows, buckets)).withColumn("segment", F.lit(number).cast("bigint"))
+        _write(made.select(*_COLUMNS), f"{folder}/postings")
+        written = self.spark.read.schema(self.postings).parquet(f"{folder}/postings")
+        total = written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        lengths = written.groupBy("key").agg(F.first("length").alias("length"))
+        corpus.select(F.col(key).alias("key")).join(lengths, "key", "left").select("key", F.coalesce("length", F.lit(0)).cast("bigint").alias("length"), F.lit(number).cast("bigint").alias("segment")).write.parquet(f"{folder}/lengths")
+        marks = dead = None
+        if gone is not None and older:
+            marks = gone.toDF("key").select(F.col("key").cast(self.key).alias("key"), F.lit(number).cast("bigint").alias("segment")).distinct()
+            marks.write.parquet(f"{folder}/gone")
+            marks = self.spark.read.schema(self.marks).parquet(f"{folder}/gone")
+            lost = self._live(self._read(older, "lengths", self.lengths), older).join(marks.select("key"), "key", "left_semi")
+            dead = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        row = {"number": number, "folder": folder, "rows": rows, "total": total, "gone": marks.count() if marks is not None else 0, "dead_rows": dead[0] if dead else 0, "dead_total": dead[1] if dead else 0, "buckets": buckets, "followed": followed}
+        self.log.commit([row], base)
+        self.merge()
+
+    def merge(self) -> None:
+        """Merges the newest segments while FANOUT or more of them are of one size or less."""
+        while True:
+            base, segments = self.log.head(), self.segments()
+            size = lambda s: max(s.rows, 1).bit_length() // FANOUT.bit_length()
+            for level in sorted({size(s) for s in segments}):
+                last = next((i for i, s in enumerate(reversed(segments)) if size(s) > level), len(segments))
+                if last >= FANOUT:
+                    break
+            else:
+                return
+            chosen = segments[len(segments) - last :]
+            self._merge(chosen, base)
+
+    def _merge(self, chosen: list, base: int) -> None:
+        number = chosen[-1].number
+        folder, at = f"{self.path}/segments/{number}-{uuid.uuid4().hex}", F.lit(number).cast("bigint")
+        live = kept(self._live(self._read(chosen, "lengths", self.lengths), chosen), "lengths")
+        rows, total = live.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        buckets = buckets_of(rows)
+        _write(_dealt(self._live(self._read(chosen, "postings", self.postings), chosen).drop("bucket").withColumn("segment", at), rows, buckets).select(*_COLUMNS), f"{folder}/postings")
+        live.withColumn("segment", at).write.parquet(f"{folder}/lengths")
+        marks = self._read(chosen, "gone", self.marks).select("key", at.alias("segment")).distinct()
+        gone = marks.count()
+        if gone:
+            marks.write.parquet(f"{folder}/gone")
+        before, length = sum(s.rows - s.dead_rows for s in chosen), sum(s.total - s.dead_total for s in chosen)
+        row = {"number": number, "folder": folder, "rows": rows, "total": total, "gone": gone, "dead_rows": rows - before, "dead_total": total - length, "buckets": buckets, "followed": max(s.followed for s in chosen)}
+        self.log.commit([*[{"number": s.number, "op": "D"} for s in chosen[:-1]], row], base)
+
+    def reset(self) -> None:
+        """Takes all segments out; files of old ones stay for those who read them still."""
+        old = self.segments()
+        if old:
+            self.log.commit([{"number": s.number, "op": "D"} for s in old], self.log.head())

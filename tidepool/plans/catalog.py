@@ -12,7 +12,7 @@ from ..functions import scores, text
 from ..operators import graph, index, memory, rank
 from ..sources import datasets, store
 from ..sources.datasets import read
-from ..sources.work import kept
+from ..sources.work import kept, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,8 +89,33 @@ def lexical_scores_modes(spark, d):
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS tk FROM documents)
 SELECT doc_id, hits FROM (SELECT doc_id, len(list_filter(range(1, len(tk)), lambda i: tk[i] = 'of' AND tk[i + 1] = 'the')) AS hits FROM t) WHERE hits > 0""")
 def phrase_match(spark, d):
-    hits = index.phrase_hits(text.terms(F.col("text")), ["of", "the"])
-    return read(spark, d, "documents").select("doc_id", hits.alias("hits")).where("hits > 0")
+    """From positions: no text is read."""
+    hits = index.frequencies(indexed(spark, d, "documents", "doc_id", "text"), [["of", "the"]])
+    return hits.where("f0 > 0").select(F.col("key").alias("doc_id"), F.col("f0").alias("hits"))
+
+
+@query(f"WITH {ranked_sql('documents', 'doc_id', 'text', ['of', 'that'])} SELECT key AS doc_id, length, round(-bm25, 6) AS score FROM r ORDER BY score DESC, doc_id LIMIT 25")
+def bm25_best_regions(spark, d):
+    """The best by regions in order of what they can score: those that can't reach the k-th score aren't read."""
+    best = index.top(indexed(spark, d, "documents", "doc_id", "text"), ["of", "that"], 25, 6).rows
+    return best.select(F.col("key").alias("doc_id"), "length", (-F.col("bm25")).alias("score"))
+
+
+@query(f"""WITH now AS (SELECT d.doc_id, CASE WHEN quality = 1 THEN text || ' the and revised' ELSE text END AS text FROM documents d LEFT JOIN labels l USING (doc_id) WHERE coalesce(toxic, 0) = 0),
+{ranked_sql('now', 'doc_id', 'text', ['the', 'and'])} SELECT key AS doc_id, length, round(-bm25, 6) AS score FROM r""")
+def bm25_over_segments(spark, d):
+    """Documents added by language, one segment each; then the toxic ones deleted and those of quality replaced by one more.
+
+    Scores are those of an index of what is there now, from sums over the segments.
+    """
+    docs, labels = read(spark, d, "documents").select("doc_id", "lang", "text"), read(spark, d, "labels")
+    made = index.Segments(spark, new_path(spark, "segments"), docs.schema["doc_id"].dataType)
+    for lang in [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]:  # a few
+        made.add(docs.where(F.col("lang").eqNullSafe(F.lit(lang))), "doc_id", F.col("text"))
+    toxic = labels.where("toxic = 1").select("doc_id")
+    better = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").join(toxic, "doc_id", "left_anti")
+    made.add(better, "doc_id", F.concat("text", F.lit(" the and revised")), toxic.union(better.select("doc_id")))
+    return index.bm25(made.index(), [["the"], ["and"]], "doc_id").select("doc_id", "length", F.round(-F.col("bm25"), 6).alias("score"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+(?:[-''][\\p{L}\\p{N}]+)*')) AS tokens FROM documents")
