@@ -99,3 +99,17 @@ def test_an_add_indexes_what_was_added(spark, tmp_path, monkeypatch):
     for _ in range(2):
         again.tables["chunks"].compact()
     assert [h["title"] for h in Engine(spark, e.root).search(SearchQuery("release", types=("notes",)), ["p"])["results"]] == ["three"]
+
+
+def test_many_queries_equal_single_ones(spark):
+    rows = corpus(200, 7)
+    built = index.build(frame(spark, rows), "id", F.col("body"))
+    asked = {1: ["the"], 2: ["cat", "like"], 3: ["to", "be", "or"], 4: ["absent", "the"], 5: ["elan"]}
+    queries = spark.createDataFrame([(q, w) for q, words in asked.items() for w in words * 2], "query_id int, term string")
+    got = sorted((r.query_id, r.place, r.key, r.length, r.bm25) for r in index.bm25_many(built, queries, 7).collect())
+    want = []
+    for q, words in asked.items():
+        every = sorted((round(r.bm25, 9), r.key, r.length) for r in index.bm25(built, [[w] for w in words]).collect())[:7]
+        want += [(q, i, k, n, s) for i, (s, k, n) in enumerate(every, 1)]
+    assert [(q, i, k, n) for q, i, k, n, _ in got] == [(q, i, k, n) for q, i, k, n, _ in want]
+    assert all(abs(a[4] - b[4]) < 1e-8 for a, b in zip(got, want, strict=True))

@@ -11,7 +11,7 @@ import functools
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,6 +169,26 @@ def _scored(found: DataFrame, index: Index, names: list[str], having: list[int])
     return found.where(every).select("key", F.col("length").cast("bigint").alias("length"), (-score).alias("bm25"))
 
 
+def bm25_many(index: Index, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """(query_id, key, length, bm25, place) for a table of queries (query_id, term): the k best of each, all in one plan.
+
+    A document must hold all terms of a query. Postings meet the queries' terms by folder and term, so the folders of no term
+    aren't read, and how many documents hold a term is counted where its postings are. Scores are rounded to ``digits``, equal
+    ones go by key. Best documents are picked in two steps, so a query with many hits is no single list.
+    """
+    asked = queries.select("query_id", "term").distinct()
+    words = asked.select("term").distinct().select("term", _bucket(index.buckets))
+    held = index.postings.select("bucket", "term", "key", "tf", "length") if index.buckets > 1 else index.postings.select(F.lit(0).alias("bucket"), "term", "key", "tf", "length")
+    held = held.join(words, ["bucket", "term"], "left_semi")
+    weights = held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf(F.lit(float(index.rows)), F.col("df").cast("double")).alias("idf"))
+    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
+    part = bm25_part(F.col("idf"), F.col("tf"), F.col("length"), F.lit(index.mean))
+    found = held.join(asked.join(weights, "term"), "term").groupBy("query_id", "key").agg(F.max("length").alias("length"), F.sum(part).alias("score"), F.count(F.lit(1)).alias("hits"))
+    found = found.join(sizes, "query_id").where(F.col("hits") == F.col("terms")).select("query_id", "key", "length", F.round(-F.col("score"), digits).alias("bm25"))
+    first = lambda rows, *by: rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id", *by).orderBy("bm25", "key"))).where(F.col("place") <= k)
+    return first(first(found.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(16))), "_part").drop("_part", "place"))
+
+
 @dataclass(frozen=True)
 class Top:
     """``rows`` (key, length, bm25) in order; how many postings were read for them, of how many."""

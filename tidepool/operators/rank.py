@@ -35,16 +35,18 @@ def first_seen_best(rows: DataFrame, key: str, score: str, arrival: str) -> Data
     return best_per(placed, [key], [F.desc(score), F.asc(arrival)])
 
 
-def trim_to_budget(page: DataFrame, order: list[Column], cost: Column, budget: int) -> DataFrame:
+def trim_to_budget(page: DataFrame, order: list[Column], cost: Column, budget: int | Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows in order while their running cost fits; the first always stays; no budget, no rows.
 
-    For pages of at most a few hundred rows: the running sum is over one list.
+    With ``by`` there is a page for each of its values, and the budget may be a column. A page is one sorted list of at most
+    a few hundred rows.
     """
-    if budget <= 0:
+    if isinstance(budget, int) and budget <= 0:
         return page.limit(0).withColumns({"place": F.lit(0), "spent": F.lit(0).cast("bigint")})
-    over = Window.orderBy(*order)
+    over = Window.partitionBy(*by).orderBy(*order)
     spent = F.sum(F.greatest(cost, F.lit(1))).over(over.rowsBetween(Window.unboundedPreceding, 0))
-    return page.withColumns({"place": F.row_number().over(over), "spent": spent.cast("bigint")}).where((F.col("spent") <= budget) | (F.col("place") == 1))
+    trimmed = page.withColumns({"place": F.row_number().over(over), "spent": spent.cast("bigint")})
+    return trimmed.where((F.col("spent") <= budget) | ((F.col("place") == 1) & (F.lit(budget) > 0 if isinstance(budget, int) else budget > 0)))
 
 
 def encode_cursor(values: dict) -> str:

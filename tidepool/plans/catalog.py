@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import graph, index, memory, rank
+from ..operators import cells, graph, index, memory, rank
 from ..sources import datasets, store
 from ..sources.datasets import read
 from ..sources.work import kept, new_path
@@ -175,6 +175,13 @@ def vector_queries_topk(spark, d):
     return rank.nearest_by_cosine(e.where("vec_id % 20 = 0"), e, 5)
 
 
+@query(ORACLE_SQL["vector_queries_topk"])
+def vector_cells_topk(spark, d):
+    """The same rows from cells: each query probes its nearest cells, then those that its k-th score doesn't rule out."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return cells.nearest(cells.build(e), e.where("vec_id % 20 = 0"), 5, exact=True)
+
+
 FUSED = f"""WITH {THE_AND}, lex AS (SELECT key AS doc_id, round(abs(bm25) / (1 + abs(bm25)), 6) AS lexical FROM r ORDER BY lexical DESC, doc_id LIMIT 80),
 vec AS (SELECT e.vec_id AS doc_id, round({COSINE}, 6) AS vector FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 0) q ORDER BY vector DESC, doc_id LIMIT 80),
 fused AS (SELECT doc_id, lexical, vector, round(CASE WHEN vector IS NULL THEN coalesce(lexical, 0::DOUBLE) ELSE 0.7::DOUBLE * coalesce(lexical, 0::DOUBLE) + 0.3::DOUBLE * vector END, 6) AS score FROM lex FULL JOIN vec USING (doc_id))"""
