@@ -430,3 +430,32 @@ def batched_search(spark, d):
     page = best.select("query_id", F.col("key").alias("doc_id"), (-F.col("bm25")).alias("score"), "length")
     budget = 1000 + 100 * (F.col("query_id") % 7)
     return rank.trim_to_budget(page, [F.desc("score"), F.asc("doc_id")], F.col("length"), budget, ("query_id",)).select("query_id", "doc_id", "score", "place", "spent")
+
+
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+run AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS p, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS t1, CAST(NULL AS BIGINT) AS n1, CAST(NULL AS BIGINT) AS t2, CAST(NULL AS BIGINT) AS n2 FROM e
+  UNION ALL
+  SELECT key, rn, CASE WHEN hit THEN 0 ELSE p END, CASE WHEN hit THEN NULL ELSE f END, CASE WHEN hit THEN t ELSE l END, t1, n1, CASE WHEN hit THEN t END, CASE WHEN hit THEN p END
+  FROM (SELECT *, p >= 6 AND (l IS NULL OR t - l >= 172800000) AS hit
+    FROM (SELECT key, rn, t, CASE WHEN due <= t THEN 1 ELSE p + 1 END AS p, CASE WHEN due <= t OR f IS NULL THEN t ELSE f END AS f, CASE WHEN due <= t THEN due ELSE l END AS l, CASE WHEN due <= t THEN due END AS t1, CASE WHEN due <= t THEN p END AS n1
+      FROM (SELECT run.key, e.rn, e.t, run.p, run.f, run.l, CASE WHEN p = 0 THEN NULL WHEN p >= 6 AND l IS NOT NULL THEN l + 172800000 ELSE f + 172800000 END AS due FROM run JOIN e ON e.key = run.key AND e.rn = run.rn + 1)))
+), rest AS (
+  SELECT key, p, CASE WHEN p >= 6 AND l IS NOT NULL THEN l + 172800000 ELSE f + 172800000 END AS due FROM run JOIN (SELECT key, max(rn) AS rn FROM e GROUP BY key) USING (key, rn) WHERE p > 0
+), fired AS (
+  SELECT key, t1 AS t, n1 AS n FROM run WHERE t1 IS NOT NULL UNION ALL SELECT key, t2, n2 FROM run WHERE t2 IS NOT NULL
+  UNION ALL SELECT key, due, p FROM rest WHERE due <= (SELECT max(t) - 600000 FROM e)
+)
+SELECT key, t AS fired_ms, n AS pending, CASE WHEN n < 6 THEN 'age' ELSE 'count' END AS reason FROM fired""")
+def trigger_firings(spark, d):
+    """Structured Streaming over the events: each user's job fires after six rows or two days, by keyed state and timers."""
+    from ..streaming import triggers
+
+    source, name = f"{d}/events.parquet", "*"
+    schema = spark.read.parquet(source).schema
+    fs, path = hadoop(spark, source)
+    if fs.getFileStatus(path).isFile():  # streams read folders
+        source, name = d, "events.parquet"
+    out, mark = new_path(spark, "firings"), new_path(spark, "firings-state")
+    triggers.run(spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(source), out, mark, "user_id", "ts", 6, 2 * 24 * 3600)
+    return spark.read.schema(triggers.FIRED).parquet(out).selectExpr("key", "unix_millis(fired_at) AS fired_ms", "pending", "reason")
