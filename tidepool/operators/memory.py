@@ -92,6 +92,12 @@ def first_of_equal_evidence(sets: DataFrame, name: str, evidence: str = "evidenc
     return least.join(firsts, "_key").drop("_key")
 
 
+def reference_id(reference: Column) -> Column:
+    """The id that a reference (a variant) names: itself if it is text, its ``id`` if it is an object; null for anything else."""
+    own, kind = F.try_variant_get(reference, "$.id", "string"), F.schema_of_variant(reference)
+    return F.when(kind.startswith("OBJECT"), own).when(kind == "STRING", F.try_variant_get(reference, "$", "string"))
+
+
 def evidence_counts(facts: DataFrame, known: DataFrame, ref: str = "ref") -> DataFrame:
     """(total, external, broken) over single pieces of evidence: from outside by its prefix, broken if nobody knows it."""
     outside = F.lit(False)

@@ -28,6 +28,14 @@ def best_per(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def merged(candidates: DataFrame, key: list[str], score: str = "score", snippet: str = "snippet") -> DataFrame:
+    """(key, snippet, score): candidates that come several times as one, with the best score and the longest snippet.
+
+    Both are maxima that combine before the shuffle, so a key with any number of candidates is no list.
+    """
+    return candidates.groupBy(*key).agg(F.max_by(snippet, F.length(snippet)).alias(snippet), F.max(score).alias(score))
+
+
 def first_seen_best(rows: DataFrame, key: str, score: str, arrival: str) -> DataFrame:
     """The best row of each key, at the place where the key first came."""
     over = Window.partitionBy(key)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import metadata, providers
 from ..functions import scores, text
 from ..operators import chunking, graph, index, memory, rank
 from ..sources import datasets, store
@@ -17,6 +21,15 @@ from .search import SearchQuery, entity_hits, split_budget, unified_page
 TOKEN = "[\\p{L}\\p{N}]+(?:[-''][\\p{L}\\p{N}]+)*"
 
 
+def accepted(check, *given) -> bool:
+    """Whether a check of the library lets something pass."""
+    try:
+        check(*given)
+    except ValueError:
+        return False
+    return True
+
+
 def tokens_sql(body: str) -> str:
     return f"len(regexp_extract_all({body}, '{TOKEN}'))"
 
@@ -120,9 +133,9 @@ def nullable_updates(spark, d):
 def row_casts(spark, d):
     """Stored text as a map, empty for bad JSON and for what is no object; 0 and 1 as booleans."""
     raw = F.when(F.col("event_id") % 4 == 0, F.lit("{bad")).when(F.col("event_id") % 4 == 1, F.lit("[1]")).otherwise(F.col("props"))
-    found_ = F.when(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.from_json(raw, "map<string,string>"))
-    rows = read(spark, d, "events").withColumns({"m": F.coalesce(found_, F.create_map().cast("map<string,string>")), "flag": (F.col("event_id") % 4 == 3).cast("int")})
-    return rows.select("event_id", F.size("m").alias("keys"), F.col("flag").cast("boolean").alias("pinned"))
+    keys = F.pandas_udf(lambda texts: texts.map(lambda t: len(metadata.parsed(t))).astype("int32"), "int")
+    rows = read(spark, d, "events").withColumn("flag", (F.col("event_id") % 4 == 3).cast("int"))
+    return rows.select("event_id", keys(raw).alias("keys"), F.col("flag").cast("boolean").alias("pinned"))
 
 
 JSONS = ['"x"', "1", "1.5", "true", "[1]", "{}"]
@@ -134,10 +147,7 @@ def metatag_types(spark, d):
     """Values of the six JSON types against each of the six; a boolean is no number, an integer is one."""
     value = F.element_at(F.array(*[F.lit(v) for v in JSONS]), (F.col("event_id") % 6 + 1).cast("int"))
     wanted = F.element_at(F.array(*[F.lit(v) for v in ("string", "integer", "number", "boolean", "array", "object")]), (F.floor(F.col("event_id") / 6) % 6 + 1).cast("int"))
-    kind = F.schema_of_variant(F.try_parse_json(F.concat(F.lit('{"v":'), value, F.lit("}"))))
-    kind = F.regexp_extract(kind, r"v: ([A-Z]+)", 1)
-    own = F.when(kind == "STRING", "string").when(kind == "BIGINT", "integer").when(kind.isin("DOUBLE", "DECIMAL"), "number").when(kind == "BOOLEAN", "boolean").when(kind == "ARRAY", "array").otherwise("object")
-    fits = (own == wanted) | ((own == "integer") & (wanted == "number"))
+    fits = F.pandas_udf(lambda v, w: pd.Series([accepted(metadata.validate, {"v": json.loads(a)}, {"v": b}) for a, b in zip(v, w, strict=True)]), "boolean")(value, wanted)
     return read(spark, d, "events").select("event_id", wanted.alias("wanted"), fits.alias("fits"))
 
 
@@ -181,7 +191,8 @@ def links_newest_first(spark, d):
 @query("""SELECT event_id, CAST(json_extract_string(regexp_extract('noise ' || props || ' end', '(?s)[\\{\\[].*[\\}\\]]'), '$.k') AS BIGINT) AS k FROM events""")
 def json_salvage(spark, d):
     noisy = F.concat(F.lit("noise "), "props", F.lit(" end"))
-    return read(spark, d, "events").select("event_id", F.get_json_object(F.regexp_extract(noisy, r"(?s)[\{\[].*[\}\]]", 0), "$.k").cast("bigint").alias("k"))
+    found_ = F.pandas_udf(lambda texts: texts.map(lambda t: providers.salvaged(t).get("k")).astype("Int64"), "bigint")
+    return read(spark, d, "events").select("event_id", found_(noisy).alias("k"))
 
 
 @query("""SELECT doc_id, '[{"lang":"' || lang || '"},{"n":' || n_chars || '}]' AS json FROM documents""")
@@ -193,8 +204,7 @@ def json_build(spark, d):
 def reference_ids(spark, d):
     """References as a plain string, or as an object with an id."""
     raw = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("user_id").cast("string").alias("v")))).otherwise(F.to_json(F.struct(F.struct((F.col("user_id") + 1).cast("string").alias("id"), F.lit("user").alias("type")).alias("v"))))
-    v = F.try_parse_json(raw)
-    return read(spark, d, "events").select("event_id", F.coalesce(F.try_variant_get(v, "$.v.id", "string"), F.try_variant_get(v, "$.v", "string")).alias("ref"))
+    return read(spark, d, "events").select("event_id", memory.reference_id(F.try_variant_get(F.try_parse_json(raw), "$.v", "variant")).alias("ref"))
 
 
 @query(f"""WITH {FACTS}, a AS (SELECT evidence AS chat, list_distinct(list(turn % 5)) AS old FROM facts GROUP BY evidence) SELECT chat, list_contains(old, 9) AS had, len(old) + 1 AS n FROM a""")
@@ -230,7 +240,7 @@ def validity_window(spark, d):
 @query("""SELECT vec_id, isfinite(x) AND x >= 0 AND x <= 1 AS valid FROM (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN 0.5::DOUBLE ELSE 2::DOUBLE END AS x FROM embeddings)""")
 def finite_scores(spark, d):
     x = F.when(F.col("vec_id") % 4 == 0, float("nan")).when(F.col("vec_id") % 4 == 1, float("inf")).when(F.col("vec_id") % 4 == 2, 0.5).otherwise(2.0)
-    return read(spark, d, "embeddings").select("vec_id", (~F.isnan(x) & (F.abs(x) < float("inf")) & x.between(0, 1)).alias("valid"))
+    return read(spark, d, "embeddings").select("vec_id", (F.pandas_udf(lambda xs: xs.map(lambda v: accepted(providers.rerank_scores, [v], 1)), "boolean")(x) & x.between(0, 1)).alias("valid"))
 
 
 @query("SELECT p_partkey, sha256(p_partkey || ':' || p_name) AS checksum FROM part")
@@ -263,7 +273,7 @@ SELECT doc_id, max(length(snippet)) AS size, max(i * 7 % 13) AS score FROM c GRO
 def merge_candidates(spark, d):
     """Candidates that come twice: the highest score and the longest snippet."""
     c = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "snippet"))
-    merged = c.groupBy("doc_id").agg(F.max_by("snippet", F.length("snippet")).alias("snippet"), F.max((F.col("i") + 1) * 7 % 13).cast("bigint").alias("score"))
+    merged = rank.merged(c.select("doc_id", "snippet", ((F.col("i") + 1) * 7 % 13).cast("bigint").alias("score")), ["doc_id"])
     return merged.select("doc_id", F.length("snippet").cast("bigint").alias("size"), "score")
 
 

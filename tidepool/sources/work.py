@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,9 +28,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{folder(spark)}/tidepool/{label}-{uuid.uuid4().hex}"
 
 
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_all() -> None:
+    """Deletes what was kept at the driver's end, if its session still runs: until then results may read it."""
+    for spark, path in _KEPT:
+        if SparkContext._active_spark_context is spark.sparkContext and spark.sparkContext._jsc is not None:
+            fs, at = hadoop(spark, path)
+            fs.delete(at, True)
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
     """The table, computed now and read from files from here on: later failures cost a re-read, and plans stay short."""
     path = new_path(df.sparkSession, label)
+    _KEPT.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
