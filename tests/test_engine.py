@@ -216,6 +216,18 @@ def test_cycles_and_long_chains(spark):
     assert graph.would_close(chain, 300, 0) is True and graph.would_close(chain, 301, 0) is False and graph.cycles(chain).count() == 0
 
 
+def test_summary_pages(spark):
+    """Pages hold what the summaries hold, in their order; a hub's are spread, and none is longer than a page."""
+    edges = spark.createDataFrame([(1, i, "r") for i in range(2, 300)] + [(i, 1, "s") for i in range(2, 90)] + [(5, 5, "r"), (5, 5, "r"), (7, None, "r")], "source_id int, target_id int, relation string")
+    whole = {r.id: [tuple(x) for x in r.links] for r in graph.summaries(edges).collect() if r.id is not None}  # pages are of nodes that there are
+    pages = graph.summary_pages(edges, 50).collect()
+    got = {}
+    for r in sorted(pages, key=lambda r: (r.id, r.page)):
+        assert len(r.links) <= 50 and r.total == len(whole[r.id])
+        got.setdefault(r.id, []).extend(tuple(x) for x in r.links)
+    assert got == whole and graph.summary_pages(edges.limit(0)).collect() == []
+
+
 def test_memory(spark):
     facts = spark.createDataFrame([(1, "global", "t", 1, 1, "Use pytest ", 0.5, "candidate"), (2, "global", "t", 1, 2, "use pytest", 1.9, "active"), (3, "global", "t", 1, 3, "use nose", 0.1, "active"), (4, "project", "t", 2, 4, "use nose", 0.1, "conflicted")], "id long, scope string, fact_type string, project long, evidence long, content string, confidence double, status string")
     merged = {(r.content, r.project): r for r in memory.merge(facts).collect()}

@@ -409,6 +409,18 @@ def link_summary(spark, d):
     return graph.summaries(edges).select("id", F.array_join(shown, ",").alias("links"))
 
 
+@query(f"""WITH {LINKS}, a AS (SELECT 's' || source_id AS id, 0 AS side, kind, target_id AS other FROM links UNION SELECT left(kind, 1) || target_id, 1, kind, source_id FROM links),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY side, kind, lpad(CAST(other AS VARCHAR), 9, '0')) - 1 AS place, count(*) OVER (PARTITION BY id) AS total FROM a)
+SELECT id, place // 20 AS page, total, string_agg(CASE side WHEN 0 THEN 'out' ELSE 'in' END || ':' || kind || ':' || other, ',' ORDER BY place) AS links FROM n GROUP BY id, page, total""")
+def link_summary_pages(spark, d):
+    """All links of orders, parts and suppliers by node, in pages of 20: suppliers are hubs."""
+    name = lambda letter, column: F.concat(letter, F.lpad(F.col(column).cast("string"), 9, "0"))  # noqa: E731  ordered as numbers are
+    edges = datasets.links(spark, d).select(name(F.lit("s"), "source_id").alias("source_id"), name(F.left("kind", F.lit(1)), "target_id").alias("target_id"), F.col("kind").alias("relation"))
+    number = lambda text_: F.substring(text_, 2, 9).cast("bigint").cast("string")
+    shown = F.transform("links", lambda x: F.concat_ws(":", x["direction"], x["relation"], number(x["other"])))
+    return graph.summary_pages(edges, 20).select(F.concat(F.left("id", F.lit(1)), number("id")).alias("id"), "page", "total", F.array_join(shown, ",").alias("links"))
+
+
 @query(f"WITH {LINKS} SELECT DISTINCT source_id, target_id FROM links WHERE kind = 'uses_part' AND source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND target_id IN (SELECT p_partkey FROM part)")
 def link_endpoint_validation(spark, d):
     sources = read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("source_id"))
