@@ -22,7 +22,7 @@ from .common import SLICE_ROWS, Written
 #: Words of a phrase, at most.
 LONGEST = 5
 #: Words that a task encodes before it gives its counts; different words that it holds meanwhile.
-BUFFER_WORDS, BUFFER_VOCABULARY = 2_000_000, 500_000
+BUFFER_WORDS, BUFFER_VOCABULARY = 1_000_000, 250_000
 #: Bits of the filter of frequent pairs: at least, at most, and for each pair.
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 30, 16
 #: A prefix with more windows than this, and than all windows divided by the second, is dealt by one word more.
