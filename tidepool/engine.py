@@ -15,7 +15,7 @@ from . import metadata, migrations
 from .functions.ids import uuid7
 from .functions.scores import cosine, relevance
 from .functions.text import count_tokens, cut_to_tokens, normalized, query_phrases, redact
-from .operators import chunking, graph, index, memory, rank
+from .operators import calls, chunking, graph, index, memory, rank
 from .plans.search import KINDS, MOST, TYPES, SearchQuery, entity_hits, split_budget, unified_page
 from .providers import Egress, EmbeddingProvider, ExtractionProvider, RerankProvider, embed_all, rerank_scores
 from .sources import files, store
@@ -84,13 +84,13 @@ def now_iso() -> str:
 class Engine:
     """Every change appends a version; reads take the latest. A change that rests on what was read fails if another came first."""
 
-    def __init__(self, spark: SparkSession, root: str, *, embedder: EmbeddingProvider | None = None, embedding_model: str = "", reranker: RerankProvider | None = None, extractor: ExtractionProvider | None = None, extraction_model: str = "", egress: Egress | None = None, schemas: dict[str, dict] | None = None, chunk_size: int = 400, chunk_overlap: int = 50, ignore: tuple[str, ...] = (), max_facts: int = 20, batch: int = 10, interval_seconds: int = 60):
+    def __init__(self, spark: SparkSession, root: str, *, embedder: EmbeddingProvider | None = None, embedding_model: str = "", reranker: RerankProvider | None = None, extractor: ExtractionProvider | None = None, extraction_model: str = "", egress: Egress | None = None, schemas: dict[str, dict] | None = None, chunk_size: int = 400, chunk_overlap: int = 50, ignore: tuple[str, ...] = (), max_facts: int = 20, batch: int = 10, interval_seconds: int = 60, drain_on_write: bool = False):
         self.spark, self.root = spark, root.rstrip("/")
         self.tables = {n: VersionedTable(spark, f"{self.root}/{n}", s, KEYS[n]) for n, s in SCHEMAS.items()}
         self.embedder, self.embedding_model, self.reranker = embedder, embedding_model, reranker
         self.extractor, self.extraction_model, self.egress = extractor, extraction_model, egress or Egress()
         self.schemas, self.chunk_size, self.chunk_overlap, self.ignore = schemas or {}, chunk_size, chunk_overlap, list(ignore)
-        self.max_facts, self.batch, self.interval_seconds = max_facts, batch, interval_seconds
+        self.max_facts, self.batch, self.interval_seconds, self.drain_on_write = max_facts, batch, interval_seconds, drain_on_write
         self._indexes: dict[str, tuple[int, index.Index]] = {}
         self._segments = {n: index.Segments(spark, f"{self.root}/indexes/{n}") for n in ("entries", "files", "facts", "scenarios")}
 
@@ -188,6 +188,9 @@ class Engine:
         """Chunks and queue rows of documents just written; both can be rebuilt from the documents."""
         frame = self.spark.createDataFrame([(r["id"], r["project"], r["kind"], r.get("title"), r.get("body")) for r in rows], "id string, project string, kind string, title string, body string")
         self._write_chunks(frame)
+        if self.drain_on_write:
+            for project in sorted({r["project"] for r in rows}):
+                self.drain(project, 1, 0.1)
 
     def _write_chunks(self, documents: DataFrame, batches: dict[str, int] | None = None) -> None:
         """(id, project, kind, title, body) as chunks: notes and history their stripped body, tasks title and body."""
@@ -376,8 +379,7 @@ class Engine:
     def reindex_files(self, root: str, project: str) -> dict[str, int]:
         """Everything anew, embeddings too."""
         got = self.index_files(root, project, force=True)
-        while self.embedder is not None and self.drain(project, 1000):
-            pass
+        self.drain(project, None)
         return got
 
     def file_roots(self, project: str) -> list[str]:
@@ -398,23 +400,61 @@ class Engine:
         rows = self.latest("queue").where((F.col("project") == project) & F.col("state").isin("pending", "stale"))
         return [r.document_id for r in rows.orderBy(F.coalesce("stale_since", "indexed_at"), "document_id").limit(limit).collect()]
 
-    def drain(self, project: str, limit: int = 8) -> int:
-        """Embeds waiting documents. Those that fail are marked and wait until they are written again."""
+    def drain(self, project: str, limit: int | None = 8, seconds: float | None = None) -> int:
+        """Embeds waiting documents, by calls from executors (``calls.embed``); gives how many are done.
+
+        Those that fail are marked and wait until they are written again; what ``seconds`` (of a task) leave out stays
+        pending. Vectors are committed before the states, each in one commit: a run that stops between asks again. A document
+        written again meanwhile stays pending. ``limit`` None takes all.
+        """
         if self.embedder is None or not self.egress.permits([project]):
             return 0
-        waiting = self.pending(project, limit)
-        texts = self.latest("chunks").where((F.col("project") == project) & F.col("document_id").isin(waiting)).orderBy("document_id", "chunk_index").collect() if waiting else []
-        for key in waiting:
-            own = [r for r in texts if r.document_id == key]
-            row = {"document_id": key, "project": project, "kind": own[0].kind if own else None, "indexed_at": now_iso()}
+        queue = self.latest("queue").where((F.col("project") == project) & F.col("state").isin("pending", "stale"))
+        queue = queue.select("project", "document_id", "kind", F.coalesce("stale_since", "indexed_at").alias("since"), F.col("version").alias("seen"))
+        waiting = store_kept(queue if limit is None else queue.orderBy("since", "document_id").limit(limit))
+        if waiting.isEmpty():
+            return 0
+        texts = self.latest("chunks").where(F.col("project") == project).select("project", "document_id", "chunk_index", "chunk_id", "chunk_text")
+        texts = texts.join(waiting.select("project", "document_id", "since"), ["project", "document_id"])
+        audit = {"model": self.embedding_model, "projects": [project]}
+        self.record("provider", project, "embeddings", audit | {"outcome": "attempt"})
+        asked = store_kept(calls.embed(texts, self.embedder, self.embedding_model, ["project", "since", "document_id", "chunk_index"], seconds))
+        for r in asked.where("outcome <> 'left'").groupBy("outcome", "error").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("call").alias("calls")).collect():
+            self.record("provider", project, "embeddings", audit | {"outcome": "completed" if r.outcome == "embedded" else "error", "error": r.error, "items": r["items"], "calls": r.calls})
+        ended = waiting.join(calls.states(asked), ["project", "document_id"], "left").withColumn("state", F.coalesce("state", F.lit("ready"))).where("state <> 'pending'")
+        ended = store_kept(ended.select("project", "document_id", "kind", "state", "error", "seen", F.lit(now_iso()).alias("indexed_at")))
+        vectors = asked.join(self._unchanged(ended.where("state = 'ready'")), ["project", "document_id"], "left_semi")
+        if not vectors.isEmpty():
+            self.commit("embeddings", vectors.select("chunk_id", "document_id", "project", "vector", F.lit(self.embedding_model).alias("model")))
+        self._guarded("queue", lambda: self._unchanged(ended))
+        return ended.count()
+
+    def _unchanged(self, ended: DataFrame) -> DataFrame:
+        """Queue rows that nobody has written since they were ``seen``."""
+        now = self.latest("queue").select("project", "document_id", F.col("version").alias("seen"))
+        return ended.join(now, ["project", "document_id", "seen"], "left_semi").drop("seen")
+
+    def _guarded(self, table: str, rows: Callable[[], DataFrame]) -> int:
+        """Commits rows that rest on the table's state, made anew whenever another writer came first; gives how many."""
+        for _ in range(10):
+            base, made = self.head(table), store_kept(rows())
+            if made.isEmpty():
+                return 0
             try:
-                vectors = embed_all(self.embedder, [r.chunk_text for r in own], self.embedding_model)
-            except Exception as error:  # whatever a provider raises
-                self.commit("queue", [row | {"state": "error", "error": type(error).__name__}])
-                continue
-            self.commit("embeddings", [{"chunk_id": r.chunk_id, "document_id": key, "project": project, "model": self.embedding_model, "vector": [float(x) for x in v]} for r, v in zip(own, vectors, strict=True)])
-            self.commit("queue", [row | {"state": "ready"}])
-        return len(waiting)
+                self.commit(table, made, base)
+                return made.count()
+            except EngineError as error:
+                if error.code != "conflict":
+                    raise
+        raise EngineError("conflict", f"{table} keeps changing")
+
+    def mark_stale(self, project: str) -> int:
+        """Documents that are ready but hold a chunk without a vector of the engine's model wait again, as stale; how many."""
+        held = self.latest("embeddings").where((F.col("project") == project) & (F.col("model") == self.embedding_model)).select("chunk_id")
+        lacking = self.latest("chunks").where((F.col("project") == project) & (F.col("kind") != "task")).join(held, "chunk_id", "left_anti").select("document_id").distinct()
+        at = now_iso()
+        ready = lambda: self.latest("queue").where((F.col("project") == project) & (F.col("state") == "ready")).join(lacking, "document_id", "left_semi")
+        return self._guarded("queue", lambda: ready().withColumns({"state": F.lit("stale"), "stale_since": F.lit(at)}).drop("version", "op"))
 
     # Search.
 

@@ -115,3 +115,84 @@ def would_close(edges: DataFrame, source, target) -> bool:
         reached = kept(reached.union(further).distinct(), "reached")
         jump = kept(_doubled(jump), "jumps")
     return False
+
+
+#: Steps that marks are carried along links between two writes.
+HOPS = 4
+
+
+def _spread(edges: DataFrame, start: DataFrame, least: bool) -> DataFrame:
+    """(id, mark): the marks of ``start`` (id, mark) carried along edges (s, t) until none changes.
+
+    With ``least`` every node has a mark and takes the least that reaches it; else marks go only to nodes of the same one:
+    ``edges`` hold the mark that both ends have. Only nodes whose mark has changed send it on, ``HOPS`` steps at once.
+    """
+    marks, front = start, start
+    while True:
+        offers, at = None, front
+        for _ in range(HOPS):
+            sent = at.join(edges if least else edges.withColumnRenamed("mark", "_both"), F.col("id") == F.col("s"))
+            sent = sent if least else sent.where("mark = _both")
+            at = sent.groupBy(F.col("t").alias("id")).agg(F.min("mark").alias("mark"))
+            offers = at if offers is None else offers.unionByName(at)
+        offers = offers.groupBy("id").agg(F.min("mark").alias("_offer"))
+        both = marks.join(offers, "id", "left" if least else "full")
+        better = F.coalesce(F.col("_offer") < F.col("mark"), F.lit(False)) if least else F.col("mark").isNull()
+        both = kept(both.select("id", F.when(better, F.col("_offer")).otherwise(F.col("mark")).alias("mark"), better.alias("_fresh")), "marks")
+        marks, front = both.drop("_fresh"), both.where("_fresh").drop("_fresh")
+        if front.isEmpty():
+            return marks
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those from a node that none reaches or to a node that reaches none, again until there are no such."""
+    size = -1
+    while (now := edges.count()) != size:
+        size = now
+        into, out = edges.select(F.col("t").alias("s")).distinct(), edges.select(F.col("s").alias("t")).distinct()
+        edges = kept(edges.join(into, "s", "left_semi").join(out, "t", "left_semi").select("s", "t"), "trimmed")
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component, size): nodes of links (s, t) that reach each other have one component, its least node; any number of
+    links out. Nodes alone are components of their own; links with a null end count for nothing.
+
+    Nodes that no way leads into or out of are trimmed. Of the rest each takes the first node, in the order of a hash, that
+    reaches it; what in turn reaches that node, among those that took it, is its component, and goes; links between nodes
+    that took different ones lie in none. The order of a hash cuts a chain of components anywhere, so rounds grow with the
+    logarithm of its length rather than with it. A step is a join of the nodes just changed with their links, and steps grow
+    with the longest of the shortest ways inside what isn't trimmed.
+    """
+    whole = kept(edges.where("s IS NOT NULL AND t IS NOT NULL").select("s", "t").distinct(), "edges")
+    nodes = kept(whole.select(F.col("s").alias("id")).union(whole.select("t")).distinct(), "nodes")
+    found, rest = None, whole.where("s <> t")
+    while True:
+        rest = _trimmed(rest)
+        if rest.isEmpty():
+            break
+        own = F.struct(F.xxhash64("id").alias("hash"), F.col("id").alias("node"))
+        marks = _spread(rest, rest.select(F.col("s").alias("id")).distinct().withColumn("mark", own), True)
+        left, right = marks.select(F.col("id").alias("s"), "mark"), marks.select(F.col("id").alias("t"), F.col("mark").alias("_other"))
+        inner = kept(rest.join(left, "s").join(right, "t").where("mark = _other").select("s", "t", "mark"), "inner")
+        back = inner.select(F.col("t").alias("s"), F.col("s").alias("t"), "mark")
+        ended = _spread(back, marks.where("id = mark.node"), False)
+        found = ended if found is None else found.unionByName(ended)
+        gone = ended.select(F.col("id").alias("s"))
+        rest = inner.select("s", "t").join(gone, "s", "left_anti").join(gone.withColumnRenamed("s", "t"), "t", "left_anti").select("s", "t")
+    named = nodes.withColumn("_root", F.col("id")) if found is None else nodes.join(found, "id", "left").select("id", F.coalesce("mark.node", "id").alias("_root"))
+    sizes = named.groupBy("_root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    return named.join(sizes, "_root").select("id", "component", "size")
+
+
+def closing(edges: DataFrame, proposed: DataFrame) -> DataFrame:
+    """``proposed`` links (s, t), with ``closes``: whether a link lies on a cycle if all were added to ``edges`` at once.
+
+    All are answered together: a link lies on a cycle just if its ends are in one strong component, or are one node. A null
+    end closes nothing.
+    """
+    asked = kept(proposed, "proposed")
+    parts = strong_components(edges.select("s", "t").unionByName(asked.select("s", "t"))).where("size > 1")
+    source, target = parts.select(F.col("id").alias("s"), F.col("component").alias("_a")), parts.select(F.col("id").alias("t"), F.col("component").alias("_b"))
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)) | F.coalesce(F.col("s") == F.col("t"), F.lit(False))
+    return asked.join(source, "s", "left").join(target, "t", "left").select(*asked.columns, same.alias("closes"))

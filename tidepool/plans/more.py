@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import metadata, providers
 from ..functions import scores, text
-from ..operators import chunking, graph, index, memory, rank
+from ..operators import calls, chunking, graph, index, memory, rank
 from ..sources import datasets, store
 from ..sources.datasets import read
 from ..sources.work import hadoop, kept, new_path
@@ -469,3 +469,49 @@ def trigger_firings(spark, d):
     out, mark = new_path(spark, "firings"), new_path(spark, "firings-state")
     triggers.run(spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(source), out, mark, "user_id", "ts", 6, 2 * 24 * 3600)
     return spark.read.schema(triggers.FIRED).parquet(out).selectExpr("key", "unix_millis(fired_at) AS fired_ms", "pending", "reason")
+
+
+#: Each customer passes work on within its block of 12 and of 30, and some to the next block of 60, never further than four blocks.
+CUSTOMER_LINKS = """e AS (SELECT DISTINCT s, t FROM (
+  SELECT c_custkey AS s, c_custkey - c_custkey % 12 + (c_custkey % 12 * 5 + 1) % 12 AS t FROM customer
+  UNION ALL SELECT c_custkey, c_custkey - c_custkey % 30 + (c_custkey % 30 * 7) % 30 FROM customer WHERE c_mktsegment <> 'BUILDING'
+  UNION ALL SELECT c_custkey, c_custkey + 60 FROM customer WHERE c_custkey % 60 = 7 AND c_custkey // 60 % 4 <> 3))"""
+
+
+def customer_links(spark, d):
+    rows, key = read(spark, d, "customer"), F.col("c_custkey")
+    near = rows.select(key.alias("s"), (key - key % 12 + (key % 12 * 5 + 1) % 12).alias("t"))
+    far = rows.where("c_mktsegment <> 'BUILDING'").select(key.alias("s"), (key - key % 30 + (key % 30 * 7) % 30).alias("t"))
+    on = rows.where("c_custkey % 60 = 7 AND c_custkey div 60 % 4 <> 3").select(key.alias("s"), (key + 60).alias("t"))
+    return near.unionByName(far).unionByName(on)
+
+
+@query(f"""WITH RECURSIVE {CUSTOMER_LINKS}, n AS (SELECT s AS id FROM e UNION SELECT t FROM e),
+w AS (SELECT s AS a, t AS b FROM e UNION SELECT a, t FROM w JOIN e ON s = b),
+c AS (SELECT id, least(id, coalesce(min(x.b), id)) AS component FROM n LEFT JOIN (SELECT w.a, w.b FROM w JOIN w v ON v.a = w.b AND v.b = w.a) x ON x.a = id GROUP BY id)
+SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM c""")
+def strong_relation_components(spark, d):
+    """Customers that pass work on to each other in the end, where each may have several links out."""
+    return graph.strong_components(customer_links(spark, d))
+
+
+@query(f"""WITH RECURSIVE {CUSTOMER_LINKS}, p AS (SELECT c_custkey AS s, c_custkey + 12 AS t FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT c_custkey, c_custkey - 60 FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_custkey % 60 < 30),
+g AS (SELECT * FROM e UNION SELECT * FROM p), w AS (SELECT DISTINCT s AS o, t AS b FROM g UNION SELECT o, g.t FROM w JOIN g ON g.s = b)
+SELECT s, t, s = t OR EXISTS (SELECT 1 FROM w WHERE o = p.s AND b = p.s) AS closes FROM p""")
+def proposed_links_closing(spark, d):
+    """Which of many proposed links would lie on a cycle, were all of them added."""
+    rows, key = read(spark, d, "customer"), F.col("c_custkey")
+    proposed = rows.where("c_mktsegment = 'MACHINERY'").select(key.alias("s"), (key + 12).alias("t"))
+    proposed = proposed.unionByName(rows.where("c_mktsegment = 'FURNITURE' AND c_custkey % 60 < 30").select(key.alias("s"), (key - 60).alias("t")))
+    return graph.closing(customer_links(spark, d), proposed)
+
+
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id // 500 AS part, doc_id, length(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY doc_id) AS n FROM documents),
+run AS (SELECT source, part, doc_id, n, 0 AS batch, 1 AS held, size AS room FROM r WHERE n = 1
+  UNION ALL SELECT r.source, r.part, r.doc_id, r.n, batch + CASE WHEN held = 16 OR room + size > 20000 THEN 1 ELSE 0 END, CASE WHEN held = 16 OR room + size > 20000 THEN 1 ELSE held + 1 END, CASE WHEN held = 16 OR room + size > 20000 THEN size ELSE room + size END
+  FROM run JOIN r ON r.source IS NOT DISTINCT FROM run.source AND r.part = run.part AND r.n = run.n + 1)
+SELECT source, part, doc_id, CAST(batch AS BIGINT) AS batch FROM run""")
+def provider_requests(spark, d):
+    """Documents packed into a provider's requests by both limits, 16 texts and 20,000 characters, in parts of a source."""
+    rows = read(spark, d, "documents").select("source", F.expr("doc_id div 500").alias("part"), "doc_id", "text")
+    return calls.numbered(rows, ["source", "part"], ["doc_id"], F.length("text"), 16, 20_000)

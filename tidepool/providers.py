@@ -26,28 +26,54 @@ class ExtractionProvider(Protocol):
     def summarize_scenario(self, contents: list[str], evidence: list[str], model: str) -> dict: ...
 
 
+class Overlong(ValueError):
+    """A text has more characters than a request may hold."""
+
+
+class Room:
+    """What a request holds so far, and whether one more text begins the next one."""
+
+    def __init__(self, items: int = BATCH_ITEMS, characters: int = BATCH_CHARACTERS):
+        self.items, self.characters, self.count, self.size = items, characters, 0, 0
+
+    def full(self, size: int) -> bool:
+        """Takes a text of so many characters; true if it is the first of another request."""
+        over = self.count > 0 and (self.count == self.items or self.size + size > self.characters)
+        self.count, self.size = (1, size) if over else (self.count + 1, self.size + size)
+        return over
+
+
 def batches(texts: Sequence[str], items: int = BATCH_ITEMS, characters: int = BATCH_CHARACTERS) -> Iterator[list[str]]:
     """The texts in order, in lists of at most so many, and so many characters unless one text alone has more."""
     held: list[str] = []
-    size = 0
+    room = Room(items, characters)
     for text in texts:
-        if held and (len(held) == items or size + len(text) > characters):
+        if room.full(len(text)):
             yield held
-            held, size = [], 0
+            held = []
         held.append(text)
-        size += len(text)
     if held:
         yield held
 
 
-def embed_all(provider: EmbeddingProvider, texts: list[str], model: str) -> list[list[float]]:
-    """Embeddings of all texts, one for each, all of one length and finite; anything else is an error."""
-    out = [v for part in batches(texts) for v in provider.embed(part, model)]
+def embedded(provider: EmbeddingProvider, texts: list[str], model: str) -> list[list[float]]:
+    """Embeddings of one request's texts, one for each, all of one length and finite; anything else is an error."""
+    out = provider.embed(texts, model)
     if len(out) != len(texts) or len({len(v) for v in out}) > 1 or not all(math.isfinite(x) for v in out for x in v):
         raise ValueError("the provider gave embeddings of the wrong number, length or value")
     return out
 
 
+def embed_all(provider: EmbeddingProvider, texts: list[str], model: str) -> list[list[float]]:
+    """Embeddings of all texts in as many requests as they fill; texts above the limit are refused before any is asked."""
+    if any(len(t) > BATCH_CHARACTERS for t in texts):
+        raise Overlong("a text exceeds the characters of a request")
+    out = [v for part in batches(texts) for v in embedded(provider, part, model)]
+    if len({len(v) for v in out}) > 1:
+        raise ValueError("the provider gave embeddings of several lengths")
+    return out
+
+
 def salvaged(text: str) -> object:
     """JSON in noisy text: the text itself, else from its first bracket to the last."""
     try:
