@@ -57,6 +57,8 @@ KEYS = {
     "links": ["project", "source_id", "target_id", "kind"], "facts": ["project", "id"], "scenarios": ["project", "id"], "checkpoints": ["project", "chat"],
     "triggers": ["project"], "events": ["id"], "settings": ["scope", "name"], "migrations": ["number"],
 }
+#: Columns that single rows are looked up by.
+LOOKUPS = {"documents": ("id", "external_key", "path"), "chunks": ("document_id",), "facts": ("id",)}
 #: What callers may set on a document of each kind.
 FIELDS = {
     "note": {"title", "body", "source", "source_ref", "pinned", "metatags"},
@@ -86,7 +88,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, *, embedder: EmbeddingProvider | None = None, embedding_model: str = "", reranker: RerankProvider | None = None, extractor: ExtractionProvider | None = None, extraction_model: str = "", egress: Egress | None = None, schemas: dict[str, dict] | None = None, chunk_size: int = 400, chunk_overlap: int = 50, ignore: tuple[str, ...] = (), max_facts: int = 20, batch: int = 10, interval_seconds: int = 60, drain_on_write: bool = False):
         self.spark, self.root = spark, root.rstrip("/")
-        self.tables = {n: VersionedTable(spark, f"{self.root}/{n}", s, KEYS[n]) for n, s in SCHEMAS.items()}
+        self.tables = {n: VersionedTable(spark, f"{self.root}/{n}", s, KEYS[n], LOOKUPS.get(n, ())) for n, s in SCHEMAS.items()}
         self.embedder, self.embedding_model, self.reranker = embedder, embedding_model, reranker
         self.extractor, self.extraction_model, self.egress = extractor, extraction_model, egress or Egress()
         self.schemas, self.chunk_size, self.chunk_overlap, self.ignore = schemas or {}, chunk_size, chunk_overlap, list(ignore)
@@ -212,7 +214,7 @@ class Engine:
             self.commit("queue", queued, batches=batches)
 
     def get(self, key: str, project: str) -> dict:
-        rows = self.documents(project=project).where(F.col("id") == key).limit(1).collect()
+        rows = self.tables["documents"].point("id", key, project=project).limit(1).collect()
         if not rows:
             raise EngineError("not_found", f"no document {key} in {project}")
         row = rows[0].asDict(recursive=True)
@@ -223,11 +225,11 @@ class Engine:
         return row | {"metatags": json.dumps(row["metatags"], sort_keys=True) if row["metatags"] else None}
 
     def get_by_external_key(self, external_key: str, project: str) -> dict | None:
-        rows = self.documents("task", project).where(F.col("external_key") == external_key).limit(1).collect()
+        rows = self.tables["documents"].point("external_key", external_key, project=project, kind="task").limit(1).collect()
         return rows[0].asDict(recursive=True) if rows else None
 
     def get_file(self, path: str, project: str) -> dict:
-        rows = self.documents("file", project).where(F.col("path") == path).limit(1).collect()
+        rows = self.tables["documents"].point("path", path, project=project, kind="file").limit(1).collect()
         if not rows:
             raise EngineError("not_found", f"no file {path} in {project}")
         return rows[0].asDict(recursive=True)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .work import hadoop
+from .work import hadoop, kept
 
 # The life of a task, from each state to the next ones.
 TRANSITIONS = {
@@ -42,8 +42,13 @@ class VersionedTable:
     #: Milliseconds after which a record without content counts as given up by its writer.
     PATIENCE = 60_000
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: list[str]):
-        self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
+    #: Rows of a snapshot's file, about: what a lookup of one key reads at most, but for what was committed since.
+    FILE_ROWS = 1_000_000
+    #: Distinct values that a list of them may have to be passed to the scan (Spark's own threshold).
+    LISTED = 10
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: list[str], lookups: tuple[str, ...] = ()):
+        self.spark, self.path, self.schema, self.key, self.lookups = spark, path.rstrip("/"), schema, key, lookups
 
     def _read(self, name: str) -> str:
         fs, path = hadoop(self.spark, f"{self.path}/_log/{name}")
@@ -84,6 +89,38 @@ class VersionedTable:
     def latest(self) -> DataFrame:
         return latest(self.log(), self.key)
 
+    def point(self, column: str, value: str, **others: str) -> DataFrame:
+        """Latest rows that hold a value in a lookup column, and the others' values: few of a snapshot's rows are read.
+
+        Snapshots are files by a hash of the key, each sorted by it, with bloom filters of the lookup columns, so a file that
+        can't hold the value is passed over. By a column of the key, which never changes, that is one filter. Else versions
+        that hold the value give the keys to look up, as a later version may hold another one.
+        """
+        log = self.log()
+        if column in self.key:
+            return self._of(latest(log.where(F.col(column) == value), self.key), others)
+        had = log.where(F.col(column) == value)
+        for c, v in others.items():
+            had = had.where(F.col(c) == v) if c in self.key else had
+        by = next((c for c in self.lookups if c in self.key), None)
+        if by is not None:
+            few = [r[0] for r in had.select(by).distinct().limit(self.LISTED + 1).collect()]
+            near = log.where(F.col(by).isin(few)) if len(few) <= self.LISTED else log.join(had.select(by).distinct(), by, "left_semi")
+        else:
+            near = log.join(had.select(*self.key).distinct(), self.key, "left_semi")
+        return self._of(latest(near, self.key).where(F.col(column) == value), others)
+
+    @staticmethod
+    def _of(rows: DataFrame, others: dict[str, str]) -> DataFrame:
+        for c, v in others.items():
+            rows = rows.where(F.col(c) == v)
+        return rows
+
+    def _clustered(self, rows: DataFrame) -> DataFrame:
+        """By a hash of the key's lookup column into files of about ``FILE_ROWS`` rows, each sorted by it."""
+        by = [c for c in self.lookups if c in self.key] or self.key
+        return rows.repartition(max(1, -(-rows.count() // self.FILE_ROWS)), *by).sortWithinPartitions(*by)
+
     def batches(self) -> dict[str, int]:
         """The last batch that each writer of numbered batches has committed."""
         out: dict[str, int] = {}
@@ -127,7 +164,8 @@ class VersionedTable:
                 extra = {} if snapshot else {"version": F.lit(n * 1_000_000).cast("bigint")} | ({"op": F.lit(op)} if op else {})
                 frame = rows.withColumns(extra)
                 frame = frame.select(*[(F.col(c) if c in frame.columns else F.lit(None)).cast(self.schema[c].dataType).alias(c) for c in names])
-            frame.write.parquet(f"{self.path}/{folder}")
+            blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in self.lookups} | {f"parquet.bloom.filter.expected.ndv#{c}": str(self.FILE_ROWS) for c in self.lookups}
+            frame.write.options(**(blooms if snapshot else {})).parquet(f"{self.path}/{folder}")
             if self._record(n, folder, snapshot, batches or {}):
                 return n
             fs, path = hadoop(self.spark, f"{self.path}/{folder}")
@@ -161,6 +199,8 @@ class VersionedTable:
         base = self.head()
         rows = last_versions(self.log(base), self.key)
         rows = rows.where((F.col("op") != "D") | (keep if keep is not None else F.lit(False)))
+        if base and self.lookups:
+            rows = self._clustered(kept(rows, "snapshot"))  # counted, then written
         return self.commit(rows, base, snapshot=True, batches=self.batches()) if base else 0
 
     def vacuum(self) -> int:
