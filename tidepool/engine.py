@@ -303,6 +303,31 @@ class Engine:
             if graph.would_close(tasks.select(F.col("id").alias("s"), F.col(column).alias("t")), row["id"], other):
                 raise EngineError("conflict", f"{column} would close a cycle")
 
+    def relate_tasks(self, project: str, column: str, wanted: DataFrame) -> DataFrame:
+        """Sets ``parent_id`` or ``blocked_by_id`` of many tasks at once, as (id, other); gives those refused, with a reason.
+
+        Refused are: several others for one task (ambiguous), the task itself (self), ends that are no live task of the
+        project (no_source, no_target), and links that would lie on a cycle if all the rest were set (cycle). What remains
+        closes none, and is one commit.
+        """
+        if column not in ("parent_id", "blocked_by_id"):
+            raise EngineError("invalid", "tasks are related by parent_id or blocked_by_id")
+        base, tasks = self.head("documents"), store_kept(self.documents("task", project))
+        asked = wanted.select("id", "other").distinct()
+        several = asked.groupBy("id").agg(F.count(F.lit(1)).alias("_others"))
+        known = tasks.select("id", F.lit(True).alias("_task"))
+        asked = asked.join(several, "id").join(known, "id", "left").join(known.select(F.col("id").alias("other"), F.col("_task").alias("_other")), "other", "left")
+        reason = F.when(F.col("_others") > 1, "ambiguous").when(F.col("_task").isNull(), "no_source").when(F.col("_other").isNull(), "no_target").when(F.col("id") == F.col("other"), "self")
+        asked = store_kept(asked.select("id", "other", reason.alias("reason")))
+        links = tasks.where(F.col(column).isNotNull()).select(F.col("id").alias("s"), F.col(column).alias("t"))
+        links = links.join(asked.where("reason IS NULL").select(F.col("id").alias("s")), "s", "left_anti")
+        judged = store_kept(graph.closing(links, asked.where("reason IS NULL").select(F.col("id").alias("s"), F.col("other").alias("t"))))
+        good = judged.where("NOT closes").select(F.col("s").alias("id"), F.col("t").alias("_new"))
+        fresh = tasks.join(good, "id").withColumns({column: F.col("_new"), "updated_at": F.lit(now_iso())}).drop("_new", "version", "op")
+        if not fresh.isEmpty():
+            self.commit("documents", fresh, base)
+        return asked.where("reason IS NOT NULL").unionByName(judged.where("closes").select(F.col("s").alias("id"), F.col("t").alias("other"), F.lit("cycle").alias("reason")))
+
     def set_status(self, key: str, project: str, status: str, expected: str | None = None, blocked_reason: str | None = None) -> None:
         base = self.head("documents")
         row = self._row(key, project)
