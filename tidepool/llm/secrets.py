@@ -157,7 +157,7 @@ class Automaton:
                 seen.add(to)
 
     def likelihood(self, symbols: str) -> float:
-        """Mean log probability of a symbol, the end included."""
+        """Mean log probability of a symbol. The end is not scored: a token cut off scores like a whole one."""
         state, total, spare = 0, 0.0, math.log(SMOOTHING)
         for symbol in symbols:
             to = self.next[state].get(symbol)
