@@ -497,7 +497,7 @@ def strong_relation_components(spark, d):
 
 @query(f"""WITH RECURSIVE {CUSTOMER_LINKS}, p AS (SELECT c_custkey AS s, c_custkey + 12 AS t FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT c_custkey, c_custkey - 60 FROM customer WHERE c_mktsegment = 'FURNITURE' AND c_custkey % 60 < 30),
 g AS (SELECT * FROM e UNION SELECT * FROM p), w AS (SELECT DISTINCT s AS o, t AS b FROM g UNION SELECT o, g.t FROM w JOIN g ON g.s = b)
-SELECT s, t, s = t OR EXISTS (SELECT 1 FROM w WHERE o = p.s AND b = p.s) AS closes FROM p""")
+SELECT s, t, s = t OR EXISTS (SELECT 1 FROM w WHERE o = p.t AND b = p.s) AS closes FROM p""")
 def proposed_links_closing(spark, d):
     """Which of many proposed links would lie on a cycle, were all of them added."""
     rows, key = read(spark, d, "customer"), F.col("c_custkey")
