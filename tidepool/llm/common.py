@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -34,6 +35,18 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run meanwhile go as soon as it ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Written:
     """A table written once to the shared folder, so that lost executors cost no recomputation of what led to it.
 
@@ -46,7 +59,8 @@ class Written:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/tidepool/{label}-{uuid.uuid4().hex}"
         self.kept[self.path] = self
-        df.write.option("compression", "zstd").parquet(self.path)
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

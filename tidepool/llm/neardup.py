@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ FILTER_BITS = 26
 REMEMBERED = 200_000
 #: Bytes of a shingle.
 KEPT = 8
+#: Rounds for all differences allowed: signatures grow with them, and are shuffled in rounds so that the disk they take doesn't.
+ROUNDS = 20
 
 
 def code(digest: bytes) -> int:
@@ -83,8 +86,15 @@ def hot_signatures(drawn: DataFrame, width: int, num: int, den: int, common: np.
     return np.sort(hot.view(np.uint64))
 
 
-def signed(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """(sig, salt, node, n): every set's signatures; the salt is 0, or which part of a hot signature's sets this is in."""
+def rounds_of(num: int, den: int) -> int:
+    return max(1, round(ROUNDS * (den - num) / (den + num)))
+
+
+def signed(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray, hot: np.ndarray, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """(sig, salt, node, n): every set's signatures; the salt is 0, or which part of a hot signature's sets this is in.
+
+    Of several rounds each gives the signatures with its remainder, so sets that share one meet in one round.
+    """
 
     def make():
         seen: set[bytes] = set()
@@ -99,6 +109,7 @@ def signed(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray,
                 if len(seen) < REMEMBERED:
                     seen.add(digest)
                 own, node = np.unique(signatures(items, num, den, common)), code(digest)
+                own = own if rounds == 1 else own[own % np.uint64(rounds) == turn]
                 at = np.minimum(np.searchsorted(hot, own), max(len(hot) - 1, 0))
                 sigs.append(own)
                 salts.append(np.where(hot[at] == own, node % SALTS + 1, 0).astype(np.int8) if len(hot) else np.zeros(len(own), np.int8))
@@ -331,17 +342,19 @@ def linked_roots(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     drawn = sampled(docs)
     common = common_shingles(drawn, width)
     hot = hot_signatures(drawn, width, num, den, common)
-    shared = Written(buckets(signed(docs, width, num, den, common, hot)), "buckets")
-    candidates = Written(pairs(shared.df, num, den), "pairs")
-    wanted = candidates.df.select(F.col("a").alias("node")).union(candidates.df.select("b")).union(shared.df.where(F.col("members") > SMALL).select("node"))
+    rounds = rounds_of(num, den)
+    turns = [Written(buckets(signed(docs, width, num, den, common, hot, turn, rounds)), "buckets") for turn in range(rounds)]
+    shared = reduce(DataFrame.unionByName, [t.df for t in turns])
+    candidates = Written(pairs(shared, num, den), "pairs")
+    wanted = candidates.df.select(F.col("a").alias("node")).union(candidates.df.select("b")).union(shared.where(F.col("members") > SMALL).select("node"))
     sets = Written(candidate_sets(docs, width, candidate_filter(wanted)).dropDuplicates(["node"]), "candidate-sets")
     links = Written(linked(candidates.df, sets.df, num, den), "links")
     candidates.drop()
     roots = components(links.df)
-    more = Written(linked_in_groups(open_groups(shared.df, roots), sets.df, num, den), "group-links")
+    more = Written(linked_in_groups(open_groups(shared, roots), sets.df, num, den), "group-links")
     if not more.df.isEmpty():
         roots = components(links.df.unionByName(more.df))
-    for table in (shared, sets, links, more):
+    for table in (*turns, sets, links, more):
         table.drop()
     return roots
 
