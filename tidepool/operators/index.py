@@ -1,7 +1,7 @@
 """Full-text index with positions, in segments, and BM25 search over it.
 
-Texts are tokenised once, when they are indexed. Tokens are shuffled once, to folders by a hash of their term, and gathered
-where they arrive. A search reads its terms' folders and nothing else: phrases come from
+Texts are tokenised once, when they are indexed. A document's tokens are gathered by term where it is read, and these postings
+shuffled once, to folders by a hash of their term. A search reads its terms' folders and nothing else: phrases come from
 positions, statistics are sums, and the best k come from regions of documents in order of what they can score at most.
 """
 
@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import functools
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,8 @@ FOLDER_ROWS, MOST_FOLDERS, FILE_ROWS = 4096, 1024, 1_000_000
 REGION_ROWS, MOST_PARTS = 2048, 1 << 16
 #: Terms in fewer documents have no table of regions.
 REGIONED = 1024
+#: Documents whose terms a Python worker gathers at once.
+SLICE_ROWS = 1000
 #: Segments of like size that are merged into one.
 FANOUT = 8
 
@@ -61,13 +66,38 @@ def _bucket(buckets: int) -> Column:
 
 
 def tokens(corpus: DataFrame, key: str, text: Column, parts: int = 1) -> DataFrame:
-    """(key, length, region, at, term): every token of every document.
+    """(key, length, region, term, positions, tf): each document's terms with their places, gathered where the document is,
+    so that a row for each term of a document is shuffled and not one for each token.
 
     A region holds documents of about the same length, and so bounds what its postings can score.
     """
     rows = corpus.select(F.col(key).alias("key"), terms(text).alias("_terms"))
     region = F.floor(F.log2("length") * 2).cast("int") * MOST_PARTS + F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
-    return rows.select("key", F.size("_terms").cast("bigint").alias("length"), "_terms").select("key", "length", region.alias("region"), F.posexplode("_terms").alias("at", "term"))
+    rows = rows.select("key", F.size("_terms").cast("bigint").alias("length"), "_terms").where("length > 0").select("key", "length", region.alias("region"), "_terms")
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                yield _gathered(batch.slice(start, SLICE_ROWS))
+
+    return rows.mapInArrow(run, schema).withColumn("tf", F.size("positions").cast("bigint"))
+
+
+def _gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows (key, length, region, list of terms) as one for each different term of a row, with its ascending places."""
+    words = batch.column(3).flatten().dictionary_encode()
+    sizes = batch.column(1).to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    group = row * len(words.dictionary) + words.indices.to_numpy()
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    one = order[first]
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(at[order]))
+    kept_ = batch.select([0, 1, 2]).take(pa.array(row[one]))
+    term = words.dictionary.take(words.indices.take(pa.array(one)))
+    return pa.RecordBatch.from_arrays([*kept_.columns, term, positions], names=[*kept_.schema.names, "term", "positions"])
 
 
 def _dealt(rows: DataFrame, documents: int, buckets: int) -> DataFrame:
@@ -76,15 +106,9 @@ def _dealt(rows: DataFrame, documents: int, buckets: int) -> DataFrame:
     return rows.select("*", _bucket(buckets), file).repartition("bucket", "file")
 
 
-def gathered(dealt: DataFrame) -> DataFrame:
-    """(bucket, file, term, region, key, length, tf, positions) of tokens that were dealt: each task gathers its own."""
-    placed = dealt.groupBy("bucket", "file", "term", "region", "key", "length").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return placed.withColumn("tf", F.size("positions").cast("bigint"))
-
-
 def _write(made: DataFrame, path: str) -> None:
     """Postings to a folder for each bucket, common ones as several files, each in order of (term, region, key)."""
-    made.drop("file").sortWithinPartitions("bucket", "term", "region", "key").write.partitionBy("bucket").parquet(path)
+    made.sortWithinPartitions("bucket", "term", "region", "key").write.partitionBy("bucket").parquet(path)
 
 
 def _parts(rows: int) -> int:
@@ -106,7 +130,7 @@ def build(corpus: DataFrame, key: str, text: Column) -> Index:
     """Writes the index of a corpus, whose keys must be unique."""
     spark, rows, path = corpus.sparkSession, corpus.count(), new_path(corpus.sparkSession, "index")
     buckets = buckets_of(rows)
-    made = gathered(_dealt(tokens(corpus, key, text, _parts(rows)), rows, buckets)).select(*[c for c in _COLUMNS if c != "segment"])
+    made = _dealt(tokens(corpus, key, text, _parts(rows)), rows, buckets).select(*[c for c in _COLUMNS if c != "segment"])
     _write(made, path)
     written = spark.read.schema(made.schema).parquet(path)
     total = written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
@@ -293,7 +317,7 @@ class Segments:
         number = max((s.number for s in older), default=0) + 1
         folder, rows = f"{self.path}/segments/{number}-{uuid.uuid4().hex}", corpus.count()
         buckets = buckets_of(rows)
-        made = gathered(_dealt(tokens(corpus, key, text, _parts(rows)), rows, buckets)).withColumn("segment", F.lit(number).cast("bigint"))
+        made = _dealt(tokens(corpus, key, text, _parts(rows)), rows, buckets).withColumn("segment", F.lit(number).cast("bigint"))
         _write(made.select(*_COLUMNS), f"{folder}/postings")
         written = self.spark.read.schema(self.postings).parquet(f"{folder}/postings")
         total = written.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
