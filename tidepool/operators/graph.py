@@ -117,6 +117,11 @@ def would_close(edges: DataFrame, source, target) -> bool:
     return False
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """For joins of many rounds: sides are shuffled to each other. Broadcast ones would pass through the driver each round."""
+    return rows.hint("shuffle_merge")
+
+
 #: Steps that marks are carried along links between two writes.
 HOPS = 4
 
@@ -131,12 +136,12 @@ def _spread(edges: DataFrame, start: DataFrame, least: bool) -> DataFrame:
     while True:
         offers, at = None, front
         for _ in range(HOPS):
-            sent = at.join(edges if least else edges.withColumnRenamed("mark", "_both"), F.col("id") == F.col("s"))
+            sent = at.join(_dealt(edges if least else edges.withColumnRenamed("mark", "_both")), F.col("id") == F.col("s"))
             sent = sent if least else sent.where("mark = _both")
             at = sent.groupBy(F.col("t").alias("id")).agg(F.min("mark").alias("mark"))
             offers = at if offers is None else offers.unionByName(at)
         offers = offers.groupBy("id").agg(F.min("mark").alias("_offer"))
-        both = marks.join(offers, "id", "left" if least else "full")
+        both = marks.join(_dealt(offers), "id", "left" if least else "full")
         better = F.coalesce(F.col("_offer") < F.col("mark"), F.lit(False)) if least else F.col("mark").isNull()
         both = kept(both.select("id", F.when(better, F.col("_offer")).otherwise(F.col("mark")).alias("mark"), better.alias("_fresh")), "marks")
         marks, front = both.drop("_fresh"), both.where("_fresh").drop("_fresh")
@@ -150,7 +155,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     while (now := edges.count()) != size:
         size = now
         into, out = edges.select(F.col("t").alias("s")).distinct(), edges.select(F.col("s").alias("t")).distinct()
-        edges = kept(edges.join(into, "s", "left_semi").join(out, "t", "left_semi").select("s", "t"), "trimmed")
+        edges = kept(edges.join(_dealt(into), "s", "left_semi").join(_dealt(out), "t", "left_semi").select("s", "t"), "trimmed")
     return edges
 
 
@@ -174,15 +179,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
         own = F.struct(F.xxhash64("id").alias("hash"), F.col("id").alias("node"))
         marks = _spread(rest, rest.select(F.col("s").alias("id")).distinct().withColumn("mark", own), True)
         left, right = marks.select(F.col("id").alias("s"), "mark"), marks.select(F.col("id").alias("t"), F.col("mark").alias("_other"))
-        inner = kept(rest.join(left, "s").join(right, "t").where("mark = _other").select("s", "t", "mark"), "inner")
+        inner = kept(rest.join(_dealt(left), "s").join(_dealt(right), "t").where("mark = _other").select("s", "t", "mark"), "inner")
         back = inner.select(F.col("t").alias("s"), F.col("s").alias("t"), "mark")
         ended = _spread(back, marks.where("id = mark.node"), False)
         found = ended if found is None else found.unionByName(ended)
         gone = ended.select(F.col("id").alias("s"))
-        rest = inner.select("s", "t").join(gone, "s", "left_anti").join(gone.withColumnRenamed("s", "t"), "t", "left_anti").select("s", "t")
-    named = nodes.withColumn("_root", F.col("id")) if found is None else nodes.join(found, "id", "left").select("id", F.coalesce("mark.node", "id").alias("_root"))
+        rest = inner.select("s", "t").join(_dealt(gone), "s", "left_anti").join(_dealt(gone.withColumnRenamed("s", "t")), "t", "left_anti").select("s", "t")
+    named = nodes.withColumn("_root", F.col("id")) if found is None else nodes.join(_dealt(found), "id", "left").select("id", F.coalesce("mark.node", "id").alias("_root"))
     sizes = named.groupBy("_root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
-    return named.join(sizes, "_root").select("id", "component", "size")
+    return named.join(_dealt(sizes), "_root").select("id", "component", "size")
 
 
 def closing(edges: DataFrame, proposed: DataFrame) -> DataFrame:
@@ -195,4 +200,4 @@ def closing(edges: DataFrame, proposed: DataFrame) -> DataFrame:
     parts = strong_components(edges.select("s", "t").unionByName(asked.select("s", "t"))).where("size > 1")
     source, target = parts.select(F.col("id").alias("s"), F.col("component").alias("_a")), parts.select(F.col("id").alias("t"), F.col("component").alias("_b"))
     same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)) | F.coalesce(F.col("s") == F.col("t"), F.lit(False))
-    return asked.join(source, "s", "left").join(target, "t", "left").select(*asked.columns, same.alias("closes"))
+    return asked.join(_dealt(source), "s", "left").join(_dealt(target), "t", "left").select(*asked.columns, same.alias("closes"))
