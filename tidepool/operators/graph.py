@@ -49,21 +49,21 @@ def summary_pages(edges: DataFrame, size: int = 1000) -> DataFrame:
     For nodes of any number of links: these are range-partitioned by node and order, so a hub spans as many partitions as it
     fills; what is counted for each node and partition places its rows, and no list is longer than a page.
     """
-    out = edges.select(F.col("source_id").alias("id"), F.lit(0).alias("side"), F.lit("out").alias("direction"), F.col("relation"), F.col("target_id").alias("other"))
-    into = edges.select(F.col("target_id").alias("id"), F.lit(1).alias("side"), F.lit("in").alias("direction"), F.col("relation"), F.col("source_id").alias("other"))
+    out = edges.select(F.col("source_id").alias("id"), F.lit(0).alias("side"), F.col("relation"), F.col("target_id").alias("other"))
+    into = edges.select(F.col("target_id").alias("id"), F.lit(1).alias("side"), F.col("relation"), F.col("source_id").alias("other"))
     order = ["side", "relation", "other"]
-    whole = out.unionByName(into).where(F.col("id").isNotNull() & F.col("other").isNotNull() & F.col("relation").isNotNull()).distinct()
-    whole = kept(whole, "links")  # the ranges are drawn from it, so it is read twice
-    placed = whole.repartitionByRange("id", *order).sortWithinPartitions("id", *order).withColumn("_at", F.monotonically_increasing_id())
-    placed = kept(placed.withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}), "link-order")
+    whole = out.unionByName(into).where(F.col("id").isNotNull() & F.col("other").isNotNull() & F.col("relation").isNotNull())
+    # Equal links are in one range, so they are made distinct there.
+    placed = whole.repartitionByRange("id", *order).dropDuplicates(["id", *order]).sortWithinPartitions("id", *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = kept(placed.withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at"), "link-order")
     runs = placed.groupBy("id", "_part").agg(F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     same = Window.partitionBy("id")
     before = F.coalesce(F.sum("_rows").over(same.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     runs = runs.select("id", "_part", (before - F.col("_first")).alias("_base"), F.sum("_rows").over(same).alias("total"))
     rows = placed.join(runs, ["id", "_part"]).withColumn("_place", F.col("_base") + F.col("_nth"))
-    link = F.struct("_place", "direction", "relation", "other")
+    link = F.struct("_place", "side", "relation", "other")
     pages = rows.groupBy("id", F.floor(F.col("_place") / size).cast("bigint").alias("page")).agg(F.sort_array(F.collect_list(link)).alias("links"), F.first("total").alias("total"))
-    return pages.select("id", "page", F.transform("links", lambda x: F.struct(x["direction"].alias("direction"), x["relation"].alias("relation"), x["other"].alias("other"))).alias("links"), "total")
+    return pages.select("id", "page", F.transform("links", lambda x: F.struct(F.when(x["side"] == 0, "out").otherwise("in").alias("direction"), x["relation"].alias("relation"), x["other"].alias("other"))).alias("links"), "total")
 
 
 def _doubled(jump: DataFrame) -> DataFrame:
