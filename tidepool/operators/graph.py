@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,9 +162,8 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component, size): nodes of links (s, t) that reach each other have one component, its least node; any number of
-    links out. Nodes alone are components of their own; links with a null end count for nothing.
+def _reached(rest: DataFrame) -> DataFrame:
+    """(id, root) of the nodes of components of more than one, each component with one root, by steps over all links.
 
     Nodes that no way leads into or out of are trimmed. Of the rest each takes the first node, in the order of a hash, that
     reaches it; what in turn reaches that node, among those that took it, is its component, and goes; links between nodes
@@ -169,23 +171,146 @@ def strong_components(edges: DataFrame) -> DataFrame:
     logarithm of its length rather than with it. A step is a join of the nodes just changed with their links, and steps grow
     with the longest of the shortest ways inside what isn't trimmed.
     """
-    whole = kept(edges.where("s IS NOT NULL AND t IS NOT NULL").select("s", "t").distinct(), "edges")
-    nodes = kept(whole.select(F.col("s").alias("id")).union(whole.select("t")).distinct(), "nodes")
-    found, rest = None, whole.where("s <> t")
+    found = rest.select(F.col("s").alias("id"), F.col("s").alias("root")).where("false")
     while True:
         rest = _trimmed(rest)
         if rest.isEmpty():
-            break
+            return found
         own = F.struct(F.xxhash64("id").alias("hash"), F.col("id").alias("node"))
         marks = _spread(rest, rest.select(F.col("s").alias("id")).distinct().withColumn("mark", own), True)
         left, right = marks.select(F.col("id").alias("s"), "mark"), marks.select(F.col("id").alias("t"), F.col("mark").alias("_other"))
         inner = kept(rest.join(_dealt(left), "s").join(_dealt(right), "t").where("mark = _other").select("s", "t", "mark"), "inner")
         back = inner.select(F.col("t").alias("s"), F.col("s").alias("t"), "mark")
         ended = _spread(back, marks.where("id = mark.node"), False)
-        found = ended if found is None else found.unionByName(ended)
+        found = found.unionByName(ended.select("id", F.col("mark.node").alias("root")))
         gone = ended.select(F.col("id").alias("s"))
         rest = inner.select("s", "t").join(_dealt(gone), "s", "left_anti").join(_dealt(gone.withColumnRenamed("s", "t")), "t", "left_anti").select("s", "t")
-    named = nodes.withColumn("_root", F.col("id")) if found is None else nodes.join(_dealt(found), "id", "left").select("id", F.coalesce("mark.node", "id").alias("_root"))
+
+
+#: Nodes of a block, which one task condenses, and the most rows that are given to one.
+BLOCK_NODES, BLOCK_ROWS = 50_000, 500_000
+
+
+def _numbered(first: list, to: list) -> list:
+    """Each node's component by one walk in depth (Tarjan's): those that others lead to have lower numbers.
+
+    Node v's links are ``to[first[v]:first[v + 1]]``.
+    """
+    n = len(first) - 1
+    part, low, seen, upcoming, open_, count, parts = [-1] * n, [0] * n, [0] * n, first[:n], [], 0, 0
+    for start in range(n):
+        walk = [] if seen[start] else [start]
+        while walk:
+            v = walk[-1]
+            if not seen[v]:
+                count += 1
+                seen[v] = low[v] = count
+                open_.append(v)
+            if (i := upcoming[v]) < first[v + 1]:
+                upcoming[v], w = i + 1, to[i]
+                if not seen[w]:
+                    walk.append(w)
+                elif part[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            walk.pop()
+            if walk:
+                low[walk[-1]] = min(low[walk[-1]], low[v])
+            if low[v] == seen[v]:
+                while part[v] < 0:
+                    part[open_.pop()] = parts
+                parts += 1
+    return part
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """(id, root, open) of a block's nodes: nodes that reach each other inside it have one root; ``open`` are those that a
+    link from outside leads to and that lead outside, so that their component may go on there.
+
+    Rows are links (s, t); where t is null, s has a link to another block, where s is null, t has one from another.
+    """
+    ids = pc.unique(pa.chunked_array([*rows["s"].chunks, *rows["t"].chunks])).drop_null()
+    s, t = (pc.fill_null(pc.index_in(rows[c], value_set=ids), -1).to_numpy() for c in ("s", "t"))
+    inside = (s >= 0) & (t >= 0)
+    a, b = s[inside], t[inside]
+    order = np.argsort(a, kind="stable")
+    part = np.array(_numbered(np.searchsorted(a[order], np.arange(len(ids) + 1)).tolist(), b[order].tolist()), dtype=np.int64)
+    lead = np.zeros(len(ids), dtype=np.int64)
+    lead[part] = np.arange(len(ids))
+    into, out = np.zeros(len(ids), dtype=bool), np.zeros(len(ids), dtype=bool)
+    into[part[t[s < 0]]], out[part[s[t < 0]]] = True, True
+    a, b = part[a], part[b]
+    order = np.argsort(a, kind="stable")
+    links, into, out = list(zip(a[order].tolist(), b[order].tolist())), into.tolist(), out.tolist()
+    for x, y in links:
+        out[x] = out[x] or out[y]
+    for x, y in reversed(links):
+        into[y] = into[y] or into[x]
+    opened = (np.array(into, dtype=bool) & np.array(out, dtype=bool))[part]
+    return pa.table([ids, ids.take(pa.array(lead[part])), pa.array(opened)], names=["id", "root", "open"])
+
+
+def _condensed(links: DataFrame, nodes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """(id, root, open) of all nodes after each block has been condensed, and the links (s, t) between open roots.
+
+    Blocks are ranges of ids with some ``BLOCK_NODES`` of the ``count`` nodes each. Components that no way leaves and comes
+    back to lie inside a block, so they are whole and go, with their links. A block of more than ``BLOCK_ROWS`` rows stays as
+    it is.
+    """
+    blocks = -(-count // BLOCK_NODES)
+    if blocks > 1:
+        dealt = kept(nodes.repartitionByRange(blocks, "id").withColumn("_block", F.spark_partition_id()), "blocks")
+        left, right = dealt.select(F.col("id").alias("s"), F.col("_block").alias("_a")), dealt.select(F.col("id").alias("t"), F.col("_block").alias("_b"))
+        placed = links.join(_dealt(left), "s").join(_dealt(right), "t")
+        none = F.lit(None).cast(links.schema["s"].dataType)
+        row = lambda block, s, t: F.struct(F.col(block).alias("block"), s.alias("s"), t.alias("t"))
+        both, apart = F.array(row("_a", F.col("s"), F.col("t"))), F.array(row("_a", F.col("s"), none), row("_b", none, F.col("t")))
+        inner = placed.select(F.inline(F.when(F.col("_a") == F.col("_b"), both).otherwise(apart))).distinct()
+    else:
+        inner = links.select(F.lit(0).alias("block"), "s", "t")
+    inner = kept(inner, "inner")
+    id_type = links.schema["s"].dataType.simpleString()
+    large = inner.groupBy("block").count().where(F.col("count") > BLOCK_ROWS).select("block")
+    fit, whole = inner, None
+    if not large.isEmpty():
+        fit, whole = inner.join(_dealt(large), "block", "left_anti"), inner.join(_dealt(large), "block", "left_semi")
+    marks = fit.groupBy("block").applyInArrow(_block, f"id {id_type}, root {id_type}, open boolean")
+    if whole is not None:
+        same = whole.select(F.explode(F.array("s", "t")).alias("id")).where("id IS NOT NULL").distinct()
+        marks = marks.unionByName(same.select("id", F.col("id").alias("root"), F.lit(True).alias("open")))
+    marks = kept(marks, "marks")
+    still = marks.where("open")
+    left, right = still.select(F.col("id").alias("s"), F.col("root").alias("_a")), still.select(F.col("id").alias("t"), F.col("root").alias("_b"))
+    between = links.join(_dealt(left), "s").join(_dealt(right), "t").where("_a <> _b").select(F.col("_a").alias("s"), F.col("_b").alias("t")).distinct()
+    return marks, kept(between, "trimmed")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component, size): nodes of links (s, t) that reach each other have one component, its least node; any number of
+    links out. Nodes alone are components of their own; links with a null end count for nothing.
+
+    Rounds condense blocks of nodes with near ids: what is strongly connected inside a block becomes one node, what no way
+    leaves and comes back to is done. What is left of a round is dealt into blocks anew, so links between near ids take few
+    rounds however long their ways are. Where a round leaves more than three quarters of the links, the rest is found by
+    steps over all links (``_reached``).
+    """
+    whole = kept(edges.where("s IS NOT NULL AND t IS NOT NULL").select("s", "t").distinct(), "edges")
+    nodes = kept(whole.select(F.col("s").alias("id")).union(whole.select("t")).distinct(), "nodes")
+    rest, left, levels = whole.where("s <> t"), nodes, []
+    size = rest.count()
+    while size:
+        before, count = size, left.count()
+        marks, rest = _condensed(rest, left, count)
+        levels.append(marks.select("id", "root"))
+        left, size = marks.where("open").select(F.col("root").alias("id")).distinct(), rest.count()
+        if 4 * size > 3 * before:
+            levels.append(_reached(rest))
+            break
+    named = levels.pop() if levels else nodes.select("id", F.col("id").alias("root"))
+    for level in reversed(levels):
+        further = named.select(F.col("id").alias("root"), F.col("root").alias("_further"))
+        named = level.join(_dealt(further), "root", "left").select("id", F.coalesce("_further", "root").alias("root"))
+    named = nodes.join(_dealt(named), "id", "left").select("id", F.coalesce("root", "id").alias("_root"))
     sizes = named.groupBy("_root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
     return named.join(_dealt(sizes), "_root").select("id", "component", "size")
 
