@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Written, any_names, drawn_by_hash, map_columns
 from .components import components
-from .partenum import shingles, signatures
+from .partenum import least_difference, shingles, signatures, sketch
 
 #: Buckets of so many sets or fewer are compared pair by pair; rows of a block of a larger group.
 SMALL, BLOCK = 8, 384
@@ -30,6 +30,8 @@ REMEMBERED = 200_000
 KEPT = 8
 #: Rounds for all differences allowed: signatures grow with them, and are shuffled in rounds so that the disk they take doesn't.
 ROUNDS = 20
+#: Bytes of sets that a round of comparisons may shuffle besides as much as all sets have.
+ROUND_BYTES = 64 << 20
 
 
 def code(digest: bytes) -> int:
@@ -168,7 +170,7 @@ def _listed(values: np.ndarray, bits: bytes) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, width: int, wanted: bytes) -> DataFrame:
-    """(node, items): the sets of candidate nodes, and of the few others that share their bit."""
+    """(node, items, sketch): the sets of candidate nodes, and of the few others that share their bit."""
     held = docs.sparkSession.sparkContext.broadcast(wanted)  # 2**FILTER_BITS bits
 
     def make():
@@ -176,7 +178,7 @@ def candidate_sets(docs: DataFrame, width: int, wanted: bytes) -> DataFrame:
         bits = held.value
 
         def work(doc_id: list, text: list) -> dict:
-            nodes, items = [], []
+            nodes, items, sketches = [], [], []
             for t in text:
                 own = shingles(t, width)
                 node = code(xxhash.xxh3_128_digest(own.tobytes()))
@@ -187,22 +189,59 @@ def candidate_sets(docs: DataFrame, width: int, wanted: bytes) -> DataFrame:
                     seen.add(node)
                 nodes.append(node)
                 items.append(own.tobytes())
-            return {"node": nodes, "items": items}
+                sketches.append(sketch(own))
+            return {"node": nodes, "items": items, "sketch": sketches}
 
         return work
 
-    return map_columns(docs, "node bigint, items binary", make)
+    return map_columns(docs, "node bigint, items binary, sketch binary", make)
 
 
 def unpack(items: bytes) -> np.ndarray:
     return np.frombuffer(items, dtype=np.uint64)
 
 
-def linked(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): the candidate pairs whose sets reach the threshold."""
+def turns_for(moved: int, sets: DataFrame) -> int:
+    """Rounds, so that none shuffles many more than the bytes of all sets where ``moved`` bytes are to be compared."""
+    held = sets.agg(F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()[0]
+    return -(-moved // max(held, ROUND_BYTES)) or 1
+
+
+def likely(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, bytes): the candidate pairs whose sketches don't show that they differ by too much; the bytes of a's set.
+
+    Sketches have a sixteenth of their sets' bytes at most, beyond the smallest. They rule out no pair that reaches the threshold.
+    """
+    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
+    both = candidates.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
+
+    def make():
+        def work(b: list, a: list, x: list, y: list) -> dict:
+            out = {"a": [], "b": [], "bytes": []}
+            for p, q, left, right in zip(a, b, x, y, strict=True):
+                n, m, differ = least_difference(left, right)
+                if differ * (den + num) <= (n + m) * (den - num):
+                    out["a"].append(p)
+                    out["b"].append(q)
+                    out["bytes"].append(n * KEPT)
+            return out
+
+        return work
+
+    return map_columns(both, "a bigint, b bigint, bytes bigint", make)
+
+
+def linked(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> list[Written]:
+    """(u, v) of each round: the candidate pairs whose sets reach the threshold.
+
+    What meets its sets is the pairs that their sketches leave, in rounds, so that pairs in any number take the disk of a few
+    times all sets.
+    """
+    pairs_ = Written(likely(candidates, sets, num, den), "likely-pairs")
+    rounds = turns_for(pairs_.df.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], sets)
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = candidates.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
 
     def make():
         def work(b: list, a: list, x: list, y: list) -> dict:
@@ -217,7 +256,13 @@ def linked(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
         return work
 
-    return map_columns(both, "u bigint, v bigint", make)
+    made = []
+    for turn in range(rounds):
+        now = pairs_.df.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == turn).select("a", "b")
+        both = now.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b")
+        made.append(Written(map_columns(both, "u bigint, v bigint", make), "links"))
+    pairs_.drop()
+    return made
 
 
 def open_groups(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -239,21 +284,27 @@ def open_groups(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return made
 
 
-def linked_in_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): links that tie each group as all links within it do.
+def linked_in_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) -> list[Written]:
+    """(u, v) of each round: links that tie each group as all links within it do.
 
     A group is split by size, into classes so wide that only sets of one class or of neighbours can be similar, and classes
     into blocks. Every two blocks that may hold similar sets meet in one task, so no task holds more than two blocks. Of a
-    meeting's links a spanning forest comes back.
+    meeting's links a spanning forest comes back. A set goes to as many meetings as its group has blocks; they are held in
+    rounds, so that the disk for this grows with the sets and not with a group's square.
     """
     width = math.log(den / num)
     sized = groups.join(sets.hint("shuffle_merge"), "node").withColumn("class", F.floor(F.log(F.octet_length("items") / KEPT) / width + 1e-9))
-    sized = Written(sized.select("root", "class", "node", "items"), "group-sets").df
+    held = Written(sized.select("root", "class", "node", "items"), "group-sets")
+    sized = held.df
     counts = sized.groupBy("root", "class").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("blocks"))
     order = Window.partitionBy("root").orderBy("class")
     beside = lambda step: F.when(F.lag("class", -step).over(order) == F.col("class") + step, F.lag("blocks", -step).over(order)).otherwise(0)
     counts = counts.select("root", "class", "blocks", beside(-1).alias("below"), beside(1).alias("above"))
-    rows = sized.join(counts, ["root", "class"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    counts = Written(counts, "group-blocks")
+    moved = F.octet_length("items") * (F.col("blocks") + F.col("below") + F.col("above"))
+    rows = sized.join(counts.df, ["root", "class"])
+    rounds = turns_for(rows.agg(F.coalesce(F.sum(moved), F.lit(0))).first()[0], sets)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     place = lambda low, high, i, j: F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
     each = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0).cast("bigint"), n), lambda x: x < n), f)
     c, own = F.col("class"), F.col("own")
@@ -263,6 +314,7 @@ def linked_in_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) ->
         each(F.col("below"), lambda x: place(c - 1, c, x, own)),
     )
     rows = rows.select("root", "node", "items", F.explode(meetings).alias("at")).select("root", "at.*", "node", "items")
+    keys = ["root", "low", "high", "i", "j"]
 
     def meet(block: pa.Table) -> pa.Table:
         nodes = block.column("node").to_pylist()
@@ -299,7 +351,13 @@ def linked_in_groups(groups: DataFrame, sets: DataFrame, num: int, den: int) ->
                 v.append(nodes[j])
         return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return rows.groupBy("root", "low", "high", "i", "j").applyInArrow(meet, "u bigint, v bigint")
+    made = []
+    for turn in range(rounds):
+        now = rows.where(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == turn)
+        made.append(Written(now.groupBy(*keys).applyInArrow(meet, "u bigint, v bigint"), "group-links"))
+    held.drop()
+    counts.drop()
+    return made
 
 
 def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,13 +406,13 @@ def linked_roots(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     candidates = Written(pairs(shared, num, den), "pairs")
     wanted = candidates.df.select(F.col("a").alias("node")).union(candidates.df.select("b")).union(shared.where(F.col("members") > SMALL).select("node"))
     sets = Written(candidate_sets(docs, width, candidate_filter(wanted)).dropDuplicates(["node"]), "candidate-sets")
-    links = Written(linked(candidates.df, sets.df, num, den), "links")
+    links = linked(candidates.df, sets.df, num, den)
     candidates.drop()
-    roots = components(links.df)
-    more = Written(linked_in_groups(open_groups(shared, roots), sets.df, num, den), "group-links")
-    if not more.df.isEmpty():
-        roots = components(links.df.unionByName(more.df))
-    for table in (*turns, sets, links, more):
+    roots = components(reduce(DataFrame.unionByName, [x.df for x in links]))
+    more = linked_in_groups(open_groups(shared, roots), sets.df, num, den)
+    if not all(x.df.isEmpty() for x in more):
+        roots = components(reduce(DataFrame.unionByName, [x.df for x in [*links, *more]]))
+    for table in (*turns, sets, *links, *more):
         table.drop()
     return roots
 

@@ -68,6 +68,25 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out if span == width else mix(out + np.uint64(span)))
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """A set's size, and of each of so many places as a power of two from twice that size on, whether an odd number of elements falls there."""
+    places = 1 << max(6, int(2 * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return len(items).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """Two sets' sizes from their sketches, and how many elements at least are in one of them only.
+
+    What both hold falls on the same place in both, so places that differ need an element each that only one holds. The
+    longer sketch is folded to the places of the shorter.
+    """
+    a, b = (np.frombuffer(s, dtype=np.uint8, offset=4) for s in (x, y))
+    short = min(len(a), len(b))
+    a, b = (s if len(s) == short else np.bitwise_xor.reduce(s.reshape(-1, short)) for s in (a, b))
+    return int.from_bytes(x[:4], "little"), int.from_bytes(y[:4], "little"), int(np.bitwise_count(a ^ b).sum())
+
+
 @lru_cache(1)
 def bands() -> tuple[int, ...]:
     low = [1]
